@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosopa.llm import confusables, runs
+from prosopa.llm import confusables, mixing, packing, runs
 from prosopa.operators import nested
 from prosopa.session import table
 
@@ -75,11 +75,55 @@ def p5_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    # pack_limits is a table of settings with one row for each container size.
+    limits = [r[0] for r in table(spark, folder, "pack_limits").select("capacity_tokens").distinct().collect()]
+    return packing.pack(table(spark, folder, "documents").select("doc_id", "text"), limits)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder).where(F.col("parts") > 1).select("capacity_tokens", "doc_id").distinct()
+
+
+def p6_assigned(spark: SparkSession, folder: str) -> DataFrame:
+    """Every part of every text with its container."""
+    return _packed(spark, folder)
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers used and the share of them that is filled."""
+    return packing.fill(_packed(spark, folder))
+
+
+def _mixed(spark: SparkSession, folder: str) -> mixing.Mix:
+    return mixing.Mix(table(spark, folder, "documents").select("doc_id", "source", "text"), table(spark, folder, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder).report().where("short").select("mix_id", "source")
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source of each mix."""
+    return _mixed(spark, folder).report()
+
+
+def p7_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Each mix's documents with their repeat counts."""
+    return _mixed(spark, folder).documents()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_title_classes": p4_title_classes,
     "p5_found": p5_found,
     "p5_runs": p5_runs,
+    "p6_found": p6_found,
+    "p6_assigned": p6_assigned,
+    "p6_fill": p6_fill,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
+    "p7_documents": p7_documents,
 }
 
 ORACLES: dict[str, str] = {}
