@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosopa.llm import confusables, mixing, packing, runs
+from prosopa.llm import confusables, mixing, packing, quality, runs
 from prosopa.operators import nested
 from prosopa.session import table
 
@@ -113,6 +113,21 @@ def p7_documents(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder).documents()
 
 
+def p8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The figures of every text."""
+    return quality.quality(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_quality(spark, folder).where(F.col("kind") != "prose").select("doc_id").distinct()
+
+
+def p8_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages by the kind given by hand and the kind found."""
+    found = p8_quality(spark, folder).select("doc_id", "kind")
+    return table(spark, folder, "page_labels").join(found, "doc_id").groupBy("page_kind", "kind").agg(F.count(F.lit(1)).alias("pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_title_classes": p4_title_classes,
@@ -124,6 +139,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_documents": p7_documents,
+    "p8_found": p8_found,
+    "p8_quality": p8_quality,
+    "p8_agreement": p8_agreement,
 }
 
-ORACLES: dict[str, str] = {}
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94))
+_ASCII = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
+_LOOK, _AS = "аеосріхсуТ", "aeocpixcyT"
+
+
+def _key(text: str) -> str:
+    """SQL for a label's letters and digits, with wide and Cyrillic letters as plain ones."""
+    return f"regexp_replace(lower(translate(translate({text}, '{_WIDE}', '{_ASCII}'), '{_LOOK}', '{_AS}')), '[^a-z0-9]', '', 'g')"
+
+
+_RUNS = f"""state AS (SELECT state_no, {_key('state')} AS k FROM career_states),
+career AS (SELECT DISTINCT id, replace(collapsed_career_sequence, '＞', '>') AS seq, state_firstyears AS f, state_lastyears AS l FROM career_trajectory_analysis),
+label AS (SELECT 'career_trajectory_analysis' AS t, id AS row_key, unnest(string_split(seq, '>')) AS label, generate_subscripts(string_split(seq, '>'), 1) AS pos, f, l FROM career
+    UNION ALL SELECT 'career_trajectory_transition_matrix', transition_id, unnest([from_state, to_state]), unnest([1, 2]), NULL, NULL FROM career_trajectory_transition_matrix),
+known AS (SELECT label, min_by(state_no, (damerau_levenshtein({_key('label')}, k), state_no)) AS state_no
+    FROM (SELECT DISTINCT label FROM label) JOIN state ON damerau_levenshtein({_key('label')}, k) <= 1 GROUP BY label),
+entry AS (SELECT t, row_key, pos, state_no, CASE WHEN f[pos] > 0 THEN f[pos] END AS fy, CASE WHEN l[pos] > 0 THEN l[pos] END AS ly FROM label LEFT JOIN known USING (label)),
+flagged AS (SELECT *, CASE WHEN lag(state_no) OVER w = state_no THEN 0 ELSE 1 END AS c FROM entry WINDOW w AS (PARTITION BY t, row_key ORDER BY pos)),
+numbered AS (SELECT *, sum(c) OVER (PARTITION BY t, row_key ORDER BY pos) AS run FROM flagged),
+runs AS (SELECT t, row_key, min(pos) AS start_pos, max(pos) AS end_pos, min(state_no) AS state_no, count(*) AS entries, min(least(fy, ly)) AS first_year, max(greatest(fy, ly)) AS last_year
+    FROM numbered GROUP BY t, row_key, run)"""
+
+ORACLES: dict[str, str] = {
+    "p5_found": f"""WITH {_RUNS} SELECT t AS table_name, row_key, CAST(start_pos AS INTEGER) AS start_pos, CAST(end_pos AS INTEGER) AS end_pos
+        FROM runs WHERE state_no IS NOT NULL AND entries >= 2""",
+    "p5_runs": f"""WITH {_RUNS} SELECT row_key AS id, CAST(start_pos AS INTEGER) AS start_pos, CAST(end_pos AS INTEGER) AS end_pos, state, entries, first_year, last_year, last_year - first_year AS duration
+        FROM runs LEFT JOIN career_states USING (state_no) WHERE t = 'career_trajectory_analysis'""",
+    "p6_found": "SELECT DISTINCT capacity_tokens, doc_id FROM documents, pack_limits WHERE strlen(text) + 1 > capacity_tokens",
+    "p7_found": """WITH own AS (SELECT source, sum(strlen(text) + 1) AS own FROM documents WHERE text IS NOT NULL GROUP BY source),
+        t AS (SELECT m.*, coalesce(own, 0) AS own, sum(coalesce(own, 0)) OVER (PARTITION BY mix_id) AS total FROM mix_targets m LEFT JOIN own USING (source))
+        SELECT mix_id, source FROM t WHERE target_share * total > max_repeats * own""",
+}
