@@ -7,9 +7,10 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosopa.functions.permute import permuted
 from prosopa.llm.packing import byte_tokens
 from prosopa.session import cut
 
@@ -17,7 +18,6 @@ BLOCK_TOKENS = 1024
 SLOTS_PER_SHARD = 4096
 #: More output shards than this aren't drawn; they grow longer instead, so the draws stay a small table.
 MOST_SHARDS = 4096
-ROUNDS = 24
 
 
 def sized_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -115,17 +115,6 @@ def shard_counts(planned: DataFrame, seed: int, slots_per_shard: int = SLOTS_PER
     return mixes.mapInPandas(draws, "mix_id string, source string, blocks long, shard int, first_slot long, slots long").where(F.col("slots") > 0)
 
 
-def permuted(x: Column, n: Column, *key: Column) -> Column:
-    """A pseudorandom permutation of 0 .. n-1 that depends on the key: in each round x may change
-    places with its partner, as a hash of the pair says, so every round is one to one."""
-
-    def round_(x: Column, r: Column) -> Column:
-        partner = F.pmod(F.xxhash64(F.lit("pivot"), r, *key) - x, n)
-        return F.when(F.pmod(F.xxhash64(F.lit("swap"), r, F.greatest(x, partner), *key), F.lit(2)) == 1, partner).otherwise(x)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), round_)
-
-
 def drawn_blocks(planned: DataFrame, seed: int = 17, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
     """(mix_id, shard, source, pass, block_no): the blocks of every output shard of every mix. Pass p
     takes each block of a source at most once, in an order of its own, so no block is used more than

@@ -1,17 +1,22 @@
 """Text quality figures for each document, and the structural profile its lines come nearest to.
 
 Every line becomes a distribution over classes of characters: those of function words of the
-language whose function words it has most of, of other words, capitals, digits, stops, column gaps,
-signs, unpronounceable words, and an item mark. The Jensen-Shannon divergence from prose, list,
-table and junk profiles says what the line is; a document is what most of its lines are.
+language whose function words it and its neighbours have most of, of other words, capitals, digits,
+stops, column gaps, signs, unpronounceable words, and an item mark. The Jensen-Shannon divergence
+from prose, list, table and junk profiles says what the line is; a document is what most of its
+lines are. Each text is judged alone, in array operations over Arrow batches, without a shuffle.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
+import re
+import unicodedata
+from collections.abc import Iterator
+from functools import cache
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Function words. Two-letter words that begin with a vowel are left out, as chance makes them too.
@@ -23,173 +28,283 @@ FUNCTION_WORDS = {
 CLASSES = ("function", "word", "capital", "digit", "stop", "gap", "sign", "odd", "mark")
 # Profiles over CLASSES, rounded from labelled pages of the sample tables.
 PROFILES = {
-    "prose": {
-        "plain": (0.32, 0.57, 0.05, 0.01, 0.03, 0.005, 0.005, 0.01, 0.0),
-        "worded": (0.15, 0.72, 0.07, 0.01, 0.03, 0.005, 0.005, 0.01, 0.0),
-        "priced": (0.16, 0.54, 0.07, 0.10, 0.09, 0.005, 0.005, 0.03, 0.0),
-        "heading": (0.25, 0.05, 0.64, 0.01, 0.03, 0.005, 0.005, 0.01, 0.0),
-    },
-    "list": {
-        "marked": (0.13, 0.45, 0.07, 0.04, 0.05, 0.0, 0.0, 0.01, 0.25),
-        "names": (0.0, 0.77, 0.11, 0.0, 0.11, 0.0, 0.0, 0.0, 0.0),
-        "priced": (0.03, 0.40, 0.06, 0.12, 0.14, 0.20, 0.0, 0.05, 0.0),
-    },
-    "table": {
-        "leader": (0.0, 0.32, 0.05, 0.28, 0.12, 0.23, 0.0, 0.0, 0.0),
-        "number": (0.0, 0.28, 0.05, 0.34, 0.0, 0.33, 0.0, 0.0, 0.0),
-        "fraction": (0.0, 0.05, 0.0, 0.62, 0.06, 0.22, 0.02, 0.03, 0.0),
-        "word": (0.0, 0.45, 0.10, 0.0, 0.10, 0.35, 0.0, 0.0, 0.0),
-    },
-    "junk": {
-        "sign": (0.0, 0.08, 0.0, 0.04, 0.14, 0.04, 0.70, 0.0, 0.0),
-        "letter": (0.0, 0.12, 0.05, 0.02, 0.0, 0.0, 0.0, 0.80, 0.0),
-        "word": (0.02, 0.90, 0.02, 0.0, 0.04, 0.0, 0.0, 0.02, 0.0),
-    },
+    "prose": [
+        (0.32, 0.57, 0.05, 0.01, 0.03, 0.005, 0.005, 0.01, 0.0),  # plain
+        (0.15, 0.72, 0.07, 0.01, 0.03, 0.005, 0.005, 0.01, 0.0),  # few function words
+        (0.16, 0.54, 0.07, 0.10, 0.09, 0.005, 0.005, 0.03, 0.0),  # with prices and titles
+        (0.25, 0.05, 0.64, 0.01, 0.03, 0.005, 0.005, 0.01, 0.0),  # headings
+    ],
+    "list": [
+        (0.13, 0.45, 0.07, 0.04, 0.05, 0.0, 0.0, 0.01, 0.25),  # marked items
+        (0.0, 0.77, 0.11, 0.0, 0.11, 0.0, 0.0, 0.0, 0.0),  # names
+        (0.03, 0.40, 0.06, 0.12, 0.14, 0.20, 0.0, 0.05, 0.0),  # prices
+    ],
+    "table": [
+        (0.0, 0.32, 0.05, 0.28, 0.12, 0.23, 0.0, 0.0, 0.0),  # dot leaders
+        (0.0, 0.28, 0.05, 0.34, 0.0, 0.33, 0.0, 0.0, 0.0),  # columns of numbers
+        (0.0, 0.05, 0.0, 0.62, 0.06, 0.22, 0.02, 0.03, 0.0),  # measures and fractions
+        (0.0, 0.45, 0.10, 0.0, 0.10, 0.35, 0.0, 0.0, 0.0),  # columns of words
+    ],
+    "junk": [
+        (0.0, 0.08, 0.0, 0.04, 0.14, 0.04, 0.70, 0.0, 0.0),  # signs
+        (0.0, 0.12, 0.05, 0.02, 0.0, 0.0, 0.0, 0.80, 0.0),  # single letters and consonants
+        (0.02, 0.90, 0.02, 0.0, 0.04, 0.0, 0.0, 0.02, 0.0),  # words of no language
+    ],
 }
 KINDS = tuple(PROFILES)
 STOPS = ",.;:!?\"'’“”()"
+DASHES = "-‐‑¬="
+RULES = "-‐¬=.:|~*"
+ENDS = ".!?:;”\"’'"
+CONSONANTS = "bcdfghjklmnpqrstvwxzßç"
 #: Weight of an item mark, in characters.
 MARK_WEIGHT = 12
-NOT_BEFORE, NOT_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-MARK = (
-    r"^(?:[•*—–■·»-] ?(?=[\p{L}\p{N}])"  # a bullet
-    r"|[0-9lIoO]{1,3}\. (?=[\p{L}\p{N}])"  # a number
-    r"|\p{L}[\p{L}0]{1,2} ?[0-9lIoO]{1,3}: ?"  # Lot 7:
+LETTER, UPPER = "[^\\W\\d_]", "[^\\W\\d_a-zß-ÿ]"
+MARK = re.compile(
+    r"[•*—–■·»-] ?(?=\w)"  # a bullet
+    r"|[0-9lIoO]{1,3}\. (?=\w)"  # a number
+    rf"|{LETTER}(?:{LETTER}|0){{1,2}} ?[0-9lIoO]{{1,3}}:"  # Lot 7:
     r"|[I1l][tf][eco]m, "  # Item,
-    r"|\p{Lu}\p{L}{1,4}\.? \p{Lu}\. \p{Lu}[\p{L}0-9]+, [\p{L}0-9]+$)"  # Mr. S. Name, Place
+    rf"|{UPPER}{LETTER}{{1,4}}\.? {UPPER}\. {UPPER}\w+, \w+$"  # Mr. S. Name, Place
 )
-GAP = r" {2,}| ?\| ?|\.{3,}|(?: \.){2,}|[0-9]/[0-9]"
-ODD = NOT_BEFORE + r"(?:[\p{L}\p{N}_](?= |$)|[b-df-hj-np-tv-xzßç]{2,}|[\p{L}\p{N}_]*[b-df-hj-np-tv-xz]{5,}[\p{L}\p{N}_]*)" + NOT_AFTER
-SIGN = r"[^\p{L}\p{N}_\s,.;:!?\"'’“”()\-‐‑¬=]"
-RULE = r"[\-‐¬=.:|~*]"
-ENDS = ".!?:;”\"’'"
+#: Characters that are worked on at once. Longer texts are cut at line ends and summed up.
+CHUNK = 400_000
+TOLD = ("lines", "words", "ink", "letters", "signs", "stops", *FUNCTION_WORDS, *(f"{k}_lines" for k in KINDS))
+_LIMIT = 0x3000  # characters from here on count as letters
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: its classes as bits, and the code it is read as (lower case, the long s and
+    the digits 0 and 1 as the letters they stand for)."""
+    bits, plain = np.zeros(_LIMIT + 1, np.uint16), np.arange(_LIMIT + 1, dtype=np.uint64)
+    bits[_LIMIT] = 1
+    for c in range(_LIMIT):
+        ch, kind = chr(c), unicodedata.category(chr(c))
+        letter, number, space = kind[0] == "L", kind[0] == "N", ch.isspace()
+        odd = not (letter or number or space or ch == "_" or ch in STOPS or ch in DASHES)
+        flags = (letter, kind == "Lu", "0" <= ch <= "9", ch in STOPS, odd, ch in RULES, letter or number or ch == "_", space, ch.lower() in CONSONANTS, ch in ENDS)
+        bits[c] = sum(1 << i for i, f in enumerate(flags) if f)
+        low = ch.lower()
+        plain[c] = ord(low) if len(low) == 1 else c
+    for ch, as_ in zip("ſ01", "sol", strict=True):
+        plain[ord(ch)] = ord(as_)
+        bits[ord(ch)] |= (as_ in CONSONANTS) << 8
+    return bits, plain
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    ones = np.ones(n, np.uint64)
+    up, down = ones.copy(), ones.copy()
+    up[1:], down[1:] = _BASE, _INVERSE
+    return np.cumprod(up), np.cumprod(down)
+
+
+@cache
+def _function_hashes() -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the function words and, for each, which languages have it."""
+    plain, table = _tables()[1], {}
+    for i, words in enumerate(FUNCTION_WORDS.values()):
+        for word in words.split():
+            code = plain[[ord(c) for c in word]]
+            with np.errstate(over="ignore"):
+                h = int((code * _powers(32)[0][: len(code)]).sum(dtype=np.uint64))
+            table.setdefault(h, [0, 0, 0])[i] = 1
+    keys = sorted(table)
+    return np.array(keys, np.uint64), np.array([table[k] for k in keys], np.int64)
+
+
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (exclusive) of the runs of a mask."""
+    edge = np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def judge(pieces: list[str]) -> np.ndarray:
+    """A row of the figures TOLD for each text (or piece of one)."""
+    joined = "\n".join(pieces) + "\n"
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    bits_of, plain_of = _tables()
+    code = np.minimum(code, _LIMIT)
+    bits, n = bits_of[code], len(code)
+    flag = lambda i: (bits & (1 << i)) != 0
+    newline = code == 10
+    ends = np.flatnonzero(newline)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    line_at = np.cumsum(newline) - newline
+    owner = np.searchsorted(np.cumsum([len(p) + 1 for p in pieces]), starts, side="right")
+    count = lambda mask: np.add.reduceat(mask, starts, dtype=np.int64)
+    at = lambda places, weight: np.bincount(line_at[places], weight, len(ends))
+
+    space = flag(7)
+    ink = ~space
+    letters, capital, digit, stop, plain_sign, rule, filled = (count(m) for m in (flag(0), flag(1), flag(2), flag(3), flag(4), flag(5), ink))
 
+    # Column gaps: inner runs of spaces, bars, dot leaders close or spaced, fractions.
+    blank, bar, dot = code == 32, code == 124, code == 46
+    before, after = np.concatenate([[10], code[:-1]]), np.concatenate([code[1:], [10]])
+    s, e = _runs(blank)
+    inner = (e - s >= 2) & (before[s] != 10) & (code[np.minimum(e, n - 1)] != 10)
+    gap = at(s[inner], (e - s)[inner])
+    p = np.flatnonzero(bar)
+    gap += at(p, 1.0 + (before[p] == 32) + (after[p] == 32))
+    s, e = _runs(dot)
+    long = e - s >= 3
+    gap += at(s[long], (e - s)[long])
+    spaced = np.flatnonzero(dot & (before == 32))
+    if len(spaced) > 1:
+        close = np.diff(spaced) == 2
+        chain = np.concatenate([close, [False]]) | np.concatenate([[False], close])
+        gap += at(spaced[chain], np.full(chain.sum(), 2.0))
+    p = np.flatnonzero((code == 47) & (before >= 48) & (before <= 57) & (after >= 48) & (after <= 57))
+    gap += at(p, np.full(len(p), 3.0))
 
-def _chars(text: Column, pattern: str) -> Column:
-    """How many characters the matches of the pattern cover."""
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
-
-
-def _plain(text: Column) -> Column:
-    """Lower case, with the long s and digits that stand for letters read as those letters."""
-    return F.lower(F.translate(text, "ſ01", "sol"))
-
-
-def _function_chars(text: Column, language: str) -> Column:
-    words = "|".join(sorted(FUNCTION_WORDS[language].split(), key=len, reverse=True))
-    return _chars(_plain(text), f"{NOT_BEFORE}(?:{words}){NOT_AFTER}")
-
-
-def _lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
-
-
-def _with_context(docs: DataFrame) -> DataFrame:
-    """One row for each line, with the function-word and letter counts of the line and its two neighbours."""
-    counted = docs.withColumn(
-        "_counted",
-        F.transform(
-            _lines(F.col("text")),
-            lambda s: F.struct(s.alias("line"), _chars(s, r"\p{L}").alias("letters"), *(_function_chars(s, k).alias(k) for k in FUNCTION_WORDS)),
-        ),
-    )
-    near = lambda i, f: reduce(lambda a, b: a + b, (F.coalesce(F.get("_counted", i + d)[f], F.lit(0)) for d in (-1, 0, 1)))
-    joined = F.transform(
-        "_counted",
-        lambda s, i: F.struct(
-            s["line"].alias("line"),
-            s["letters"].alias("letters"),
-            near(i, "letters").alias("near_letters"),
-            *(near(i, k).alias(f"near_{k}") for k in FUNCTION_WORDS),
-            *(s[k].alias(k) for k in FUNCTION_WORDS),
-        ),
-    )
-    return counted.select("_row", "doc_id", F.explode_outer(joined).alias("l")).select("_row", "doc_id", "l.*")
-
-
-def _divergence(shares: list[Column], profile: tuple[float, ...]) -> Column:
-    """Jensen-Shannon divergence from a profile, up to the entropy of the shares, which is the same for all profiles."""
-    own = sum(-q * math.log(q) for q in profile if q > 0)
-    total = sum(profile)
-
-    def mixed(p: Column, q: float) -> Column:
-        m = (p + q / total) / 2
-        return F.when(m > 0, -m * F.log(m)).otherwise(0.0)
-
-    return reduce(lambda a, b: a + b, (mixed(p, q) for p, q in zip(shares, profile, strict=True))) - own / 2
-
-
-def line_kinds(docs: DataFrame) -> DataFrame:
-    """One row for each line that isn't blank: _row, doc_id, line, the class counts, and its kind.
-    `docs` has _row, doc_id and text. A text without such lines has one row with null line and kind."""
-    row = _with_context(docs)
-    text = F.translate("line", "ſ", "s")
-    row = row.select(
-        "*",
-        _chars(text, r"\p{Lu}").alias("capital"),
-        (F.length(text) - F.length(F.translate(text, "0123456789", ""))).alias("digit"),
-        (F.length(text) - F.length(F.translate(text, STOPS, ""))).alias("stop"),
-        _chars(text, GAP).alias("gap"),
-        _chars(text, SIGN).alias("plain_sign"),
-        _chars(text, RULE).alias("rule_sign"),
-        F.when(F.col("letters") > 0, _chars(_plain(text), ODD)).otherwise(0).alias("odd"),
-        F.when((F.col("letters") > 0) & text.rlike(MARK), MARK_WEIGHT).otherwise(0).alias("mark"),
-    )
-    bare = (F.col("letters") * 2 < F.length("line")) & (F.col("digit") * 3 < F.length("line"))
-    most = F.greatest(*(F.col(f"near_{k}") for k in FUNCTION_WORDS))
-    row = row.withColumn("sign", F.col("plain_sign") + F.when(bare, F.col("rule_sign")).otherwise(0)).withColumn(
-        "function", F.col("letters") * most / F.greatest("near_letters", F.lit(1))
-    )
-    row = row.withColumn("word", F.greatest(F.lit(0.0), F.col("letters") - F.col("function") - F.col("capital") - F.col("odd")))
-    total = reduce(lambda a, b: a + b, (F.col(c) for c in CLASSES))
-    row = row.withColumn("weight", total)
-    shares = [F.col(c) / F.col("weight") for c in CLASSES]
-    distance = {k: F.least(*(_divergence(shares, p) for p in v.values())) if len(v) > 1 else _divergence(shares, *v.values()) for k, v in PROFILES.items()}
-    row = row.select("*", *(d.alias(f"from_{k}") for k, d in distance.items()))
-    nearest = F.least(*(F.col(f"from_{k}") for k in KINDS))
-    kind = reduce(lambda w, k: w.when(F.col(f"from_{k}") == nearest, k), KINDS[1:], F.when(F.col("from_prose") == nearest, "prose"))
-    return row.withColumn("kind", F.when(F.col("line").isNull(), F.lit(None).cast("string")).when(F.col("weight") == 0, "junk").otherwise(kind))
+    # Words: function words by hash, and words that can't be spoken.
+    s, e = _runs(flag(6))
+    size, plain = e - s, plain_of[code]
+    up, down = _powers(-(-n // (2 * CHUNK)) * 2 * CHUNK)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(plain * up[:n])])
+        hashed = (total[e] - total[s]) * down[s]
+    keys, spoken = _function_hashes()
+    place = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
+    known = np.flatnonzero(keys[place] == hashed)
+    function = {k: at(s[known], size[known] * spoken[place[known], i]) for i, k in enumerate(FUNCTION_WORDS)}
+    harsh = flag(8)
+    hard = np.concatenate([[0], np.cumsum(harsh)])
+    five = hard[5:] - hard[:-5] == 5 if n >= 5 else np.zeros(0, bool)
+    fives = np.concatenate([[0], np.cumsum(five), np.full(5, five.sum())])
+    next_ = code[np.minimum(e, n - 1)]
+    odd_word = ((size == 1) & ((next_ == 32) | (next_ == 10))) | ((size >= 2) & (hard[e] - hard[s] == size)) | ((size >= 5) & (fives[np.maximum(e - 4, s)] > fives[s]))
+    odd = np.where(letters > 0, at(s[odd_word], size[odd_word]), 0)
+
+    words = count(ink & (space[np.concatenate([[0], np.arange(n - 1)])] | (np.arange(n) == 0)))
+    ink_places, inked = np.flatnonzero(ink), np.cumsum(ink)
+    stops = np.zeros(len(ends), np.int64)
+    full = filled > 0
+    stops[full] = flag(9)[ink_places[inked[ends[full]] - 1]]
+
+    mark = np.zeros(len(ends))
+    first = code[starts]
+    maybe = full & (letters > 0) & ~((first >= 97) & (first <= 122) & (first != 108) & (first != 111))
+    for i in np.flatnonzero(maybe).tolist():
+        if MARK.match(joined[starts[i] : ends[i]].strip()):
+            mark[i] = MARK_WEIGHT
+
+    # Lines that aren't blank, each with its neighbours in the same text.
+    keep = np.flatnonzero(full)
+    own = owner[keep]
+
+    def near(x: np.ndarray) -> np.ndarray:
+        x = x[keep].astype(float)
+        out = x.copy()
+        same = own[1:] == own[:-1]
+        out[1:] += np.where(same, x[:-1], 0)
+        out[:-1] += np.where(same, x[1:], 0)
+        return out
+
+    letters_, length, digit_ = letters[keep], filled[keep] + words[keep] - 1, digit[keep]
+    share = np.max([near(f) for f in function.values()], axis=0) / np.maximum(near(letters), 1)
+    bare = (letters_ * 2 < length) & (digit_ * 3 < length)
+    rows = np.column_stack(
+        [
+            letters_ * share,
+            np.maximum(0, letters_ * (1 - share) - capital[keep] - odd[keep]),
+            capital[keep],
+            digit_,
+            stop[keep],
+            gap[keep],
+            plain_sign[keep] + np.where(bare, rule[keep], 0),
+            odd[keep],
+            mark[keep],
+        ]
+    ).astype(float)
+    kind = nearest(rows)
+    told = [np.ones(len(keep)), words[keep], filled[keep], letters_, plain_sign[keep], stops[keep], *(f[keep] for f in function.values()), *(kind == i for i in range(len(KINDS)))]
+    return np.column_stack([np.bincount(own, np.asarray(x, float), len(pieces)) for x in told]).astype(np.int64)
+
+
+def nearest(rows: np.ndarray) -> np.ndarray:
+    """The index in KINDS of the profile with the least Jensen-Shannon divergence from each row of
+    class counts; a row without any counts is junk. Ties go to the earlier kind."""
+
+    def entropy(p: np.ndarray) -> np.ndarray:
+        return -(p * np.log(np.maximum(p, 1e-300))).sum(axis=-1)
+
+    weight = rows.sum(axis=1, keepdims=True)
+    shares = rows / np.maximum(weight, 1e-300)
+    best = []
+    for profiles in PROFILES.values():
+        each = [np.array(p) / sum(p) for p in profiles]
+        best.append(np.min([entropy((shares + q) / 2) - entropy(q) / 2 for q in each], axis=0))
+    return np.where(weight[:, 0] > 0, np.argmin(best, axis=0), KINDS.index("junk"))
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """The texts in groups of about CHUNK characters, with their positions. A longer text is cut at line ends."""
+    where, group, held = [], [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while at <= len(text):
+            stop = len(text)
+            if stop - at > CHUNK:
+                cut_ = text.rfind("\n", at, at + CHUNK)
+                cut_ = text.find("\n", at + CHUNK) if cut_ <= at else cut_
+                stop = cut_ if cut_ > at else stop
+            where.append(i)
+            group.append(text[at:stop])
+            held += stop - at
+            at = stop + 1
+            if held >= CHUNK:
+                yield where, group
+                where, group, held = [], [], 0
+    if group:
+        yield where, group
+
+
+def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = np.zeros((len(batch), len(TOLD)), np.int64)
+        for where, group in _pieces(batch["text"].tolist()):
+            np.add.at(out, where, judge(group))
+        yield pd.DataFrame(out, columns=list(TOLD)).assign(doc_id=batch["doc_id"].to_numpy())
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each distinct row of figures of a document: doc_id, lines, words, mean_word_length,
-    symbol_ratio (signs among characters), ends_in_stop (share of lines), common_words (share of
-    letters in function words), language (with most function words; null without any), the lines of
-    each kind, other_share (lines that aren't prose) and kind (prose, unless more than half the
-    lines aren't: then the most frequent other kind, first of list, table, junk on ties).
-
-    Whole texts are used. Null texts give no row, texts without a line that isn't blank count 0 lines
-    and have a null kind. Rows that repeat exactly give one row; one id with two texts gives two.
+    """Figures of each text: doc_id, lines, words, mean_word_length, symbol_ratio (signs among
+    characters), ends_in_stop (share of lines), common_words (share of letters in function words),
+    language (with most function words; null without any), the lines of each kind, other_share
+    (lines that aren't prose) and kind (prose, unless more than half the lines aren't: then the
+    most frequent other kind, first of list, table, junk on ties).
+
+    Lines that are blank don't count. Whole texts are used. Null texts and null ids give no row;
+    texts without a line have 0 lines and a null kind. Rows that repeat exactly give one row; one id
+    with two texts gives two.
     """
-    row = docs.where(F.col(text_col).isNotNull()).select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    line = line_kinds(row)
-    words = F.size(F.filter(F.split("line", r"\s+"), lambda w: F.length(w) > 0))
-    counts = line.groupBy("_row", "doc_id").agg(
-        F.count("line").alias("lines"),
-        F.sum(F.coalesce(words, F.lit(0))).cast("long").alias("words"),
-        F.sum(F.length(F.regexp_replace("line", r"\s+", ""))).alias("_ink"),
-        F.sum("letters").alias("_letters"),
-        F.sum(F.col("plain_sign")).alias("_signs"),
-        F.count_if(F.substring("line", -1, 1).isin(*ENDS)).alias("_stops"),
-        *(F.sum(k).alias(f"_{k}") for k in FUNCTION_WORDS),
-        *(F.count_if(F.col("kind") == k).alias(f"{k}_lines") for k in KINDS),
-    )
-    common = F.greatest(*(F.coalesce(f"_{k}", F.lit(0)) for k in FUNCTION_WORDS))
-    language = reduce(lambda w, k: w.when(F.col(f"_{k}") == common, k), list(FUNCTION_WORDS)[1:], F.when(F.col("_en") == common, "en"))
-    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    row = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    schema = ", ".join(f"{c} long" for c in (*TOLD, "doc_id"))
+    told = row.mapInPandas(_judged, schema)
+    common = F.greatest(*FUNCTION_WORDS)
+    language = F.when(F.col("en") == common, "en").when(F.col("de") == common, "de").otherwise("fr")
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a) if isinstance(a, str) else a, F.col(b)), F.lit(0.0))
     lines, prose = F.col("lines"), F.col("prose_lines")
     rest = F.greatest("list_lines", "table_lines", "junk_lines")
     other = F.when(F.col("list_lines") == rest, "list").when(F.col("table_lines") == rest, "table").otherwise("junk")
-    return counts.select(
+    return told.select(
         "doc_id",
         "lines",
         "words",
-        share(F.col("_ink"), F.col("words")).alias("mean_word_length"),
-        share(F.col("_signs"), F.col("_ink")).alias("symbol_ratio"),
-        share(F.col("_stops"), lines).alias("ends_in_stop"),
-        share(common, F.col("_letters")).alias("common_words"),
+        share("ink", "words").alias("mean_word_length"),
+        share("signs", "ink").alias("symbol_ratio"),
+        share("stops", "lines").alias("ends_in_stop"),
+        share(common, "letters").alias("common_words"),
         F.when(common > 0, language).alias("language"),
         *(f"{k}_lines" for k in KINDS),
-        share(lines - prose, lines).alias("other_share"),
+        share(lines - prose, "lines").alias("other_share"),
         F.when(lines > 0, F.when((lines - prose) * 2 > lines, other).otherwise("prose")).alias("kind"),
     ).distinct()
