@@ -161,4 +161,6 @@ class Mix:
         drawn = self.uses().join(block, ["source", "block_no"]).groupBy("mix_id", "source").agg(F.sum(F.col("uses") * F.col("tokens")).alias("drawn_tokens"))
         row = self.planned.join(drawn, ["mix_id", "source"], "left").withColumn("drawn_tokens", F.coalesce("drawn_tokens", F.lit(0)))
         share = F.try_divide(F.col("drawn_tokens"), F.sum("drawn_tokens").over(Window.partitionBy("mix_id")))
-        return row.withColumn("actual_share", F.coalesce(share, F.lit(0.0)))
+        # A source is short if its target is out of reach and the draw indeed ended at its cap.
+        short = F.col("short") & (F.col("drawn_tokens") <= F.col("most_tokens"))
+        return row.withColumn("actual_share", F.coalesce(share, F.lit(0.0))).withColumn("short", short)

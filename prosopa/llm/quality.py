@@ -139,7 +139,7 @@ def judge(pieces: list[str]) -> np.ndarray:
     line_at = np.cumsum(newline) - newline
     owner = np.searchsorted(np.cumsum([len(p) + 1 for p in pieces]), starts, side="right")
     count = lambda mask: np.add.reduceat(mask, starts, dtype=np.int64)
-    at = lambda places, weight: np.bincount(line_at[places], weight, len(ends))
+    at = lambda places, weight: np.bincount(line_at[places], weight, len(ends)).astype(float)
 
     space = flag(7)
     ink = ~space

@@ -44,3 +44,9 @@ def test_long_texts_are_whole(monkeypatch):
     same = [i for i, c in enumerate(q.TOLD) if c not in ("prose_lines", "list_lines", "junk_lines", "table_lines")]
     assert (out[:, same] == whole[:, same]).all()
     assert out[1, q.TOLD.index("list_lines")] == 300
+
+
+def test_texts_without_gaps_or_words():
+    for text in ["a", "é", "§", "word", " ", "1", "a b", ". .", "|"]:
+        assert q.judge([text])[0][0] == (text != " ")
+    assert (q.judge(["word", PROSE])[1] == q.judge([PROSE])[0]).all()
