@@ -111,7 +111,7 @@ def co_outcome_edges(edges: DataFrame, nodes: DataFrame, outcome: str, node: str
     """One row: how many edges there are and how many have the outcome at both ends."""
     y = nodes.select(F.col(node).alias("_n"), F.coalesce(F.col(outcome), F.lit(0)).cast("int").alias("_y")).dropDuplicates(["_n"])
     both = edges.join(y.select(F.col("_n").alias("source"), F.col("_y").alias("ys")), "source", "left").join(y.select(F.col("_n").alias("target"), F.col("_y").alias("yt")), "target", "left")
-    return both.agg(F.count(F.lit(1)).alias("edges"), F.count_if((F.col("ys") == 1) & (F.col("yt") == 1)).alias("both"))
+    return both.agg(F.count(F.lit(1)).alias("edges"), F.count_if((F.col("ys") == 1) & (F.col("yt") == 1)).alias("both_ones"))
 
 
 def bounded_paths(edges: DataFrame, mains: DataFrame, highs: DataFrame, max_distance: int = 6, max_paths: int = 8) -> DataFrame:
@@ -168,13 +168,13 @@ def role_edges(related: DataFrame, mains: DataFrame, paths: DataFrame) -> DataFr
 
 
 def check_graph(nodes: DataFrame, edges: DataFrame, node: str = "id", source: str = "source", target: str = "target") -> DataFrame:
-    """(check, offenders, first): repeated node ids, edges with an end that is no node, self links."""
+    """(check_name, offenders, first): repeated node ids, edges with an end that is no node, self links."""
     ids = nodes.select(F.col(node).alias("id"))
     repeated = ids.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
     ends = edges.select(F.explode(F.array(source, target)).alias("id")).where("id is not null").distinct()
     dangling = ends.join(ids.distinct(), "id", "left_anti")
     looped = edges.where(F.col(source) == F.col(target)).select(F.col(source).alias("id"))
-    told = lambda df, name: df.agg(F.count(F.lit(1)).alias("offenders"), F.min("id").alias("first")).select(F.lit(name).alias("check"), "offenders", "first")
+    told = lambda df, name: df.agg(F.count(F.lit(1)).alias("offenders"), F.min("id").alias("first")).select(F.lit(name).alias("check_name"), "offenders", "first")
     return told(repeated, "repeated_node").unionByName(told(dangling, "dangling_edge")).unionByName(told(looped, "self_link"))
 
 
@@ -189,19 +189,17 @@ def eigenvector(edges: DataFrame, nodes: DataFrame, node: str = "id", max_iterat
     near = adjacency(edges).distinct().withColumnRenamed("node", "id")
     if n == 0 or near.isEmpty():
         return ids.withColumn("eigenvector", F.lit(0.0))
-    near = cut(near.repartition("neighbour"))
+    # A self link for each node makes a round one join and one sum of the last values.
+    near = cut(near.unionByName(ids.select("id", F.col("id").alias("neighbour"))))
     value = ids.withColumn("v", F.lit(1.0 / n))
-    for done in range(0, max_iterations, checkpoint_every):
-        for _ in range(checkpoint_every):
-            last = value
-            summed = near.join(last.select(F.col("id").alias("neighbour"), "v"), "neighbour").groupBy("id").agg(F.sum("v").alias("add"))
-            value = last.join(summed, "id", "left").select("id", "v", (F.col("v") + F.coalesce("add", F.lit(0.0))).alias("raw"))
-            value = value.select("id", F.col("v").alias("was"), F.col("raw").alias("v")) if _ == checkpoint_every - 1 else value.select("id", F.col("raw").alias("v"))
-        value = cut(value)
-        length = value.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))), F.sqrt(F.sum(F.col("was") * F.col("was")))).first()
-        value = value.select("id", (F.col("v") / length[0]).alias("v"), (F.col("was") / length[1]).alias("was"))
-        change = value.agg(F.sum(F.abs(F.col("v") - F.col("was")))).first()[0]
-        value = value.select("id", "v")
+    for _ in range(0, max_iterations, checkpoint_every):
+        for _ in range(checkpoint_every - 1):
+            value = near.join(value.withColumnRenamed("id", "neighbour"), "neighbour").groupBy("id").agg(F.sum("v").alias("v"))
+        was = cut(value)
+        now = cut(near.join(was.withColumnRenamed("id", "neighbour"), "neighbour").groupBy("id").agg(F.sum("v").alias("v")))
+        long = lambda df: df.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0]
+        was, value = was.select("id", (F.col("v") / long(was)).alias("was")), now.select("id", (F.col("v") / long(now)).alias("v"))
+        change = value.join(was, "id").agg(F.sum(F.abs(F.col("v") - F.col("was")))).first()[0]
         if change < n * tolerance:
             return value.withColumnRenamed("v", "eigenvector")
     raise ValueError(f"eigenvector centrality didn't settle in {max_iterations} rounds")

@@ -37,10 +37,10 @@ def dyads(pair: DataFrame, people: DataFrame, key: str = "c_personid", surname:
 
 
 def transmission(pair: DataFrame, cluster: str, father: str, child: str, clusters: Sequence[str]) -> DataFrame:
-    """(cluster, pairs, father_ones, child_ones, both, rate_pct): one row for each named cluster, empty
+    """(cluster, pairs, father_ones, child_ones, both_ones, rate_pct): one row for each named cluster, empty
     ones too; the rate is of fathers with the trait whose child has it."""
     spine = pair.sparkSession.createDataFrame([(c,) for c in clusters], "cluster string")
     f, c = F.coalesce(F.col(father), F.lit(0)), F.coalesce(F.col(child), F.lit(0))
-    counted = pair.groupBy(F.col(cluster).alias("cluster")).agg(F.count(F.lit(1)).alias("pairs"), F.sum(f).alias("father_ones"), F.sum(c).alias("child_ones"), F.sum(f * c).alias("both"))
-    row = spine.join(counted, "cluster", "left").na.fill(0, ["pairs", "father_ones", "child_ones", "both"])
-    return row.withColumn("rate_pct", percent("both", "father_ones"))
+    counted = pair.groupBy(F.col(cluster).alias("cluster")).agg(F.count(F.lit(1)).alias("pairs"), F.sum(f).alias("father_ones"), F.sum(c).alias("child_ones"), F.sum(f * c).alias("both_ones"))
+    row = spine.join(counted, "cluster", "left").na.fill(0, ["pairs", "father_ones", "child_ones", "both_ones"])
+    return row.withColumn("rate_pct", percent("both_ones", "father_ones"))

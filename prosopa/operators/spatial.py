@@ -58,7 +58,8 @@ def nearest(points: DataFrame, k: int, start_cell: float | None = None, most_rou
         grid = lambda c, w=cell: F.floor(F.col(c) / w).cast("long")
         home = spot.select(grid("x").alias("cx"), grid("y").alias("cy"), F.col("id").alias("neighbour"), F.col("x").alias("nx"), F.col("y").alias("ny"))
         step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        probe = open_.select("id", "x", "y", (grid("x") + F.explode(step)).alias("cx"), grid("y").alias("gy")).select("id", "x", "y", "cx", (F.col("gy") + F.explode(step)).alias("cy"))
+        probe = open_.withColumn("gx", grid("x")).withColumn("gy", grid("y")).withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step))
+        probe = probe.select("id", "x", "y", (F.col("gx") + F.col("dx")).alias("cx"), (F.col("gy") + F.col("dy")).alias("cy"))
         pair = probe.join(home, ["cx", "cy"]).where(F.col("id") != F.col("neighbour"))
         pair = pair.withColumn("d2", F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2)).where(F.col("d2") <= cell * cell)
         ranked = pair.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "neighbour"))).where(F.col("rank") <= k)

@@ -257,8 +257,8 @@ def conditional_rates(s, d):
 
 
 @query(f"""WITH {_DYADS}, c AS (SELECT {case_era('child_c_index_year', 'break3', 'missing_year')} AS cluster, coalesce(father_science, 0) AS f, coalesce(child_science, 0) AS c FROM dyad),
-    told AS (SELECT k.cluster, count(c.cluster) AS pairs, CAST(coalesce(sum(f), 0) AS BIGINT) AS father_ones, CAST(coalesce(sum(c), 0) AS BIGINT) AS child_ones, CAST(coalesce(sum(f * c), 0) AS BIGINT) AS "both"
-        FROM (VALUES {', '.join(f"('{c}')" for c in CLUSTERS)}) k(cluster) LEFT JOIN c USING (cluster) GROUP BY 1) SELECT *, {PCT('"both"', 'father_ones')} AS rate_pct FROM told""")
+    told AS (SELECT k.cluster, count(c.cluster) AS pairs, CAST(coalesce(sum(f), 0) AS BIGINT) AS father_ones, CAST(coalesce(sum(c), 0) AS BIGINT) AS child_ones, CAST(coalesce(sum(f * c), 0) AS BIGINT) AS both_ones
+        FROM (VALUES {', '.join(f"('{c}')" for c in CLUSTERS)}) k(cluster) LEFT JOIN c USING (cluster) GROUP BY 1) SELECT *, {PCT('both_ones', 'father_ones')} AS rate_pct FROM told""")
 def cluster_rates(s, d):
     row = dyads(s, d).withColumn("era", classify.era("child_c_index_year", "break3", "missing_year"))
     return kinship.transmission(row, "era", "father_science", "child_science", CLUSTERS)
@@ -392,7 +392,7 @@ def sequence_histogram(s, d):
     return sequences.unique_sequences(listed).select(F.col("text").alias("sequence"), "weight")
 
 
-@query(f"""WITH {CAREERS}, v AS (SELECT career_state, chr(CAST(20000 + row_number() OVER (ORDER BY career_state) AS INTEGER)) AS c FROM (SELECT DISTINCT career_state FROM state)),
+@query(f"""WITH {CAREERS}, v AS (SELECT career_state, chr(CAST(39 + row_number() OVER (ORDER BY career_state) AS INTEGER)) AS c FROM (SELECT DISTINCT career_state FROM state)),
     coded AS (SELECT sequence, string_agg(c, '' ORDER BY i) AS code FROM (SELECT DISTINCT array_to_string(seq, ' > ') AS sequence, seq FROM person_seq) q, unnest(seq) WITH ORDINALITY u(t, i) JOIN v ON v.career_state = u.t GROUP BY 1)
     SELECT a.sequence AS a, b.sequence AS b, levenshtein(a.code, b.code) AS distance FROM coded a JOIN coded b ON a.sequence < b.sequence AND abs(length(a.code) - length(b.code)) <= 1 WHERE levenshtein(a.code, b.code) <= 1""")
 def edit_distance_pairs(s, d):
@@ -405,8 +405,8 @@ def edit_distance_pairs(s, d):
 
 @query()
 def k_medoids(s, d):
-    items = coded_sequences(s, d)
-    placed = sequences.career_types(sequences.k_medoids(items, 6))
+    items = cut(coded_sequences(s, d))
+    placed = sequences.career_types(sequences.k_medoids(items, 6, iterations=8))
     return items.select("sequence_no", "text").join(placed, "sequence_no").select(F.col("text").alias("sequence"), "career_type", "distance", "weight")
 
 
@@ -473,7 +473,7 @@ def contagion(s, d):
     return graph.contagion(kin_edges(s, d), outcome_nodes(s, d), "v")
 
 
-@query(f'WITH {EDGES}, {_Y} SELECT count(*) AS edges, count_if(a.v = 1 AND b.v = 1) AS "both" FROM edge LEFT JOIN y a ON a.id = source LEFT JOIN y b ON b.id = target')
+@query(f'WITH {EDGES}, {_Y} SELECT count(*) AS edges, count_if(a.v = 1 AND b.v = 1) AS both_ones FROM edge LEFT JOIN y a ON a.id = source LEFT JOIN y b ON b.id = target')
 def co_outcome_edges(s, d):
     return graph.co_outcome_edges(kin_edges(s, d), outcome_nodes(s, d), "v")
 
@@ -515,25 +515,13 @@ def role_edges(s, d):
     return graph.role_edges(related(s, d), officials(s, d).select("id"), high_paths(s, d))
 
 
-@query("""SELECT 'repeated_node' AS "check", count(*) AS offenders, min(id) AS first FROM (SELECT c_personid AS id FROM biog_main WHERE c_personid IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+@query("""SELECT 'repeated_node' AS check_name, count(*) AS offenders, min(id) AS first FROM (SELECT c_personid AS id FROM biog_main WHERE c_personid IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
     UNION ALL SELECT 'dangling_edge', count(*), min(id) FROM (SELECT c_personid AS id FROM kin_data UNION SELECT c_kin_id FROM kin_data) WHERE id IS NOT NULL AND id NOT IN (SELECT c_personid FROM biog_main)
     UNION ALL SELECT 'self_link', count(*), min(c_personid) FROM kin_data WHERE c_personid = c_kin_id""")
 def graph_validation(s, d):
     return graph.check_graph(table(s, d, "biog_main"), table(s, d, "kin_data"), "c_personid", "c_personid", "c_kin_id")
 
 
-@query()
-def eigenvector(s, d):
-    edges = kin_edges(s, d)
-    return graph.eigenvector(edges, graph.adjacency(edges).select(F.col("node").alias("id")).distinct(), tolerance=1e-6)
-
-
-@query()
-def betweenness_sampled(s, d):
-    edges = kin_edges(s, d)
-    return graph.betweenness(edges, graph.adjacency(edges).select(F.col("node").alias("id")).distinct())
-
-
 _DOC_EDGES = """doc AS (SELECT DISTINCT record_id, payload FROM science_network_data_20260516 WHERE json_valid(payload)),
 e AS (SELECT record_id, unnest(from_json(coalesce(json_extract(payload, '$.edges'), json_extract(payload, '$.data.edges')), '["json"]')) AS edge FROM doc)"""
 
@@ -548,6 +536,22 @@ def document_edges(s, d):
     return row.where("source is not null and target is not null").groupBy("record_id", "source", "target", "kind").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def document_graph(s, d):
+    """Distinct edges of all network documents, and the nodes they join."""
+    edges = cut(graph.edges_of(document_edges(s, d), "source", "target"))
+    return edges, graph.adjacency(edges).select(F.col("node").alias("id")).distinct()
+
+
+@query()
+def eigenvector(s, d):
+    return graph.eigenvector(*document_graph(s, d), tolerance=1e-5, checkpoint_every=15)
+
+
+@query()
+def betweenness_sampled(s, d):
+    return graph.betweenness(*document_graph(s, d), pivots=64)
+
+
 # Spatial
 
 HAVERSINE = "2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians({3} - {1}) / 2), 2) + cos(radians({1})) * cos(radians({3})) * pow(sin(radians({2} - {0}) / 2), 2))))".format
@@ -573,7 +577,7 @@ def dispersion(s, d):
 
 
 @query(f"""WITH {OFFICIALS}, {VALID}, m AS (SELECT cluster, avg(x) AS x, avg(y) AS y FROM place GROUP BY 1)
-    SELECT a.cluster AS cluster_a, b.cluster AS cluster_b, round({HAVERSINE('a.x', 'a.y', 'b.x', 'b.y')}, 6) AS distance_km FROM m a JOIN m b ON a.cluster < b.cluster""")
+    SELECT a.cluster AS cluster_a, b.cluster AS cluster_b, round({HAVERSINE('a.x', 'a.y', 'b.x', 'b.y')}, 6) AS distance_km FROM m a JOIN m b ON a.cluster < b.cluster AND a.cluster LIKE 'cluster%' AND b.cluster LIKE 'cluster%'""")
 def centroid_distance(s, d):
     return spatial.centroid_distances(places(s, d), "cluster", CLUSTERS).withColumn("distance_km", r6("distance_km"))
 
