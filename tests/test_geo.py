@@ -36,7 +36,7 @@ def test_near_pairs_against_all_pairs(spark):
 def test_near_pairs_at_poles_and_date_line(spark):
     rng = random.Random(2)
     rows = [(i, rng.uniform(-180, 180), rng.choice([-1, 1]) * rng.uniform(89.9, 90), "") for i in range(60)]
-    rows += [(100 + i, rng.choice([-180, 180, 179.999, -179.999]), rng.uniform(-0.01, 0.01), "") for i in range(20)]
+    rows += [(100 + i, rng.choice([-180.0, 180.0, 179.999, -179.999]), rng.uniform(-0.01, 0.01), "") for i in range(20)]
     assert pairs(spark, rows, 4.0) == brute(rows, 4.0)
 
 
