@@ -127,7 +127,8 @@ def drawn_blocks(planned: DataFrame, seed: int = 17, slots_per_shard: int = SLOT
 
 
 class Mix:
-    """The tables of one mixing run: `planned`, `spans`, `drawn`, and what follows from them."""
+    """The tables of one mixing run: `planned`, `spans`, `drawn`, and what follows from them. Block
+    tables grow with the texts but compress so well that they look small; hence the merge hints."""
 
     def __init__(self, docs: DataFrame, targets: DataFrame, seed: int = 17, block_tokens: int = BLOCK_TOKENS, slots_per_shard: int = SLOTS_PER_SHARD, **columns: str):
         wanted = targets.select("source").distinct()
@@ -142,13 +143,13 @@ class Mix:
 
     def content(self) -> DataFrame:
         """(mix_id, shard, source, pass, block_no, doc_id, span_from, span_tokens): the mixes themselves."""
-        return self.drawn.join(self.spans, ["source", "block_no"])
+        return self.drawn.join(self.spans.hint("merge"), ["source", "block_no"])
 
     def documents(self) -> DataFrame:
         """(mix_id, source, doc_id, repeats, whole_repeats, tokens): how often a text is in a mix, at most
         and at least over its parts (a text that runs over several blocks can be there in part)."""
         whole = self.spans.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("_pieces"))
-        used = self.uses().join(self.spans, ["source", "block_no"])
+        used = self.uses().join(self.spans.hint("merge"), ["source", "block_no"])
         told = used.groupBy("mix_id", "source", "doc_id").agg(
             F.max("uses").alias("repeats"), F.min("uses").alias("_least"), F.count(F.lit(1)).alias("_seen"), F.sum(F.col("uses") * F.col("span_tokens")).alias("tokens")
         )
@@ -158,7 +159,7 @@ class Mix:
     def report(self) -> DataFrame:
         """The plan with drawn_tokens and actual_share (of what was drawn for the mix; 0 where nothing was)."""
         block = self.spans.groupBy("source", "block_no").agg(F.sum("span_tokens").alias("tokens"))
-        drawn = self.uses().join(block, ["source", "block_no"]).groupBy("mix_id", "source").agg(F.sum(F.col("uses") * F.col("tokens")).alias("drawn_tokens"))
+        drawn = self.uses().join(block.hint("merge"), ["source", "block_no"]).groupBy("mix_id", "source").agg(F.sum(F.col("uses") * F.col("tokens")).alias("drawn_tokens"))
         row = self.planned.join(drawn, ["mix_id", "source"], "left").withColumn("drawn_tokens", F.coalesce("drawn_tokens", F.lit(0)))
         share = F.try_divide(F.col("drawn_tokens"), F.sum("drawn_tokens").over(Window.partitionBy("mix_id")))
         # A source is short if its target is out of reach and the draw indeed ended at its cap.
