@@ -190,9 +190,7 @@ def subtype_tables(shaped: DataFrame) -> dict[str, DataFrame]:
 
 def object_keys(shaped: DataFrame) -> DataFrame:
     """(record_id, node_no, list_name, item_no) of every node (list `nodes`, item 0) and every office."""
-    node = shaped.select("record_id", "node_no", F.lit("nodes").alias("list_name"), F.lit(0).alias("item_no"))
-    for name in OFFICE_LISTS:
-        node = node.unionByName(
-            shaped.select("record_id", "node_no", F.lit(name).alias("list_name"), F.explode(F.transform(name, lambda o: o["item_no"])).alias("item_no"))
-        )
-    return node
+    key = lambda name, item: F.struct(F.lit(name).alias("list_name"), item.alias("item_no"))
+    own = F.array(key("nodes", F.lit(0)))
+    items = (F.transform(name, lambda o, name=name: key(name, o["item_no"])) for name in OFFICE_LISTS)
+    return shaped.select("record_id", "node_no", F.inline(F.concat(own, *items)))
