@@ -192,5 +192,8 @@ def object_keys(shaped: DataFrame) -> DataFrame:
     """(record_id, node_no, list_name, item_no) of every node (list `nodes`, item 0) and every office."""
     key = lambda name, item: F.struct(F.lit(name).alias("list_name"), item.alias("item_no"))
     own = F.array(key("nodes", F.lit(0)))
-    items = (F.transform(name, lambda o, name=name: key(name, o["item_no"])) for name in OFFICE_LISTS)
-    return shaped.select("record_id", "node_no", F.inline(F.concat(own, *items)))
+
+    def listed(name: str) -> Column:
+        return F.transform(name, lambda o: key(name, o["item_no"]))
+
+    return shaped.select("record_id", "node_no", F.inline(F.concat(own, *map(listed, OFFICE_LISTS))))
