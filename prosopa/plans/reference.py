@@ -323,7 +323,7 @@ def zscore(s, d):
     return row.select("c_personid", r6("year_z").alias("year_z"), r6("filled_z").alias("filled_z"))
 
 
-@query(f"WITH {PEOPLE}, n AS (SELECT c_dy, count(*) AS people, count_if(c_female = 1) AS women FROM person GROUP BY c_dy) SELECT c_dy, people, women, {PCT('women', 'people')} AS women_pct FROM n")
+@query(f"WITH {PEOPLE}, n AS (SELECT c_dy, count(*) AS people, CAST(count_if(c_female = 1) AS BIGINT) AS women FROM person GROUP BY c_dy) SELECT c_dy, people, women, {PCT('women', 'people')} AS women_pct FROM n")
 def pct_safe(s, d):
     row = people(s, d).groupBy("c_dy").agg(F.count(F.lit(1)).alias("people"), F.count_if(F.col("c_female") == 1).alias("women"))
     return row.withColumn("women_pct", exprs.percent("women", "people"))
@@ -352,7 +352,7 @@ def collapse_adjacent(s, d):
     return row.select("c_personid", F.array_join("c", " > ").alias("collapsed_sequence"), F.size("c").cast("long").alias("states"))
 
 
-@query(f"""WITH {CAREERS}, n AS (SELECT c_personid, count(*) AS posting_count, count_if(office_domain <> 'other') AS technical_postings, count(DISTINCT career_state) AS distinct_states,
+@query(f"""WITH {CAREERS}, n AS (SELECT c_personid, count(*) AS posting_count, CAST(count_if(office_domain <> 'other') AS BIGINT) AS technical_postings, count(DISTINCT career_state) AS distinct_states,
         min(first_year) AS first_year, max(last_year) AS last_year, max(CASE WHEN office_domain = 'medical' THEN 1 ELSE 0 END) AS ever_medical FROM state GROUP BY c_personid)
     SELECT n.*, last_year - first_year AS span_years, {PCT('technical_postings', 'posting_count')} AS technical_pct, seq[1] AS first_state, seq[-1] AS last_state, len(seq) AS collapsed_length,
         array_to_string(seq, ' > ') AS collapsed_sequence FROM n JOIN person_seq USING (c_personid)""")
@@ -412,7 +412,7 @@ def k_medoids(s, d):
 
 @query(f"""WITH {CAREERS}, {PEOPLE}, n AS (SELECT c_personid, count(*) AS posting_count, seq[1] AS first_state FROM state JOIN person_seq USING (c_personid) GROUP BY ALL),
     k AS (SELECT n.*, {case_era('c_index_year', 'break3', 'missing_year')} AS cluster FROM n LEFT JOIN person USING (c_personid))
-    SELECT first_state, count(*) AS node_count, round(avg(posting_count), 6) AS mean_posting_count, {', '.join(f"count_if(cluster = '{c}') AS {c}_count" for c in CLUSTERS)} FROM k GROUP BY first_state""")
+    SELECT first_state, count(*) AS node_count, round(avg(posting_count), 6) AS mean_posting_count, {', '.join(f"CAST(count_if(cluster = '{c}') AS BIGINT) AS {c}_count" for c in CLUSTERS)} FROM k GROUP BY first_state""")
 def type_summary(s, d):
     era = people(s, d).select("c_personid", classify.era("c_index_year", "break3", "missing_year").alias("era"))
     row = sequences.career_features(careers(s, d)).join(era, "c_personid", "left")
@@ -473,7 +473,7 @@ def contagion(s, d):
     return graph.contagion(kin_edges(s, d), outcome_nodes(s, d), "v")
 
 
-@query(f'WITH {EDGES}, {_Y} SELECT count(*) AS edges, count_if(a.v = 1 AND b.v = 1) AS both_ones FROM edge LEFT JOIN y a ON a.id = source LEFT JOIN y b ON b.id = target')
+@query(f'WITH {EDGES}, {_Y} SELECT count(*) AS edges, CAST(count_if(a.v = 1 AND b.v = 1) AS BIGINT) AS both_ones FROM edge LEFT JOIN y a ON a.id = source LEFT JOIN y b ON b.id = target')
 def co_outcome_edges(s, d):
     return graph.co_outcome_edges(kin_edges(s, d), outcome_nodes(s, d), "v")
 
