@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prosopa.functions.permute import numbered, permuted
 from prosopa.operators.geo import haversine_km
-from prosopa.session import cut
+from prosopa.session import cut, slice_join
 
 
 def centroids(points: DataFrame, by: str) -> DataFrame:
@@ -43,33 +43,40 @@ def centroid_distances(points: DataFrame, by: str, clusters: Sequence[str]) -> D
 def nearest(points: DataFrame, k: int, start_cell: float | None = None, most_rounds: int = 24) -> DataFrame:
     """(id, neighbour, rank, d2): the k nearest other points of each in plane degrees, ties by id.
 
-    Points meet the points of the 3 x 3 grid cells around theirs. Neighbours within one cell's width are
-    certain; points with fewer than k certain ones go on with a cell twice as wide, the others are
-    done. No point is compared with all. With k or fewer points there is a ValueError.
+    Ids at one spot share their neighbours, so spots rather than points are searched: of any spot only
+    the k + 1 smallest ids can be neighbours, and a spot's k + 1 nearest ids hold the k nearest of each
+    of its ids. A spot that holds a third of all rows is one row of the search. Spots meet the spots of
+    the 3 x 3 grid cells around theirs, crowded cells in slices. Neighbours within one cell's width are
+    certain; spots with fewer than k + 1 certain ones go on with a cell twice as wide, the others are
+    done. No point is compared with all. Ids must be unique. With k or fewer points there is a ValueError.
     """
-    spot = cut(points.select(F.col("id").cast("long").alias("id"), "x", "y"))
-    told = spot.agg(F.count(F.lit(1)), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    points = cut(points.select(F.col("id").cast("long").alias("id"), "x", "y"))
+    told = points.agg(F.count(F.lit(1)), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
     n, width = told[0], max(told[1] or 0.0, told[2] or 0.0)
     if not 0 < k < n:
         raise ValueError(f"k = {k} needs 0 < k < {n} points")
+    first_ids = points.withColumn("at", F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))).where(F.col("at") <= k + 1)
+    spot = cut(first_ids.groupBy("x", "y").agg(F.collect_list("id").alias("ids")))
     cell = start_cell or max(width * (k / n) ** 0.5, 1e-9)
-    open_, done = spot, None
+    open_, done = spot.select("x", "y"), None
     for _ in range(most_rounds):
         grid = lambda c, w=cell: F.floor(F.col(c) / w).cast("long")
-        home = spot.select(grid("x").alias("cx"), grid("y").alias("cy"), F.col("id").alias("neighbour"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+        home = spot.select(grid("x").alias("cx"), grid("y").alias("cy"), "ids", F.col("x").alias("nx"), F.col("y").alias("ny"))
         step = F.array(F.lit(-1), F.lit(0), F.lit(1))
         probe = open_.withColumn("gx", grid("x")).withColumn("gy", grid("y")).withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step))
-        probe = probe.select("id", "x", "y", (F.col("gx") + F.col("dx")).alias("cx"), (F.col("gy") + F.col("dy")).alias("cy"))
-        pair = probe.join(home, ["cx", "cy"]).where(F.col("id") != F.col("neighbour"))
+        probe = probe.select("x", "y", (F.col("gx") + F.col("dx")).alias("cx"), (F.col("gy") + F.col("dy")).alias("cy"))
+        pair = slice_join(home, probe, ["cx", "cy"], ["nx", "ny"], 2048)
         pair = pair.withColumn("d2", F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2)).where(F.col("d2") <= cell * cell)
-        ranked = pair.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "neighbour"))).where(F.col("rank") <= k)
-        ranked = cut(ranked.select("id", "neighbour", "rank", "d2"))
-        full = ranked.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == k).select("id")
-        part = ranked.join(full, "id", "left_semi")
-        done = part if done is None else done.unionByName(part)
-        open_ = cut(open_.join(full, "id", "left_anti"))
+        pair = pair.select("x", "y", "d2", F.explode("ids").alias("neighbour"))
+        ranked = pair.withColumn("at", F.row_number().over(Window.partitionBy("x", "y").orderBy("d2", "neighbour"))).where(F.col("at") <= k + 1)
+        near = ranked.groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("d2", "neighbour"))).alias("near"))
+        full = cut(near.where(F.size("near") == k + 1))
+        done = full if done is None else done.unionByName(full)
+        open_ = cut(open_.join(full.select("x", "y"), ["x", "y"], "left_anti"))
         if open_.isEmpty():
-            return done
+            others = F.slice(F.filter("near", lambda m: m["neighbour"] != F.col("id")), 1, k)
+            row = slice_join(points, done, ["x", "y"], ["id"], 65536).select("id", F.posexplode(others).alias("at", "m"))
+            return row.select("id", "m.neighbour", (F.col("at") + 1).alias("rank"), "m.d2")
         cell *= 2
     raise ValueError("points too uneven for the number of rounds")
 

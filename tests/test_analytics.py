@@ -137,6 +137,9 @@ def test_nearest_and_moran(spark):
     rows = [(i, rng.choice([rng.uniform(0, 1), rng.uniform(0, 100)]), rng.uniform(0, 1)) for i in range(150)]
     want = {(i, j) for i, x, y in rows for _, j in sorted(((x - a) ** 2 + (y - b) ** 2, j) for j, a, b in rows if j != i)[:3]}
     assert {(r.id, r.neighbour) for r in spatial.nearest(spark.createDataFrame(rows, "id long, x double, y double"), 3).collect()} == want
+    crowd = [(i, 5.0, 5.0) if i % 3 == 0 else (i, float(i % 7), float(i % 5)) for i in range(120)]
+    want = {(i, j) for i, x, y in crowd for _, j in sorted(((x - a) ** 2 + (y - b) ** 2, j) for j, a, b in crowd if j != i)[:4]}
+    assert {(r.id, r.neighbour) for r in spatial.nearest(spark.createDataFrame(crowd, "id long, x double, y double"), 4).collect()} == want
     values = spark.createDataFrame([(0, 1.0), (1, 1.0), (2, 0.0), (3, 0.0)], "id long, value double")
     links = spark.createDataFrame([(0, 1), (1, 0), (2, 3), (3, 2)], "id long, neighbour long")
     assert spatial.morans_i(values, links).first().morans_i > 0
