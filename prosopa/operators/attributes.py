@@ -48,6 +48,12 @@ def top_values(df: DataFrame, key: str, value: str, count: int) -> DataFrame:
     return ranked.join(total, key).select(key, "rank", value, "count", percent("count", "_total").alias("share_pct"))
 
 
+def most_common(df: DataFrame, value: str, count: int) -> DataFrame:
+    """(value, count): the `count` most frequent non-blank values of a table, the smaller first on ties."""
+    rows = df.where(F.col(value).isNotNull() & (F.trim(value) != ""))
+    return rows.groupBy(value).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), F.asc(value)).limit(count)
+
+
 def ordered_distinct_text(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
     """Distinct values of {new: column} joined by semicolons in the order of the values (numbers as
     numbers, null as None, last), and record_count. Numbers and texts are sorted before they are written."""

@@ -240,10 +240,23 @@ def betweenness(edges: DataFrame, nodes: DataFrame, node: str = "id", pivots: in
     return ids.join(summed, "id", "left").na.fill(0.0, ["betweenness"])
 
 
-def network_view(nodes: DataFrame, edges: DataFrame, types: Sequence[str] | None = None, text: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes of the given types whose id or name has the text, and the edges between them."""
+def network_summary(roles: DataFrame, edges: DataFrame) -> DataFrame:
+    """(metric, value): nodes by type, high officials, and edges by category, from `roles` and `role_edges`."""
+    node = roles.groupBy(F.concat(F.lit("nodes_"), "node_type").alias("metric")).agg(F.count(F.lit(1)).alias("value"))
+    high = roles.where("is_high").agg(F.lit("high_officials").alias("metric"), F.count(F.lit(1)).alias("value"))
+    edge = edges.groupBy(F.concat(F.lit("edges_"), "category").alias("metric")).agg(F.count(F.lit(1)).alias("value"))
+    return node.unionByName(high).unionByName(edge)
+
+
+def network_view(
+    nodes: DataFrame, edges: DataFrame, types: Sequence[str] | None = None, text: str | None = None, dynasty: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the given types and dynasty whose id is the text or whose name has it, in either case of
+    letters, and the edges between them. `nodes` has id, node_type, name and, for a dynasty, dynasty;
+    a null field fits no condition."""
     shown = nodes if types is None else nodes.where(F.col("node_type").isin(*types))
+    if dynasty is not None:
+        shown = shown.where(F.col("dynasty") == dynasty)
     if text:
-        shown = shown.where((F.col("id").cast("string") == text) | F.col("name").contains(text))
+        shown = shown.where((F.col("id").cast("string") == text) | F.lower("name").contains(text.lower()))
     return shown, induced(edges, shown)
-

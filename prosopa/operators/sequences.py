@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prosopa.functions.classify import career_state, category, domain
 from prosopa.functions.exprs import percent
+from prosopa.operators.attributes import most_frequent
 from prosopa.session import cut, slice_join
 
 NO_POSTING = "no_observed_posting"
@@ -148,7 +149,8 @@ def k_medoids(items: DataFrame, k: int, iterations: int = 20, candidates: int =
         placed = cut(to_medoids(items, frame(centres)))
         rank = F.row_number().over(Window.partitionBy("medoid").orderBy("distance", F.desc("weight"), "sequence_no"))
         offer = placed.withColumn("r", rank).where(F.col("r") <= candidates).select("medoid", F.col("sequence_no").alias("c_no"), F.col("code").alias("c_code"))
-        cost = placed.join(offer, "medoid").groupBy("medoid", "c_no", "c_code").agg(F.sum(F.levenshtein("code", "c_code") * F.col("weight")).alias("cost"))
+        # At most medoids x candidates rows are offered, so they may be broadcast.
+        cost = placed.join(F.broadcast(offer), "medoid").groupBy("medoid", "c_no", "c_code").agg(F.sum(F.levenshtein("code", "c_code") * F.col("weight")).alias("cost"))
         best = cost.groupBy("medoid").agg(F.min(F.struct("cost", "c_no", "c_code")).alias("b")).select("b.c_no", "b.c_code")
         moved = sorted(tuple(r) for r in best.collect())
         if moved == sorted(centres):
@@ -170,3 +172,33 @@ def type_summary(rows: DataFrame, type_: str, cluster: str, clusters: Sequence[s
     return rows.groupBy(type_).agg(
         F.count(F.lit(1)).alias("node_count"), F.avg(value).alias(f"mean_{value}"), *(F.count_if(F.col(cluster) == c).alias(f"{c}_count") for c in clusters)
     )
+
+
+def cluster_summary(features: DataFrame, cluster: str) -> DataFrame:
+    """One row for each cluster of `career_features`: persons, mean and median postings, mean share of
+    technical postings, persons ever in medicine with their share, mean and median of the known spans (null
+    where none is known), and the most frequent first and last state (the smaller on ties)."""
+    told = features.groupBy(cluster).agg(
+        F.count(F.lit(1)).alias("persons"),
+        F.avg("posting_count").alias("mean_postings"),
+        F.median("posting_count").alias("median_postings"),
+        F.avg("technical_pct").alias("mean_technical_pct"),
+        F.sum("ever_medical").alias("ever_medical"),
+        F.count("span_years").alias("spans"),
+        F.avg("span_years").alias("mean_span"),
+        F.median("span_years").alias("median_span"),
+    )
+    told = told.withColumn("ever_medical_pct", percent("ever_medical", "persons"))
+    for state in ("first_state", "last_state"):
+        told = told.join(most_frequent(features, [cluster], state, out=f"common_{state}"), cluster, "left")
+    return told
+
+
+def medoid_report(placed: DataFrame) -> DataFrame:
+    """(career_type, medoid, sequences, weight, mean_distance): one row for each type of `career_types`;
+    the mean distance to the medoid counts each sequence by its weight."""
+    return placed.groupBy("career_type", "medoid").agg(
+        F.count(F.lit(1)).alias("sequences"),
+        F.sum("weight").alias("weight"),
+        (F.sum(F.col("distance") * F.col("weight")) / F.greatest(F.sum("weight"), F.lit(1))).alias("mean_distance"),
+    )
