@@ -109,9 +109,12 @@ def near_pairs(
 def ring_edges(areas: DataFrame, area_col: str = "area_id", rings_col: str = "rings") -> DataFrame:
     """One row (area, ring, x1, y1, x2, y2) for each side of each ring; ring 0 is the outline, later
     rings are holes. Rings that don't end where they began are closed; null rings, null corners and
-    rings of fewer than three corners are left out."""
+    rings of fewer than three corners are left out. Rows that repeat an area exactly count once; different
+    rows of one area count together."""
     corners = (
-        areas.select(F.col(area_col).alias("area"), F.posexplode(rings_col).alias("ring", "raw"))
+        areas.select(F.col(area_col).alias("area"), F.col(rings_col).alias("rings"))
+        .distinct()
+        .select("area", F.posexplode("rings").alias("ring", "raw"))
         .withColumn("p", F.filter("raw", lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull()))
         .where(F.size("p") >= 3)
     )
