@@ -114,10 +114,13 @@ def disguised_by_key(values: DataFrame, keys: list[str], col: str, references: D
 
 
 def with_one_form(df: DataFrame, col: str, references: DataFrame, ref_col: str, out: str) -> DataFrame:
-    """`df` with `out`: the reference a value equals or looks like, else the value itself."""
-    found = disguised(df, col, references, ref_col).select(F.col("value").alias("_value"), F.col("reference").alias("_reference"))
-    joined = df.join(found, df[col] == F.col("_value"), "left")
-    return joined.select(*(df[c] for c in df.columns), F.coalesce("_reference", df[col]).alias(out))
+    """`df` with `out`: the reference a value equals or looks like, else the value itself. Any column
+    names are fine in `df`, but a column named `out` is replaced."""
+    found = disguised(df, col, references, ref_col).alias("_found_form")
+    given = df.alias("_given_row")
+    value = F.col(f"_given_row.`{col}`")
+    kept = (F.col(f"_given_row.`{c}`").alias(c) for c in df.columns if c != out)
+    return given.join(found, value == F.col("_found_form.value"), "left").select(*kept, F.coalesce(F.col("_found_form.reference"), value).alias(out))
 
 
 __all__ = ["disguised", "disguised_by_key", "label_key", "label_key_of", "skeleton", "skeleton_classes", "skeleton_of", "skeletons", "with_one_form"]
