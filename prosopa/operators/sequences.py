@@ -122,14 +122,47 @@ def to_medoids(items: DataFrame, medoids: DataFrame) -> DataFrame:
     return best.select("sequence_no", "code", "weight", F.col("b.m_no").alias("medoid"), F.col("b.distance").alias("distance"))
 
 
-def k_medoids(items: DataFrame, k: int, iterations: int = 20, candidates: int = 64) -> DataFrame:
+def _bounded(placed: DataFrame) -> DataFrame:
+    """`placed` with a lower bound of each item's cost as medoid of its cluster: d(x, c) is at least
+    |d(x, m) - d(c, m)| for the present medoid m, so the bound needs only the weights by distance from m."""
+    held = placed.groupBy("medoid", "distance").agg(F.sum("weight").alias("w"))
+    other = held.select("medoid", F.col("distance").alias("d2"), "w")
+    bound = held.drop("w").join(other, "medoid").groupBy("medoid", "distance").agg(F.sum(F.abs(F.col("distance") - F.col("d2")) * F.col("w")).alias("bound"))
+    return placed.join(bound, ["medoid", "distance"])
+
+
+def best_members(placed: DataFrame, block: int = 64, most: int = 4096) -> list[tuple[int, str]]:
+    """(number, code) of the member of each cluster of `placed` with the least weighted distance to all
+    its members, the smaller number on ties.
+
+    Members are tried in blocks by rising bound of their cost (`block`, then four times as many, up to
+    `most`) until no bound beats the best cost, so the result is that of trying every member.
+    """
+    spark = placed.sparkSession
+    left, best = cut(_bounded(placed)), {}
+    while True:
+        rank = F.row_number().over(Window.partitionBy("medoid").orderBy("bound", "sequence_no"))
+        offer = cut(left.withColumn("r", rank).where(F.col("r") <= block).select("medoid", F.col("sequence_no").alias("c_no"), F.col("code").alias("c_code")))
+        # At most medoids x block rows are offered, so they may be broadcast.
+        cost = placed.join(F.broadcast(offer), "medoid").groupBy("medoid", "c_no", "c_code").agg(F.sum(F.levenshtein("code", "c_code") * F.col("weight")).alias("cost"))
+        for r in cost.groupBy("medoid").agg(F.min(F.struct("cost", "c_no", "c_code")).alias("b")).select("medoid", "b.*").collect():
+            best[r["medoid"]] = min(best.get(r["medoid"], tuple(r)[1:]), tuple(r)[1:])
+        limit = spark.createDataFrame([(m, c, n) for m, (c, n, _) in best.items()], "medoid long, _cost long, _no long")
+        beats = (F.col("bound") < F.col("_cost")) | ((F.col("bound") == F.col("_cost")) & (F.col("sequence_no") < F.col("_no")))
+        tried = offer.select("medoid", F.col("c_no").alias("sequence_no"))
+        left = cut(left.join(F.broadcast(limit), "medoid").where(beats).drop("_cost", "_no").join(tried, ["medoid", "sequence_no"], "left_anti"))
+        if left.isEmpty():
+            return sorted((n, code) for _, n, code in best.values())
+        block = min(4 * block, most)
+
+
+def k_medoids(items: DataFrame, k: int, iterations: int = 100, candidates: int = 64) -> DataFrame:
     """Weighted medoids of coded sequences (sequence_no, code, weight), as from `to_medoids`.
 
     Starts with the heaviest item and adds, k - 1 times, the one with the greatest distance times
     the root of its weight. Then items go to their nearest medoid, and each cluster takes the member
-    with the least weighted distance, until nothing changes. A cluster's candidates are its `candidates`
-    members nearest to the present medoid: the medoid moves there step by step, so a step compares
-    a cluster with that many rows rather than with itself. Ties go to the smaller distance, then number. No
+    with the least weighted distance of all its members, until nothing changes. `candidates` is the size of the
+    first block of members that are tried (see `best_members`). Ties go to the smaller distance, then number. No
     more medoids than items; only the k centres come to the driver.
     """
     items = cut(items.select("sequence_no", "code", "weight"))
@@ -146,13 +179,7 @@ def k_medoids(items: DataFrame, k: int, iterations: int = 20, candidates: int =
             break
         centres.append(tuple(nxt))
     for _ in range(iterations):
-        placed = cut(to_medoids(items, frame(centres)))
-        rank = F.row_number().over(Window.partitionBy("medoid").orderBy("distance", F.desc("weight"), "sequence_no"))
-        offer = placed.withColumn("r", rank).where(F.col("r") <= candidates).select("medoid", F.col("sequence_no").alias("c_no"), F.col("code").alias("c_code"))
-        # At most medoids x candidates rows are offered, so they may be broadcast.
-        cost = placed.join(F.broadcast(offer), "medoid").groupBy("medoid", "c_no", "c_code").agg(F.sum(F.levenshtein("code", "c_code") * F.col("weight")).alias("cost"))
-        best = cost.groupBy("medoid").agg(F.min(F.struct("cost", "c_no", "c_code")).alias("b")).select("b.c_no", "b.c_code")
-        moved = sorted(tuple(r) for r in best.collect())
+        moved = best_members(cut(to_medoids(items, frame(centres))), candidates)
         if moved == sorted(centres):
             break
         centres = moved

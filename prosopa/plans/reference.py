@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from prosopa.functions import classify, exprs
 from prosopa.operators import attributes, breaks, geo, graph, kinship, models, nested, sequences, spatial
-from prosopa.plans.config import BUREAUS, CLUSTERS, DOMAINS, ERAS, TECHNICAL_WORDS, TRANSITION_YEARS
+from prosopa.plans.config import BUREAUS, CLUSTERS, DOMAINS, ERAS, TECHNICAL_WORDS, TRANSITION_YEARS, Careers
 from prosopa.session import cut, table
 
 PERMUTATIONS = 99
+CAREERS_SET = Careers()
 KIN_SETS = {"has_father": [75, 76], "has_son": [180, 181, 182, 183], "has_wife": [134]}
 NOT_OFFICERS = ["力士", "老人"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -406,7 +407,7 @@ def edit_distance_pairs(s, d):
 @query()
 def k_medoids(s, d):
     items = cut(coded_sequences(s, d))
-    placed = sequences.career_types(sequences.k_medoids(items, 6, iterations=8))
+    placed = sequences.career_types(sequences.k_medoids(items, CAREERS_SET.types, CAREERS_SET.iterations))
     return items.select("sequence_no", "text").join(placed, "sequence_no").select(F.col("text").alias("sequence"), "career_type", "distance", "weight")
 
 

@@ -55,7 +55,7 @@ def career_cluster_summary(s: SparkSession, d: str) -> DataFrame:
 def career_type_medoids(s: SparkSession, d: str) -> DataFrame:
     """The six career types with their medoids, sizes and mean distances."""
     items = cut(ref.coded_sequences(s, d))
-    told = sequences.medoid_report(sequences.career_types(sequences.k_medoids(items, 6, iterations=8)))
+    told = sequences.medoid_report(sequences.career_types(sequences.k_medoids(items, ref.CAREERS_SET.types, ref.CAREERS_SET.iterations)))
     name = items.select(F.col("sequence_no").alias("medoid"), F.col("text").alias("medoid_sequence"))
     return told.join(name, "medoid").select("career_type", "medoid_sequence", "sequences", "weight", ref.r6("mean_distance").alias("mean_distance"))
 

@@ -84,6 +84,19 @@ def test_k_medoids(spark):
     assert sequences.k_medoids(items.limit(0), 2).count() == 0
 
 
+def test_k_medoids_tries_every_member(spark):
+    # The heaviest item has 79 near ones, the rest lies 6 away from it around a member that costs least.
+    near = ["aaaaaaaa"[:i] + x + "aaaaaaaa"[i + 1 :] for x in "bcdefghijk" for i in range(8)][:79]
+    far = ["aazzzzzz", *("aazzzzzz"[:i] + x + "aazzzzzz"[i + 1 :] for x in "bcdefghijk" for i in range(8))]
+    codes = ["aaaaaaaa", *near, *far]
+    rows = [(i, c, 12 if i == 0 else 1 if c in near else 10) for i, c in enumerate(codes)]
+    size = lambda a, b: sum(x != y for x, y in zip(a, b))
+    best = min((sum(size(c, x) * w for _, x, w in rows), i) for i, c, _ in rows)[1]
+    assert codes[best] == "aazzzzzz"
+    got = sequences.k_medoids(spark.createDataFrame(rows, "sequence_no long, code string, weight long"), 1).collect()
+    assert {r.medoid for r in got} == {best}
+
+
 EDGES = "source long, target long"
 
 
