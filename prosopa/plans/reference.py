@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from prosopa.functions import classify, exprs
 from prosopa.operators import attributes, breaks, geo, graph, kinship, models, nested, sequences, spatial
-from prosopa.plans.config import BUREAUS, CLUSTERS, DOMAINS, ERAS, TECHNICAL_WORDS, TRANSITION_YEARS, Careers
+from prosopa.plans.config import BUREAUS, CLUSTERS, DOMAINS, ERAS, TECHNICAL_WORDS, TRANSITION_YEARS, Careers, Network
 from prosopa.session import cut, table
 
 PERMUTATIONS = 99
 CAREERS_SET = Careers()
+NETWORK_SET = Network()
 KIN_SETS = {"has_father": [75, 76], "has_son": [180, 181, 182, 183], "has_wife": [134]}
 NOT_OFFICERS = ["力士", "老人"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -545,12 +546,12 @@ def document_graph(s, d):
 
 @query()
 def eigenvector(s, d):
-    return graph.eigenvector(*document_graph(s, d), tolerance=1e-5, checkpoint_every=15)
+    return graph.eigenvector(*document_graph(s, d), checkpoint_every=15)
 
 
 @query()
 def betweenness_sampled(s, d):
-    return graph.betweenness(*document_graph(s, d), pivots=64)
+    return graph.betweenness(*document_graph(s, d), pivots=NETWORK_SET.pivots)
 
 
 # Spatial

@@ -140,6 +140,18 @@ def test_centralities(spark):
     assert all(abs(between[i] - want[i] / 10) < 1e-9 for i in want)
 
 
+def test_registered_centralities_settle(spark, monkeypatch):
+    from prosopa.plans import reference
+
+    graph_of = lambda edges, n: (spark.createDataFrame(edges, EDGES), spark.createDataFrame([(i,) for i in range(n)], "id long"))
+    monkeypatch.setattr(reference, "document_graph", lambda s, d: graph_of([(i, i + 1) for i in range(19)], 20))
+    top = np.sin(np.pi * np.arange(1, 21) / 21)
+    top /= np.linalg.norm(top)
+    assert sum(abs(r.eigenvector - top[r.id]) for r in reference.eigenvector(spark, "").collect()) < 1e-4
+    monkeypatch.setattr(reference, "document_graph", lambda s, d: graph_of([(0, i) for i in range(1, 81)], 81))
+    assert {r.id: round(r.betweenness, 9) for r in reference.betweenness_sampled(spark, "").collect()} == {i: float(i == 0) for i in range(81)}
+
+
 def test_nearest_and_moran(spark):
     points = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 0.0, 1.0), (3, 10.0, 10.0)], "id long, x double, y double")
     got = spatial.nearest(points, 2).collect()
