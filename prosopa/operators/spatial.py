@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosopa.functions.permute import numbered, permuted
@@ -102,7 +104,9 @@ def shuffled(rows: DataFrame, value: str, permutations: int, seed: int = 2026060
     permutation, so the deal is an equi-join and no permutation is gathered anywhere."""
     base = cut(numbered(rows.select(F.col("id").cast("long").alias("id"), F.col(value).alias("value")), "id"))
     n = F.lit(base.count())
-    many = base.select("id", "row_no").withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    # The few rows are spread first, or one task would deal out all permutations.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = base.select("id", "row_no").repartition(tasks).withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     many = many.withColumn("from", permuted(F.col("row_no"), n, F.lit(seed), F.col("permutation")))
     return many.join(base.select(F.col("row_no").alias("from"), "value"), "from").select("permutation", "id", "value")
 
@@ -130,3 +134,53 @@ def morans_test(values: DataFrame, neighbours: DataFrame, permutations: int) ->
         F.avg("i").alias("permutation_mean_i"), F.stddev_samp("i").alias("permutation_sd_i"), F.count("i").alias("permutations"),
         ((F.count_if(F.col("i") >= F.col("observed_i")) + 1) / (F.count("i") + 1)).alias("p_value"),
     ).withColumn("expected_i", -1 / (F.col("n") - 1))
+
+
+def morans_tests(points: DataFrame, flags: Mapping[str, Column], neighbours: DataFrame, permutations: int, seed: int = 20260608) -> DataFrame:
+    """(label, ones, n, observed_i, permutation_mean_i, permutation_sd_i, permutations, p_value, expected_i): Moran's
+    I of each 0/1 flag of `points` against the rest, a row each, as `morans_test` for one value.
+
+    The flags of a point are the bits of one number, so all of them are dealt out together, and a point
+    holds its numbers of all permutations in one array (the observed one first). An array meets those of the
+    point's neighbours in one join, whatever the number of permutations and flags. Null flags count as 0.
+    Every point needs neighbours.
+    """
+    names = list(flags)
+    if not 0 < len(names) < 64:
+        raise ValueError("from 1 to 63 flags")
+    kind = "byte" if len(names) < 8 else "long"
+    bits = sum((F.when(f, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, f in enumerate(flags.values())), F.lit(0).cast("long"))
+    rows = cut(points.select(F.col("id").cast("long").alias("id"), bits.cast(kind).alias("bits")))
+    told = rows.agg(F.count(F.lit(1)), *(F.sum(F.getbit("bits", F.lit(i))) for i in range(len(names)))).first()
+    dealt = shuffled(rows, "bits", permutations, seed).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("permutation", "value"))).alias("drawn"))
+    listed = cut(rows.join(dealt, "id").select("id", F.concat(F.array("bits"), F.col("drawn.value")).alias("many")))
+    weight = neighbours.groupBy("id").agg((1 / F.count(F.lit(1))).alias("w"))
+    pair = neighbours.select("id", "neighbour").join(weight, "id").join(listed.withColumnRenamed("many", "a"), "id")
+    pair = pair.join(listed.select(F.col("id").alias("neighbour"), F.col("many").alias("b")), "neighbour").select("a", "b", "w")
+    width = permutations + 1
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        both, other = np.zeros((len(names), width)), np.zeros((len(names), width))
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.iloc[at : at + 1000]
+                if len(part):
+                    a, b, w = np.vstack(part["a"].to_numpy()), np.vstack(part["b"].to_numpy()), part["w"].to_numpy()
+                    for i in range(len(names)):
+                        has = (b >> i) & 1
+                        other[i] += w @ has
+                        both[i] += w @ (has & (a >> i))
+        at = np.indices((len(names), width))
+        yield pd.DataFrame({"flag": at[0].ravel(), "draw": at[1].ravel(), "both": both.ravel(), "other": other.ravel()})
+
+    drawn = pair.mapInPandas(sums, "flag int, draw int, both double, other double").groupBy("flag", "draw").agg(F.sum("both").alias("both"), F.sum("other").alias("other"))
+    n = told[0]
+    ones = points.sparkSession.createDataFrame([(i, name, int(told[i + 1] or 0)) for i, name in enumerate(names)], "flag int, label string, ones long")
+    p = F.col("ones") / n
+    value = F.when((F.col("ones") > 0) & (F.col("ones") < n), (F.col("both") - p * F.col("other") - p * F.col("ones") + p * p * n) / (n * p * (1 - p)))
+    row = drawn.join(F.broadcast(ones), "flag").select("label", "ones", "draw", value.alias("i"))
+    observed = row.where("draw = 0").select("label", F.col("i").alias("observed_i"))
+    return row.where("draw > 0").join(observed, "label").groupBy("label", "ones", "observed_i").agg(
+        F.avg("i").alias("permutation_mean_i"), F.stddev_samp("i").alias("permutation_sd_i"), F.count("i").alias("permutations"),
+        ((F.count_if(F.col("i") >= F.col("observed_i")) + 1) / (F.count("i") + 1)).alias("p_value"),
+    ).select("label", "ones", F.lit(n).alias("n"), "observed_i", "permutation_mean_i", "permutation_sd_i", "permutations", "p_value", F.lit(-1 / (n - 1)).alias("expected_i"))

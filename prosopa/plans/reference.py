@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from prosopa.functions import classify, exprs
 from prosopa.operators import attributes, breaks, geo, graph, kinship, models, nested, sequences, spatial
-from prosopa.plans.config import BUREAUS, CLUSTERS, DOMAINS, ERAS, TECHNICAL_WORDS, TRANSITION_YEARS, Careers, Network
+from prosopa.plans.config import BUREAUS, CLUSTERS, DOMAINS, ERAS, TECHNICAL_WORDS, TRANSITION_YEARS, Careers, Network, Spatial
 from prosopa.session import cut, table
 
-PERMUTATIONS = 99
 CAREERS_SET = Careers()
 NETWORK_SET = Network()
+SPATIAL_SET = Spatial()
 KIN_SETS = {"has_father": [75, 76], "has_son": [180, 181, 182, 183], "has_wife": [134]}
 NOT_OFFICERS = ["力士", "老人"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -602,14 +602,14 @@ def morans_i(s, d):
 
 @query()
 def centroid_permutation(s, d):
-    return spatial.centroid_test(cut(places(s, d)), "cluster", CLUSTERS, PERMUTATIONS)
+    return spatial.centroid_test(cut(places(s, d)), "cluster", CLUSTERS, SPATIAL_SET.permutations)
 
 
 @query()
 def moran_permutation(s, d):
     row = cut(places(s, d))
-    values = row.select("id", F.col("bureau_medical").cast("double").alias("value"))
-    return spatial.morans_test(values, spatial.nearest(row, 8), PERMUTATIONS)
+    flags = {c: F.col("cluster") == c for c in CLUSTERS} | {"bureau_medical": F.col("bureau_medical") == 1}
+    return spatial.morans_tests(row, flags, spatial.nearest(row, SPATIAL_SET.neighbours), SPATIAL_SET.permutations)
 
 
 # Models

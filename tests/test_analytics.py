@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prosopa.functions import classify, exprs
 from prosopa.functions.permute import numbered, permuted
 from prosopa.operators import attributes, breaks, graph, kinship, models, sequences, spatial
+from prosopa.plans.config import CLUSTERS
 
 
 def one(spark, **columns):
@@ -170,6 +171,26 @@ def test_nearest_and_moran(spark):
     assert spatial.morans_i(values, links).first().morans_i > 0
 
 
+def test_moran_of_every_cluster(spark, monkeypatch):
+    from prosopa.plans import reference
+
+    rng = random.Random(4)
+    rows = [(i, CLUSTERS[i % 3 if i % 5 else 0], rng.uniform(0, 9) + 4 * (i % 3), rng.uniform(0, 9), i % 2) for i in range(60)]
+    points = spark.createDataFrame(rows, "id long, cluster string, x double, y double, bureau_medical int")
+    monkeypatch.setattr(reference, "places", lambda s, d: points)
+    got = {r.label: r for r in reference.moran_permutation(spark, "").collect()}
+    assert set(got) == {*CLUSTERS, "bureau_medical"} and {r.permutations for r in got.values()} == {999}
+    assert {r.permutations for r in reference.centroid_permutation(spark, "").collect()} == {999}
+    near = spatial.nearest(points, 8)
+    for c in CLUSTERS:
+        values = points.select("id", (F.col("cluster") == c).cast("double").alias("value"))
+        want = spatial.morans_test(values, near, 19).first()
+        few = {r.label: r for r in spatial.morans_tests(points, {k: F.col("cluster") == k for k in CLUSTERS}, near, 19).collect()}[c]
+        for name in ("n", "observed_i", "permutation_mean_i", "permutation_sd_i", "permutations", "p_value", "expected_i"):
+            assert abs(few[name] - want[name]) < 1e-9 and (few[name] == want[name] or name != "p_value")
+        assert abs(got[c].observed_i - want.observed_i) < 1e-9
+
+
 def test_permutations(spark):
     got = spark.range(1000).select(permuted(F.col("id"), F.lit(1000), F.lit(5)).alias("x")).collect()
     assert sorted(r.x for r in got) == list(range(1000)) and [r.x for r in got] != list(range(1000))
