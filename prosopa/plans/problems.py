@@ -75,6 +75,12 @@ def p3_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.descendants_of(sets, sets.where(F.col("node") % 100 == 0))
 
 
+def p3_all_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """The descendants of every person."""
+    pair = hierarchy.ancestor_pairs(_sets(spark, folder)).where(F.col("ancestor") != F.col("node"))
+    return pair.select("ancestor", "node", (F.col("node_depth") - F.col("ancestor_depth")).alias("distance"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_lineages": p3_lineages,
     "p3_descendants": p3_descendants,
+    "p3_all_descendants": p3_all_descendants,
 }
 
 _OFFICIALS = """o AS (SELECT DISTINCT id, x_coord AS x, y_coord AS y FROM alaam_science_officials
@@ -137,4 +144,5 @@ ORACLES = {
             (SELECT count(*) FROM up WHERE up.anc = tree.node) - 1 AS descendants FROM tree
         UNION ALL SELECT node, root, -1, NULL, NULL FROM below""",
     "p3_descendants": f"""WITH RECURSIVE {_LINEAGE} SELECT anc AS ancestor, up.node, d AS distance FROM up JOIN tree ON tree.node = up.node WHERE d > 0 AND anc % 100 = 0""",
+    "p3_all_descendants": f"""WITH RECURSIVE {_LINEAGE} SELECT anc AS ancestor, up.node, d AS distance FROM up JOIN tree ON tree.node = up.node WHERE d > 0""",
 }

@@ -74,3 +74,12 @@ def test_descendants_of(spark):
     sets = hierarchy.nested_sets(spark.createDataFrame([(2, 1), (3, 2), (4, 3), (5, 1)], LINKS))
     chosen = spark.createDataFrame([(2,)], "node long")
     assert {tuple(r) for r in hierarchy.descendants_of(sets, chosen).collect()} == {(2, 3, 1), (2, 4, 2)}
+
+
+def test_all_descendants_are_listed(spark, monkeypatch):
+    from prosopa.plans import problems
+
+    links = spark.createDataFrame([(2, 1), (3, 2), (200, 100)], "node long, parent long")
+    monkeypatch.setattr(problems, "_sets", lambda s, d: hierarchy.nested_sets(links))
+    got = problems.QUERIES["p3_all_descendants"](spark, "")
+    assert {tuple(r) for r in got.collect()} == {(1, 2, 1), (1, 3, 2), (2, 3, 1), (100, 200, 1)}
