@@ -621,46 +621,89 @@ def softmax_baseline(s, d):
     return officials(s, d).select("id", r6(exprs.sigmoid(F.col("degree") - 2)).alias("p"), *(r6(c).alias(f"p{i}") for i, c in enumerate(p)))
 
 
-FEATURES = ["has_civil_exam", "has_yin_privilege", "has_recommendation", "degree_z", "clustering_z"]
+ENTRY_CONTROLS = ["has_civil_exam", "has_yin_privilege", "has_recommendation", "has_technical_exam"]
+NETWORK_CONTROLS = ["degree_z", "clustering_z", "eigenvector_z", "betweenness_z"]
+BUREAU_DUMMIES = ["bureau_astronomical", "bureau_medical", "bureau_hydraulic", "bureau_military_industrial", "bureau_construction"]
+CAREER_TERMS = ["cluster2_yuan_ming", "cluster3_qing_after", "log_posting_count_z", "collapsed_sequence_length_z", "career_span_years_z", "technical_domain_share_z"]
+FEATURES = [*CAREER_TERMS, *ENTRY_CONTROLS, *NETWORK_CONTROLS, *BUREAU_DUMMIES]
+PLACE_TERMS = ["x_model_z", "y_model_z", "x_model_z_sq", "y_model_z_sq", "xy_model_z", "is_high_official"]
+MPLE_TERMS = ["contagion", "indirect_contagion", "degree_z", "betweenness_z", "clustering_z", "eigenvector_z", "is_high_official", *ENTRY_CONTROLS, "has_geo", "x_coord_z", "y_coord_z", *BUREAU_DUMMIES]
 
 
 def modelled(s, d):
-    return exprs.zscores(officials(s, d), {"degree_z": "degree", "clustering_z": "clustering"})
+    return exprs.zscores(officials(s, d), {f"{c}_z": c for c in ("degree", "clustering", "eigenvector", "betweenness")})
 
 
-def _logit(s, d, penalty, scale, features=tuple(FEATURES), rows=None, limit=700.0):
-    rows = modelled(s, d) if rows is None else rows
-    used = exprs.varying(rows, features)
-    fit = models.logit(cut(models.design(rows, used, "is_high_official")), penalty, scale)
+def career_modelled(s, d):
+    """The officials with the career terms of the model of high officials."""
+    told = sequences.career_features(careers(s, d)).withColumnRenamed("c_personid", "id")
+    row = modelled(s, d).join(told, "id", "left")
+    middle = row.agg(F.median("span_years").alias("_span"))
+    row = row.crossJoin(F.broadcast(middle)).withColumns({
+        "_postings": F.log1p(F.coalesce("posting_count", F.lit(0))), "_length": F.coalesce("collapsed_length", F.lit(0)), "_years": F.coalesce("span_years", "_span"), "_share": F.coalesce("technical_pct", F.lit(0.0)),
+        **{c: (F.col("cluster") == c).cast("int") for c in CLUSTERS[1:]},
+    })
+    return exprs.zscores(row, {"log_posting_count_z": "_postings", "collapsed_sequence_length_z": "_length", "career_span_years_z": "_years", "technical_domain_share_z": "_share"})
+
+
+LOGIT = "term string, coefficient double, odds_ratio double"
+
+
+def _logit_rows(rows, features, outcome, penalty, scale, limit=700.0):
+    """(term, coefficient, odds ratio) of a logit on the features that vary; no rows for one class only."""
+    used = exprs.varying(rows.na.fill(0, list(features)), features)
+    fit = models.logit(cut(models.design(rows, used, outcome)), penalty, scale)
     told = models.coefficient_rows(["intercept", *used], fit["coefficients"], limit) if fit["coefficients"] is not None else []
-    return s.createDataFrame([(t, round(c, 4), None if o is None else round(o, 4)) for t, c, o in told], "term string, coefficient double, odds_ratio double")
+    return [(t, round(c, 4), None if o is None else round(o, 4)) for t, c, o in told]
 
 
 @query()
 def logit_sum_l2(s, d):
-    return _logit(s, d, 1.0, "sum")
+    return s.createDataFrame(_logit_rows(cut(career_modelled(s, d)), FEATURES, "is_high_official", 1.0, "sum"), LOGIT)
 
 
 @query()
 def logit_mean_l2(s, d):
-    return _logit(s, d, 1e-4, "mean")
+    return s.createDataFrame(_logit_rows(cut(career_modelled(s, d)), FEATURES, "is_high_official", 1e-4, "mean"), LOGIT)
 
 
 @query()
 def mple_logit(s, d):
-    row = modelled(s, d)
-    near = graph.contagion(kin_edges(s, d), row.select("id", F.col("is_high_official").alias("y")), "y")
-    row = exprs.zscores(row.join(near, "id"), {"contagion_z": "contagion", "indirect_z": "indirect_contagion"})
-    return _logit(s, d, 10.0, "inverse", ("contagion_z", "indirect_z", *FEATURES), row, 50.0)
+    row = exprs.zscores(modelled(s, d), {"x_coord_z": "x_coord", "y_coord_z": "y_coord"})
+    row = cut(row.withColumns({c: F.coalesce((F.col("cluster") == c).cast("int"), F.lit(0)) for c in CLUSTERS}))
+    edges = cut(graph.build_graph(kin_edges(s, d), row, NETWORK_SET.mode).select("source", "target"))
+    told = []
+    for c in CLUSTERS:
+        near = graph.contagion(edges, row.select("id", c), c).withColumnsRenamed({"contagion": "_direct", "indirect_contagion": "_indirect"})
+        full = cut(exprs.zscores(row.join(near, "id"), {"contagion": "_direct", "indirect_contagion": "_indirect"}))
+        told += [(c, *r) for r in _logit_rows(full, MPLE_TERMS, c, 10.0, "inverse", 50.0)]
+    return s.createDataFrame(told, f"cluster string, {LOGIT}")
+
+
+@query()
+def dyad_logits(s, d):
+    """The father-child logits of being a science official and of the civil examination."""
+    known = officials(s, d).groupBy(F.col("id").alias("c_personid")).agg(F.lit(1).alias("science"), F.max("has_civil_exam").alias("has_civil_exam"), F.max("is_high_official").alias("high"))
+    trait = people(s, d).select("c_personid", "c_index_year", "c_surname_chn", F.col("c_female").isNotNull().cast("int").alias("female_known"), F.coalesce("c_female", F.lit(0)).alias("female"))
+    trait = trait.join(known, "c_personid", "left").na.fill(0, ["science", "has_civil_exam", "high"])
+    row = exprs.zscores(kinship.dyads(pairs(s, d), trait), {"child_index_year_z": "child_c_index_year", "father_index_year_z": "father_c_index_year"})
+    row = cut(row.where("child_c_index_year is not null").na.fill(0, ["child_science", "child_has_civil_exam"]))
+    shared = ["child_index_year_z", "father_index_year_z", "same_surname", "father_high", "child_female_known", "child_female"]
+    told = []
+    for model, trait_ in (("science_official_transmission", "science"), ("civil_exam_transmission", "has_civil_exam")):
+        told += [(model, *r) for r in _logit_rows(row, [f"father_{trait_}", *shared], f"child_{trait_}", SPATIAL_SET.l2, "sum")]
+    return s.createDataFrame(told, f"model string, {LOGIT}")
 
 
 @query()
 def multinomial(s, d):
-    row = places(s, d)
+    row = modelled(s, d).where(geo.usable(F.col("x_coord"), F.col("y_coord")))
     row = row.withColumn("y", F.array_position(F.array(*map(F.lit, CLUSTERS)), F.col("cluster")).cast("int") - 1)
-    row = exprs.zscores(row.where("y >= 0"), {"xz": "x", "yz": "y"}).withColumn("xx", F.col("xz") * F.col("xz")).withColumn("xy", F.col("xz") * F.col("yz"))
-    used = ["xz", "xx", "bureau_medical"]
-    fit = models.multinomial(cut(models.design(row, used, "y")), len(CLUSTERS), 1e-4)
+    x, y = F.col("x_model_z"), F.col("y_model_z")
+    row = cut(exprs.zscores(row.where("y >= 0"), {"x_model_z": "x_coord", "y_model_z": "y_coord"}).withColumns({"x_model_z_sq": x * x, "y_model_z_sq": y * y, "xy_model_z": x * y}))
+    terms = [*PLACE_TERMS, *ENTRY_CONTROLS, *NETWORK_CONTROLS, *BUREAU_DUMMIES]
+    used = exprs.varying(row.na.fill(0, terms), terms)
+    fit = models.multinomial(cut(models.design(row, used, "y")), len(CLUSTERS), SPATIAL_SET.l2)
     told = [(CLUSTERS[k + 1], t, round(c, 4)) for k, b in enumerate(fit["coefficients"]) for t, c, _ in models.coefficient_rows(["intercept", *used], b)]
     return s.createDataFrame(told, "outcome_cluster string, feature string, coefficient double")
 

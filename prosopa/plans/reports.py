@@ -62,8 +62,8 @@ def career_type_medoids(s: SparkSession, d: str) -> DataFrame:
 
 def logit_diagnostics(s: SparkSession, d: str) -> DataFrame:
     """(metric, value) of the logit of high officials: rows, log-likelihood, criteria, accuracy, rounds."""
-    rows = ref.modelled(s, d)
-    used = exprs.varying(rows, ref.FEATURES)
+    rows = cut(ref.career_modelled(s, d))
+    used = exprs.varying(rows.na.fill(0, ref.FEATURES), ref.FEATURES)
     fit = models.logit(cut(models.design(rows, used, "is_high_official")), 1.0, "sum")
     told = models.fit_measures(fit, len(used) + 1) if fit["coefficients"] is not None else {"n": fit["n"]}
     told = told | {"positive": fit["ones"], "iterations": fit["iterations"], "converged": int(fit["converged"])}

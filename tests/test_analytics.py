@@ -222,6 +222,19 @@ def test_logit_scalings(spark):
     assert np.allclose(two["coefficients"][0], newton(3.0), atol=1e-5)
 
 
+def test_models_use_all_terms(spark):
+    from prosopa.plans import reference
+
+    data = "/root/testdata/sf0.01"
+    got = {r.feature for r in reference.multinomial(spark, data).collect()}
+    assert {"intercept", *reference.PLACE_TERMS, *reference.NETWORK_CONTROLS, "has_civil_exam", "bureau_medical"} <= got
+    got = reference.mple_logit(spark, data).collect()
+    assert {r.cluster for r in got} == set(CLUSTERS) and {"contagion", "is_high_official", "bureau_medical", "x_coord_z"} <= {r.term for r in got}
+    got = reference.dyad_logits(spark, data).collect()
+    assert {(r.model, r.term) for r in got} >= {("science_official_transmission", "father_science"), ("civil_exam_transmission", "father_has_civil_exam")}
+    assert {"log_posting_count_z", "betweenness_z", "bureau_medical"} <= {r.term for r in reference.logit_sum_l2(spark, data).collect()}
+
+
 def test_breaks_against_all_partitions(spark):
     rng = random.Random(2)
     for _ in range(20):
