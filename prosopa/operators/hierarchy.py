@@ -1,22 +1,28 @@
 """Parent-child rows of unknown depth as nested sets: path, depth, root, descendants, cycles.
 
-Sizes go up and preorder offsets come down in doubling steps: after step k each node knows the sum
-over its 2^k nearest ancestors or over the descendants within 2^k levels, so a tree of height h
-takes about log2(h) joins rather than h.
+Sizes go up and preorder offsets come down in doubling steps: after step k a node's pointer names the
+ancestor 2^k levels above, and it knows the sum over the descendants less than 2^k levels below (or over
+its 2^k nearest ancestors), so a tree of height h takes about log2(h) joins rather than h. Only rows whose
+pointer still names a node take part in a step, and only nodes that are named are looked up. Roots and
+depths are read off the finished ranges.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosopa.session import cut, slice_join
+from prosopa.session import cut, release, slice_join
+
+#: More rows than this that point to one node are split over several tasks.
+ROWS_PER_SLICE = 250_000
+#: Positions of the preorder that one window covers.
+BLOCK_BITS = 16
 
 
 def father_links(kin: DataFrame, codes: DataFrame) -> DataFrame:
-    """Distinct (node, parent) of the kin rows coded F (c_kin_id is the father) or S (c_kin_id is a
-    son). Rows with a null or 0 id, with equal ids, or with an unknown or null code are no links."""
+    """(node, parent) of the kin rows coded F (c_kin_id is the father) or S (c_kin_id is a son), repeats
+    included. Rows with a null or 0 id, with equal ids, or with an unknown or null code are no links."""
     kind = codes.select(F.col("c_kincode").alias("c_kin_code"), F.col("c_kinrel_simplified").alias("rel")).where(
         F.col("rel").isin("F", "S")
     ).distinct()
@@ -24,110 +30,157 @@ def father_links(kin: DataFrame, codes: DataFrame) -> DataFrame:
         (F.col("c_personid") != 0) & (F.col("c_kin_id") != 0) & (F.col("c_personid") != F.col("c_kin_id"))
     )
     father = F.col("rel") == "F"
-    return (
-        row.join(kind, "c_kin_code")
-        .select(
-            F.when(father, F.col("c_personid")).otherwise(F.col("c_kin_id")).alias("node"),
-            F.when(father, F.col("c_kin_id")).otherwise(F.col("c_personid")).alias("parent"),
-        )
-        .distinct()
+    return row.join(kind, "c_kin_code").select(
+        F.when(father, F.col("c_personid")).otherwise(F.col("c_kin_id")).alias("node"),
+        F.when(father, F.col("c_kin_id")).otherwise(F.col("c_personid")).alias("parent"),
     )
 
 
-def _jump(state: DataFrame, far: DataFrame) -> DataFrame:
-    """`state` left-joined to the row of the node that its pointer `up` names. Rows without a
-    pointer stay out of the join, so that they neither shuffle under one null key nor match."""
-    going = state.where(F.col("up").isNotNull()).join(far, F.col("up") == F.col("f_node"), "left")
-    resting = state.where(F.col("up").isNull()).select("*", *(F.lit(None).cast(t).alias(c) for c, t in far.dtypes))
-    return going.unionByName(resting)
+def _links(links: DataFrame) -> DataFrame:
+    """(node, parent) as whole numbers, without null ids and self links."""
+    row = links.select(F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"))
+    return row.where(F.col("node").isNotNull() & F.col("parent").isNotNull() & (F.col("node") != F.col("parent")))
 
 
-def nested_sets(links: DataFrame) -> DataFrame:
-    """One row for each node of `links` (node, parent): node, parent, root, depth, size, pre.
+def rejected_links(links: DataFrame) -> DataFrame:
+    """(node, parent, kept_parent): the links that `nested_sets` leaves out because the node has a
+    smaller parent as well, each once."""
+    row = _links(links).groupBy("node").agg(F.collect_set("parent").alias("all"), F.min("parent").alias("kept_parent"))
+    row = row.select("node", F.explode("all").alias("parent"), "kept_parent")
+    return row.where(F.col("parent") != F.col("kept_parent"))
 
-    pre .. pre + size - 1 is the node's range in the preorder of its tree, siblings in id order;
-    a node is an ancestor of another of the same root exactly if its range holds the other's pre.
-    Nodes on or below a cycle have depth -1, the smallest id on that cycle as root, and null size
-    and pre. Null ids, self links and repeated links are dropped; of several parents the smallest is kept.
-    No links: no rows.
-    """
-    clean = (
-        links.select(F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"))
-        .where(F.col("node").isNotNull() & F.col("parent").isNotNull() & (F.col("node") != F.col("parent")))
-        .groupBy("node")
-        .agg(F.min("parent").alias("parent"))
-    )
-    ends = clean.select("node", "parent").unionByName(
-        clean.select(F.col("parent").alias("node"), F.lit(None).cast("long").alias("parent"))
-    )
-    base = cut(ends.groupBy("node").agg(F.max("parent").alias("parent")))
 
-    # Upward: `up` is the ancestor 2^k levels above (null past the root), `top` the highest one seen,
-    # `steps` the levels up to it, `size` the descendants less than 2^k levels below, itself included.
-    state = base.select("node", F.col("parent").alias("up"), F.coalesce("parent", "node").alias("top"), F.col("parent").isNotNull().cast("long").alias("steps"), F.lit(1).cast("long").alias("size"))
-    pointers = []
-    open_before = None
-    while True:
-        pointers.append(state.where(F.col("up").isNotNull()).select("node", "up"))
-        still_open = state.agg(F.count("up")).first()[0]
-        if still_open == 0 or still_open == open_before:
+def _ask(askers: DataFrame, told: DataFrame, hot: bool) -> DataFrame:
+    """`askers` (node, up, ...) joined to the row of `told` whose `up` their pointer names; a node that
+    very many rows name is sliced."""
+    return slice_join(askers, told, ["up"], ["node"], ROWS_PER_SLICE) if hot else askers.join(told, "up")
+
+
+def nested_sets(links: DataFrame) -> DataFrame:
+    """One row for each node of `links` (node, parent): node, parent, root, depth, size, pre, root_size.
+
+    pre .. pre + size - 1 is the node's range in one preorder of all trees, siblings in id order (those of
+    a parent with more than ROWS_PER_SLICE children, and the roots, in a pseudorandom order); a node is an
+    ancestor of another exactly if its range holds the other's pre. root and depth follow from the ranges that
+    are open at pre. Nodes on or below a cycle are never finished: they have depth -1, the smallest id on that
+    cycle as root, and null size, pre and root_size. Null ids, self links and repeated links are dropped; of
+    several parents the smallest is kept (the others are `rejected_links`). No links: no rows.
+    """
+    one = _links(links).groupBy("node").agg(F.min("parent").alias("parent"))
+    kids = one.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("kids"))
+    base = cut(one.join(kids, "node", "full"))
+    told = base.agg(F.count("parent"), F.max("kids"), F.count_if(F.col("parent").isNull())).first()
+    moving_rows, widest, roots = told[0], told[1] or 0, told[2]
+
+    # Upward: `up` is the ancestor 2^k levels above, `size` the descendants less than 2^k levels below,
+    # itself included. The first step is known from the children.
+    moving = base.where(F.col("parent").isNotNull()).select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size"))
+    below = base.where(F.col("kids").isNotNull()).select("node", F.col("kids").alias("more"))
+    named, hots, spent = [below], [widest > ROWS_PER_SLICE], []
+    while moving_rows:
+        far = moving.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        step = _ask(moving, far, hots[-1]).select("node", F.col("next").alias("up"), "size")
+        moved = cut(step.join(below, "node", "left").select("node", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        if len(named) > 1:
+            release(moving)
+        moving = moved
+        counted = cut(moving.groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("more"), F.count(F.lit(1)).alias("n")))
+        spent.append(counted)
+        told = counted.agg(F.sum("n"), F.max("n")).first()
+        if (told[0] or 0) in (0, moving_rows):
+            moving_rows = told[0] or 0
             break
-        open_before = still_open
-        far = state.select(F.col("node").alias("f_node"), F.col("up").alias("f_up"), F.col("top").alias("f_top"), F.col("steps").alias("f_steps"))
-        below = state.where(F.col("up").isNotNull()).groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("more"))
-        state = cut(
-            _jump(state, far)
-            .join(below, "node", "left")
-            .select(
-                "node",
-                F.col("f_up").alias("up"),
-                F.coalesce("f_top", "top").alias("top"),
-                (F.col("steps") + F.coalesce("f_steps", F.lit(0))).alias("steps"),
-                (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
-            )
-        )
-    resolved = state.where(F.col("up").isNull()).select("node", F.col("top").alias("root"), F.col("steps").cast("int").alias("depth"), "size")
-    loops = _cycles(base, state) if still_open else None
-
-    # Downward: a node's offset below its parent is 1 + the sizes of its earlier siblings; the sum of
-    # the offsets on the way up to the root is its preorder number. Siblings of one parent are
-    # summed in a window; the offset of a node is a prefix sum.
-    sized = resolved.join(base, "node")
-    before = _sibling_offsets(sized)
-    place = before.select("node", "offset")
-    for pointer in pointers[:-1]:
-        reach = pointer.join(place.select(F.col("node").alias("up"), F.col("offset").alias("add")), "up").select("node", "add")
-        place = cut(place.join(reach, "node", "left").select("node", (F.col("offset") + F.coalesce("add", F.lit(0))).alias("offset")))
-    trees = sized.join(place, "node").select("node", "parent", "root", "depth", "size", (F.col("offset")).alias("pre"))
-    if loops is None:
+        below = counted.select("node", "more")
+        named.append(below)
+        hots.append(told[1] > ROWS_PER_SLICE)
+        moving_rows = told[0]
+    looped = cut(_cycles(base, moving.select("node", "up"))) if moving_rows else None
+
+    # A node's size is the sum of what it was told; `reach` the last step in which it was named.
+    sums = named[0].select("node", "more", F.lit(0).alias("k"))
+    for k, part in enumerate(named[1:], 1):
+        sums = sums.unionByName(part.select("node", "more", F.lit(k).alias("k")))
+    sums = sums.groupBy("node").agg((F.sum("more") + 1).alias("size"), F.max("k").alias("reach"))
+    tree = base if looped is None else base.join(looped.select("node"), "node", "left_anti")
+    sized = cut(tree.join(sums, "node", "left").select("node", "parent", F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("reach", F.lit(-1)).alias("reach")))
+
+    # Downward: an offset is 1 + the sizes of the earlier siblings, of a root the sizes of the earlier trees;
+    # the offsets on the way from a node up to its root add up to its preorder number.
+    state = _offsets(sized, base, widest, roots).withColumn("fresh", F.col("up").isNull())
+    done, states = [], []
+    for k, hot in enumerate(hots):
+        state = cut(state)
+        states.append(state)
+        done.append(state.where("fresh").select("node", "pre"))
+        far = state.where(F.col("reach") >= k).select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("pre").alias("add"))
+        step = _ask(state.where(F.col("up").isNotNull()), far, hot)
+        step = step.select("node", F.col("next").alias("up"), (F.col("pre") + F.col("add")).alias("pre"), "reach", F.col("next").isNull().alias("fresh"))
+        state = step.unionByName(state.where(F.col("up").isNull() & (F.col("reach") > k)).select("node", "up", "pre", "reach", F.lit(False).alias("fresh")))
+    placed = state.where("fresh").select("node", "pre")
+    for part in done:
+        placed = placed.unionByName(part)
+    ranged = cut(placed.join(sized.drop("reach"), "node"))
+    release(sized, *spent, *states)
+    trees = _opened(ranged)
+    if looped is None:
         return trees
     none = F.lit(None).cast("long")
     return trees.unionByName(
-        loops.join(base, "node").select("node", "parent", "root", F.lit(-1).alias("depth"), none.alias("size"), none.alias("pre"))
+        base.join(looped, "node").select("node", "parent", "root", F.lit(-1).alias("depth"), none.alias("size"), none.alias("pre"), none.alias("root_size"))
     )
 
 
-def _sibling_offsets(sized: DataFrame, bits: int = 16) -> DataFrame:
-    """node and offset = 1 + sizes of the earlier siblings (0 for roots). Prefix sums run in
-    two levels, over siblings whose ids share all but the last `bits` bits and over those groups,
-    so a parent with very many children isn't one window."""
-    roots = sized.where(F.col("parent").isNull()).select("node", F.lit(0).cast("long").alias("offset"))
-    child = sized.where(F.col("parent").isNotNull()).withColumn("chunk", F.shiftright("node", bits))
-    chunks = child.groupBy("parent", "chunk").agg(F.sum("size").alias("held"))
-    order = Window.partitionBy("parent").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    start = chunks.select("parent", "chunk", F.coalesce(F.sum("held").over(order), F.lit(0)).alias("start"))
-    inner = Window.partitionBy("parent", "chunk").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    placed = child.withColumn("ahead", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(start, ["parent", "chunk"])
-    return roots.unionByName(placed.select("node", (F.col("start") + F.col("ahead") + 1).alias("offset")))
-
-
-def _cycles(base: DataFrame, state: DataFrame) -> DataFrame:
+def _offsets(sized: DataFrame, base: DataFrame, widest: int, roots: int) -> DataFrame:
+    """(node, up, pre, reach): each node's offset below its parent as `pre`. The children of a parent are
+    summed in one window; those of a parent with too many, and the roots, in hash buckets of
+    bounded size and then over the buckets."""
+    row = sized.select("node", F.col("parent").alias("up"), "size", "reach")
+    root = row.where(F.col("up").isNull()).withColumn("_buckets", F.lit(roots // ROWS_PER_SLICE + 1))
+    child, wide = row.where(F.col("up").isNotNull()), root
+    if widest > ROWS_PER_SLICE:
+        hot = base.where(F.col("kids") > ROWS_PER_SLICE).select(F.col("node").alias("up"), (F.col("kids") / ROWS_PER_SLICE + 1).cast("int").alias("_buckets"))
+        marked = child.join(hot, "up", "left")
+        wide = root.unionByName(marked.where(F.col("_buckets").isNotNull()))
+        child = marked.where(F.col("_buckets").isNull()).drop("_buckets")
+    before = lambda *keys, order="node": Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.when(F.col("up").isNull(), 0).otherwise(1)
+    narrow = child.withColumn("pre", F.coalesce(F.sum("size").over(before("up")), F.lit(0)) + 1)
+    wide = wide.withColumn("_bucket", F.pmod(F.xxhash64("node"), F.col("_buckets").cast("long")))
+    held = wide.groupBy("up", "_bucket").agg(F.sum("size").alias("_held"))
+    start = held.select(F.col("up").alias("_up"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_held").over(before("up", order="_bucket")), F.lit(0)).alias("_start"))
+    ahead = wide.withColumn("_ahead", F.coalesce(F.sum("size").over(before("up", "_bucket")), F.lit(0)))
+    wide = ahead.join(start, F.col("up").eqNullSafe(F.col("_up")) & (F.col("_bucket") == F.col("_b"))).withColumn("pre", F.col("_start") + F.col("_ahead") + first)
+    return narrow.select("node", "up", "pre", "reach").unionByName(wide.select("node", "up", "pre", "reach"))
+
+
+def _opened(ranged: DataFrame) -> DataFrame:
+    """The rows with root, root_size and depth: the ranges open at a node's preorder number are its own and
+    those of its ancestors, the outermost of them its root's. Starts and ends are summed up in order inside
+    blocks of preorder numbers; a second pass over one row for each block carries the sums on."""
+    block = lambda c: F.shiftright(c, BLOCK_BITS)
+    root = F.when(F.col("parent").isNull(), F.struct("pre", "node", "size"))
+    start = ranged.select("node", "parent", "size", "pre", F.col("pre").alias("at"), F.lit(1).alias("step"), root.alias("tree"))
+    end = ranged.select(
+        F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("pre"),
+        (F.col("pre") + F.col("size")).alias("at"), F.lit(-1).alias("step"), F.lit(None).cast("struct<pre:bigint,node:bigint,size:bigint>").alias("tree"),
+    )
+    event = start.unionByName(end).withColumn("block", block("at"))
+    total = event.groupBy("block").agg(F.sum("step").alias("net"), F.max("tree").alias("last"))
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = total.select("block", F.coalesce(F.sum("net").over(earlier), F.lit(0)).alias("carry"), F.max("last").over(earlier).alias("carried"))
+    inside = Window.partitionBy("block").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = event.withColumn("open", F.sum("step").over(inside)).withColumn("outer", F.last("tree", ignorenulls=True).over(inside))
+    row = swept.where(F.col("step") == 1).join(carried, "block").withColumn("tree", F.coalesce("outer", "carried"))
+    return row.select("node", "parent", F.col("tree.node").alias("root"), (F.col("open") + F.col("carry") - 1).cast("int").alias("depth"), "size", "pre", F.col("tree.size").alias("root_size"))
+
+
+def _cycles(base: DataFrame, going: DataFrame) -> DataFrame:
     """(node, root) for the nodes whose pointers never end: root is the smallest id on their cycle.
 
     Pointers are doubled until the set they name stops shrinking; it then is the set of cycle nodes.
     A minimum doubled around each cycle until it no longer changes is the cycle's smallest id.
     """
-    going = cut(state.where(F.col("up").isNotNull()).select("node", "up"))
+    going = cut(going)
     named = going.select("up").distinct().count()
     while True:
         going = cut(going.join(going.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up")))
@@ -147,12 +200,12 @@ def _cycles(base: DataFrame, state: DataFrame) -> DataFrame:
     return going.join(ring.select(F.col("node").alias("up"), F.col("low").alias("root")), "up").select("node", "root")
 
 
-def ancestor_pairs(sets: DataFrame) -> DataFrame:
-    """(root, ancestor, ancestor_depth, node, node_depth) for every node and each of its ancestors,
-    itself included, read off the nested-set ranges.
+def ancestor_pairs(sets: DataFrame, ancestors: DataFrame | None = None) -> DataFrame:
+    """(ancestor, ancestor_depth, node, node_depth) for every node and each of its ancestors, itself
+    included, read off the nested-set ranges; with `ancestors` (column node) only those of them.
 
     A range is cut into its aligned power-of-two blocks (at most two of each width), a preorder
-    number lies in one aligned block of each width up to its tree's size; equal (root, width, block)
+    number lies in one aligned block of each width up to its tree's size; equal (width, block)
     is containment, so the range join is an equi-join. Nodes on or below cycles are left out.
     """
     tree = sets.where(F.col("depth") >= 0)
@@ -167,19 +220,20 @@ def ancestor_pairs(sets: DataFrame) -> DataFrame:
         right = F.when((first < last) & (last % 2 == 1), F.array(last - 1)).otherwise(none)
         return F.transform(F.concat(left, right), lambda b: F.struct(k.alias("k"), b.alias("b")))
 
-    levels = F.sequence(F.lit(0), F.ceil(F.log2(hi + 1)).cast("int"))
-    spans = tree.select(
-        "root", F.col("node").alias("ancestor"), F.col("depth").alias("ancestor_depth"), F.explode(F.flatten(F.transform(levels, pieces))).alias("at")
-    ).select("root", "ancestor", "ancestor_depth", "at.k", "at.b")
-    tops = spans.groupBy("root").agg(F.max("k").alias("top"))
+    # A block that is no part of a wider one inside the range starts or ends at one, so widths end at the size.
+    width = lambda c: F.length(F.bin(c)) - 1
+    levels = F.sequence(F.lit(0), width("size"))
+    chosen = tree if ancestors is None else tree.join(ancestors.select("node").distinct(), "node", "left_semi")
+    spans = chosen.select(
+        F.col("node").alias("ancestor"), F.col("depth").alias("ancestor_depth"), F.explode(F.flatten(F.transform(levels, pieces))).alias("at")
+    ).select("ancestor", "ancestor_depth", "at.k", "at.b")
     points = (
-        tree.join(tops, "root")
-        .select("root", "node", F.col("depth").alias("node_depth"), "pre", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("k"))
+        tree.select("node", F.col("depth").alias("node_depth"), "pre", F.explode(F.sequence(F.lit(0), width("root_size"))).alias("k"))
         .withColumn("b", F.floor(F.col("pre") / F.pow(F.lit(2.0), F.col("k"))).cast("long"))
         .drop("pre")
     )
-    pairs = slice_join(points, spans, ["root", "k", "b"], ["node"], 65536)
-    return pairs.select("root", "ancestor", "ancestor_depth", "node", "node_depth")
+    pairs = slice_join(points, spans, ["k", "b"], ["node"], 65536)
+    return pairs.select("ancestor", "ancestor_depth", "node", "node_depth")
 
 
 def paths(sets: DataFrame, separator: str = "/") -> DataFrame:
@@ -191,8 +245,8 @@ def paths(sets: DataFrame, separator: str = "/") -> DataFrame:
 
 def descendants_of(sets: DataFrame, chosen: DataFrame) -> DataFrame:
     """(ancestor, node, distance) for the descendants of the ids in `chosen` (column node)."""
-    pair = ancestor_pairs(sets).join(chosen.select(F.col("node").alias("ancestor")).distinct(), "ancestor", "left_semi")
+    pair = ancestor_pairs(sets, chosen)
     return pair.where(F.col("ancestor") != F.col("node")).select("ancestor", "node", (F.col("node_depth") - F.col("ancestor_depth")).alias("distance"))
 
 
-__all__ = ["ancestor_pairs", "descendants_of", "father_links", "nested_sets", "paths"]
+__all__ = ["ancestor_pairs", "descendants_of", "father_links", "nested_sets", "paths", "rejected_links"]

@@ -57,6 +57,11 @@ def _sets(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.nested_sets(hierarchy.father_links(table(spark, folder, "kin_data"), table(spark, folder, "kinship_codes")))
 
 
+def p3_rejected_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Links to a second father, which no lineage uses."""
+    return hierarchy.rejected_links(hierarchy.father_links(table(spark, folder, "kin_data"), table(spark, folder, "kinship_codes")))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return _sets(spark, folder).select(F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth")
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_lineages": p3_lineages,
     "p3_descendants": p3_descendants,
     "p3_all_descendants": p3_all_descendants,
+    "p3_rejected_links": p3_rejected_links,
 }
 
 _OFFICIALS = """o AS (SELECT DISTINCT id, x_coord AS x, y_coord AS y FROM alaam_science_officials
@@ -144,5 +150,7 @@ ORACLES = {
             (SELECT count(*) FROM up WHERE up.anc = tree.node) - 1 AS descendants FROM tree
         UNION ALL SELECT node, root, -1, NULL, NULL FROM below""",
     "p3_descendants": f"""WITH RECURSIVE {_LINEAGE} SELECT anc AS ancestor, up.node, d AS distance FROM up JOIN tree ON tree.node = up.node WHERE d > 0 AND anc % 100 = 0""",
+    "p3_rejected_links": f"""WITH RECURSIVE {_LINEAGE}, kept AS (SELECT node, min(parent) AS kept_parent FROM link GROUP BY node)
+        SELECT node, parent, kept_parent FROM link JOIN kept USING (node) WHERE parent <> kept_parent""",
     "p3_all_descendants": f"""WITH RECURSIVE {_LINEAGE} SELECT anc AS ancestor, up.node, d AS distance FROM up JOIN tree ON tree.node = up.node WHERE d > 0""",
 }

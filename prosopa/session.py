@@ -15,12 +15,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts: the cluster's `spark.checkpoint.dir`, or, only where
-    that is unset (tests, one machine), a fresh temporary folder."""
+    """The shared folder for lineage cuts: the cluster's `spark.checkpoint.dir`, or, only where that is
+    unset and the master is local (tests, one machine), a fresh temporary folder. Off local mode an unset
+    folder is a ValueError, as executors couldn't read each other's files."""
     context = spark.sparkContext
     named = context.getCheckpointDir()
     if named is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="prosopa-checkpoint-")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = named or tempfile.mkdtemp(prefix="prosopa-checkpoint-")
         context.setCheckpointDir(named)
     return named
 
@@ -31,6 +35,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*frames: DataFrame) -> None:
+    """Remove the checkpoint files of frames from `cut` that nothing reads any more, so that a loop holds
+    the files of its last rounds only."""
+    for df in frames:
+        plan = df._jdf.queryExecution().logical()
+        file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+        if file is not None and file.isDefined():
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_slice: int) -> DataFrame:
     """Keys with more than `rows_per_slice` rows and the number of slices each needs (at most
     rows / rows_per_slice keys; counted with map-side combining)."""

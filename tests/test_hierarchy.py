@@ -36,11 +36,10 @@ def check(spark, links):
     for r in rows:
         if r.depth >= 0:
             assert r.size == sum(a == r.node for a, _ in inside)
-    by_root = {}
-    for r in rows:
-        if r.depth >= 0:
-            by_root.setdefault(r.root, []).append(r.pre)
-    assert all(sorted(v) == list(range(len(v))) for v in by_root.values())
+    trees = [r for r in rows if r.depth >= 0]
+    assert sorted(r.pre for r in trees) == list(range(len(trees)))
+    sizes = {r.node: r.size for r in trees}
+    assert all(r.root_size == sizes[r.root] for r in trees)
 
 
 def test_random_forest_with_cycles(spark):
@@ -54,6 +53,31 @@ def test_deep_chain_and_wide_star(spark):
     check(spark, [(i + 1, i) for i in range(1, 70)] + [(1000 + i, 999) for i in range(60)])
 
 
+def test_hot_parents_and_block_borders(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "ROWS_PER_SLICE", 3)
+    monkeypatch.setattr(hierarchy, "BLOCK_BITS", 2)
+    rng = random.Random(6)
+    links = [(100 + i, 1) for i in range(30)] + [(200 + i, 100 + i % 5) for i in range(30)] + [(i, rng.randint(300, i - 1)) for i in range(301, 340)]
+    check(spark, links + [(500 + i, 500 + (i + 1) % 8) for i in range(8)] + [(600 + i, 500) for i in range(9)])
+
+
+def test_rejected_links(spark):
+    links = spark.createDataFrame([(5, 2), (5, 1), (5, 1), (5, 3), (6, 5), (7, 7), (None, 1)], LINKS)
+    assert sorted(tuple(r) for r in hierarchy.rejected_links(links).collect()) == [(5, 2, 1), (5, 3, 1)]
+    assert hierarchy.rejected_links(links.limit(0)).count() == 0
+
+
+def test_spent_checkpoints_are_removed(spark):
+    from pathlib import Path
+
+    from prosopa.session import checkpoint_folder, cut, release
+
+    kept, spent = cut(spark.range(5)), cut(spark.range(6))
+    file = spent._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+    release(spent, spark.range(3))
+    assert checkpoint_folder(spark) and not Path(file.removeprefix("file:")).exists() and kept.count() == 5
+
+
 def test_nulls_self_links_and_empty(spark):
     check(spark, [(None, 1), (2, None), (3, 3), (5, 4)])
     empty = hierarchy.nested_sets(spark.createDataFrame([], LINKS))
@@ -67,7 +91,7 @@ def test_only_cycles(spark):
 def test_father_links_by_code(spark):
     kin = spark.createDataFrame([(10, 20, 75, "x"), (20, 10, 180, "y"), (0, 5, 75, ""), (6, 6, 75, ""), (7, None, 75, ""), (1, 2, None, ""), (1, 2, 999, ""), (3, 4, 134, "")], "c_personid long, c_kin_id long, c_kin_code int, node string")
     codes = spark.createDataFrame([(75, "F", "F"), (180, "S", "S"), (134, "W", "W"), (301, None, None)], "c_kincode int, c_kinrel string, c_kinrel_simplified string")
-    assert [tuple(r) for r in hierarchy.father_links(kin, codes).collect()] == [(10, 20)]
+    assert {tuple(r) for r in hierarchy.father_links(kin, codes).collect()} == {(10, 20)}
 
 
 def test_descendants_of(spark):
