@@ -1,22 +1,41 @@
-"""Pseudorandom permutations of row numbers as column expressions, and distributed row numbers."""
+"""Pseudorandom permutations of row numbers, and distributed row numbers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from zlib import crc32
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROUNDS = 24
 
 
-def permuted(x: Column, n: Column, *key: Column) -> Column:
-    """A pseudorandom permutation of 0 .. n-1 that depends on the key: in each round x may change
-    places with its partner, as a hash of the pair says, so every round is one to one."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Whole numbers spread over 64 bits (the finaliser of a public 64-bit generator)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def permuted(x: np.ndarray, n: int | np.ndarray, key: int | np.ndarray) -> np.ndarray:
+    """The places of the numbers `x` in a pseudorandom permutation of 0 .. n-1 that depends on the key.
+    In each round a number may change places with its partner, as a hash of the pair says, so every
+    round is one to one. n and key may vary by element; numbers and sizes stay below 2^63."""
+    with np.errstate(over="ignore"):
+        x, n, key = np.asarray(x).astype(np.uint64), np.asarray(n).astype(np.uint64), np.asarray(key).astype(np.uint64)
+        for r in range(ROUNDS):
+            salt = _mixed(key + np.uint64(0x9E3779B97F4A7C15) * np.uint64(r + 1))
+            partner = (salt % n + n - x) % n
+            swap = _mixed(np.maximum(x, partner) ^ salt) & np.uint64(1)
+            x = np.where(swap == 1, partner, x)
+    return x.astype(np.int64)
 
-    def round_(x: Column, r: Column) -> Column:
-        partner = F.pmod(F.xxhash64(F.lit("pivot"), r, *key) - x, n)
-        return F.when(F.pmod(F.xxhash64(F.lit("swap"), r, F.greatest(x, partner), *key), F.lit(2)) == 1, partner).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), round_)
+def key_of(*parts: object) -> int:
+    """A 64-bit key of the given values, the same in every process."""
+    text = "\x1f".join(map(str, parts)).encode()
+    return crc32(text) << 32 | crc32(text[::-1] + b"key")
 
 
 def numbered(df: DataFrame, key: str, out: str = "row_no", rows_per_bucket: int = 20_000) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosopa.session import cut, release, slice_join
+from prosopa.session import cut, cut_told, release, slice_join
 
 #: More rows than this that point to one node are split over several tasks.
 ROWS_PER_SLICE = 250_000
@@ -68,33 +68,28 @@ def nested_sets(links: DataFrame) -> DataFrame:
     """
     one = _links(links).groupBy("node").agg(F.min("parent").alias("parent"))
     kids = one.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("kids"))
-    base = cut(one.join(kids, "node", "full"))
-    told = base.agg(F.count("parent"), F.max("kids"), F.count_if(F.col("parent").isNull())).first()
-    moving_rows, widest, roots = told[0], told[1] or 0, told[2]
+    base, told = cut_told(one.join(kids, "node", "full"), linked=F.count("parent"), roots=F.count_if(F.col("parent").isNull()), widest=F.max("kids"))
+    left, widest, roots = told["linked"], told["widest"] or 0, told["roots"]
 
     # Upward: `up` is the ancestor 2^k levels above, `size` the descendants less than 2^k levels below,
     # itself included. The first step is known from the children.
     moving = base.where(F.col("parent").isNotNull()).select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size"))
     below = base.where(F.col("kids").isNotNull()).select("node", F.col("kids").alias("more"))
-    named, hots, spent = [below], [widest > ROWS_PER_SLICE], []
-    while moving_rows:
+    named, hots, steps = [below], [widest > ROWS_PER_SLICE], []
+    while left:
         far = moving.select(F.col("node").alias("up"), F.col("up").alias("next"))
         step = _ask(moving, far, hots[-1]).select("node", F.col("next").alias("up"), "size")
-        moved = cut(step.join(below, "node", "left").select("node", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
-        if len(named) > 1:
-            release(moving)
-        moving = moved
-        counted = cut(moving.groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("more"), F.count(F.lit(1)).alias("n")))
-        spent.append(counted)
-        told = counted.agg(F.sum("n"), F.max("n")).first()
-        if (told[0] or 0) in (0, moving_rows):
-            moving_rows = told[0] or 0
+        step = step.join(below, "node", "left").select("node", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        moving, told = cut_told(step, rows=F.count(F.lit(1)))
+        steps.append(moving)
+        if told["rows"] in (0, left):
+            left = told["rows"]
             break
-        below = counted.select("node", "more")
-        named.append(below)
-        hots.append(told[1] > ROWS_PER_SLICE)
-        moving_rows = told[0]
-    looped = cut(_cycles(base, moving.select("node", "up"))) if moving_rows else None
+        left = told["rows"]
+        named.append(moving.select(F.col("up").alias("node"), F.col("size").alias("more")))
+        below = named[-1].groupBy("node").agg(F.sum("more").alias("more"))
+        hots.append(left > ROWS_PER_SLICE and moving.groupBy("up").count().agg(F.max("count")).first()[0] > ROWS_PER_SLICE)
+    looped = cut(_cycles(base, moving.select("node", "up"))) if left else None
 
     # A node's size is the sum of what it was told; `reach` the last step in which it was named.
     sums = named[0].select("node", "more", F.lit(0).alias("k"))
@@ -120,7 +115,7 @@ def nested_sets(links: DataFrame) -> DataFrame:
     for part in done:
         placed = placed.unionByName(part)
     ranged = cut(placed.join(sized.drop("reach"), "node"))
-    release(sized, *spent, *states)
+    release(sized, *steps, *states)
     trees = _opened(ranged)
     if looped is None:
         return trees
@@ -180,7 +175,6 @@ def _cycles(base: DataFrame, going: DataFrame) -> DataFrame:
     Pointers are doubled until the set they name stops shrinking; it then is the set of cycle nodes.
     A minimum doubled around each cycle until it no longer changes is the cycle's smallest id.
     """
-    going = cut(going)
     named = going.select("up").distinct().count()
     while True:
         going = cut(going.join(going.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up")))
@@ -189,14 +183,12 @@ def _cycles(base: DataFrame, going: DataFrame) -> DataFrame:
             break
         named = now
     ring = base.join(going.select(F.col("up").alias("node")).distinct(), "node").select("node", F.col("parent").alias("to"), F.least("node", "parent").alias("low"))
-    ring = cut(ring)
-    while True:
+    changed = True
+    while changed:
         far = ring.select(F.col("node").alias("to"), F.col("to").alias("far_to"), F.col("low").alias("far_low"))
-        grown = cut(ring.join(far, "to").select("node", F.col("far_to").alias("to"), F.least("low", "far_low").alias("low"), (F.col("far_low") < F.col("low")).alias("changed")))
-        changed = grown.where("changed").limit(1).count()
-        ring = grown.drop("changed")
-        if not changed:
-            break
+        grown = ring.join(far, "to").select("node", F.col("far_to").alias("to"), F.least("low", "far_low").alias("low"), (F.col("far_low") < F.col("low")).alias("_changed"))
+        grown, told = cut_told(grown, changed=F.count_if(F.col("_changed")))
+        ring, changed = grown.drop("_changed"), told["changed"]
     return going.join(ring.select(F.col("node").alias("up"), F.col("low").alias("root")), "up").select("node", "root")
 
 

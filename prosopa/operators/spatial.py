@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosopa.functions.permute import numbered, permuted
+from prosopa.functions.permute import key_of, numbered, permuted
 from prosopa.operators.geo import haversine_km
 from prosopa.session import cut, slice_join
 
@@ -98,24 +98,42 @@ def morans_i(values: DataFrame, neighbours: DataFrame, by: Sequence[str] = ()) -
     return both.select(*by, "n", F.when(F.col("down") > 0, F.col("up") / F.col("down")).alias("morans_i"))
 
 
-def shuffled(rows: DataFrame, value: str, permutations: int, seed: int = 20260608) -> DataFrame:
-    """(permutation, id, value): the values of (id, value) dealt out anew to the unique ids, for each
-    permutation. Rows are numbered once; each permutation maps numbers to numbers by a hashed
-    permutation, so the deal is an equi-join and no permutation is gathered anywhere."""
-    base = cut(numbered(rows.select(F.col("id").cast("long").alias("id"), F.col(value).alias("value")), "id"))
-    n = F.lit(base.count())
-    # The few rows are spread first, or one task would deal out all permutations.
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    many = base.select("id", "row_no").repartition(tasks).withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    many = many.withColumn("from", permuted(F.col("row_no"), n, F.lit(seed), F.col("permutation")))
-    return many.join(base.select(F.col("row_no").alias("from"), "value"), "from").select("permutation", "id", "value")
+def dealt(numbers: np.ndarray, ends: np.ndarray, permutations: np.ndarray, seed: int) -> np.ndarray:
+    """Which value each row number gets in each permutation (rows x permutations, as places in the sorted
+    distinct values). `ends` are the running counts of those values: sorted by value, the rows that hold the i-th
+    end at ends[i], so the value behind a permuted number is found by its place, without a join."""
+    keys = np.array([key_of(seed, p) for p in permutations.tolist()], np.uint64)
+    return np.searchsorted(ends, permuted(numbers[:, None], int(ends[-1]), keys[None, :]), side="right")
+
 
+def centroid_test(points: DataFrame, by: str, clusters: Sequence[str], permutations: int, seed: int = 20260608) -> DataFrame:
+    """Observed centroid distances with mean and spread over permuted labels and p = (hits + 1) / (m + 1).
 
-def centroid_test(points: DataFrame, by: str, clusters: Sequence[str], permutations: int) -> DataFrame:
-    """Observed centroid distances with mean and spread over permuted labels and p = (hits + 1) / (m + 1)."""
+    Points are numbered once; each task deals labels to its rows in all permutations and sends one sum for
+    each permutation and label, so no row is shuffled. Rows of one id count each.
+    """
     observed = centroid_distances(points, by, clusters).withColumnRenamed("distance_km", "observed_km")
-    labels = shuffled(points, by, permutations)
-    middle = labels.join(points.select(F.col("id").cast("long").alias("id"), "x", "y"), "id").groupBy("permutation", F.col("value").alias("c")).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    rows = cut(numbered(points.select("id", F.col(by).alias("label"), "x", "y").withColumn("_key", F.struct("id", "x", "y", "label")), "_key").drop("_key"))
+    # One row for each label: labels are a classification, of few values.
+    held = sorted(((r[0], r[1]) for r in rows.groupBy("label").agg(F.count(F.lit(1))).collect()), key=lambda r: (r[0] is not None, r[0]))
+    if not held:
+        return observed.selectExpr("cluster_a", "cluster_b", "observed_km", "CAST(NULL AS DOUBLE) permutation_mean_km", "CAST(NULL AS DOUBLE) permutation_sd_km", "0L permutations", "CAST(NULL AS DOUBLE) p_value")
+    labels, ends = [r[0] for r in held], np.cumsum([r[1] for r in held])
+    draws, width = np.arange(permutations), len(held)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((3, permutations * width))
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.iloc[at : at + 1000]
+                place = (dealt(part["row_no"].to_numpy(), ends, draws, seed) + draws[None, :] * width).ravel()
+                for i, w in enumerate((np.ones(len(part)), part["x"].to_numpy(), part["y"].to_numpy())):
+                    total[i] += np.bincount(place, np.repeat(w, permutations), permutations * width)
+        name = np.tile(np.array(labels, dtype=object), permutations)
+        yield pd.DataFrame({"permutation": np.repeat(draws, width), "c": name, "n": total[0], "sx": total[1], "sy": total[2]})
+
+    told = rows.select("row_no", "x", "y").mapInPandas(sums, "permutation long, c string, n double, sx double, sy double")
+    middle = cut(told.groupBy("permutation", "c").agg((F.sum("sx") / F.sum("n")).alias("mx"), (F.sum("sy") / F.sum("n")).alias("my")))
     a = middle.select("permutation", F.col("c").alias("cluster_a"), F.col("mx").alias("ax"), F.col("my").alias("ay"))
     b = middle.select("permutation", F.col("c").alias("cluster_b"), F.col("mx").alias("bx"), F.col("my").alias("by_"))
     drawn = observed.join(a, "cluster_a").join(b, ["permutation", "cluster_b"]).withColumn("d", haversine_km("ax", "ay", "bx", "by_"))
@@ -125,25 +143,14 @@ def centroid_test(points: DataFrame, by: str, clusters: Sequence[str], permutati
     )
 
 
-def morans_test(values: DataFrame, neighbours: DataFrame, permutations: int) -> DataFrame:
-    """Moran's I of (id, value) with its expectation, permutation mean and spread, and p."""
-    observed = morans_i(values, neighbours).withColumnRenamed("morans_i", "observed_i")
-    drawn = morans_i(shuffled(values, "value", permutations), neighbours, ["permutation"])
-    told = drawn.select("permutation", F.col("morans_i").alias("i")).crossJoin(F.broadcast(observed))
-    return told.groupBy("n", "observed_i").agg(
-        F.avg("i").alias("permutation_mean_i"), F.stddev_samp("i").alias("permutation_sd_i"), F.count("i").alias("permutations"),
-        ((F.count_if(F.col("i") >= F.col("observed_i")) + 1) / (F.count("i") + 1)).alias("p_value"),
-    ).withColumn("expected_i", -1 / (F.col("n") - 1))
-
-
 def morans_tests(points: DataFrame, flags: Mapping[str, Column], neighbours: DataFrame, permutations: int, seed: int = 20260608) -> DataFrame:
     """(label, ones, n, observed_i, permutation_mean_i, permutation_sd_i, permutations, p_value, expected_i): Moran's
-    I of each 0/1 flag of `points` against the rest, a row each, as `morans_test` for one value.
+    I of each 0/1 flag of `points` against the rest, a row each, with its expectation, permutation mean and spread, and p.
 
     The flags of a point are the bits of one number, so all of them are dealt out together, and a point
-    holds its numbers of all permutations in one array (the observed one first). An array meets those of the
-    point's neighbours in one join, whatever the number of permutations and flags. Null flags count as 0.
-    Every point needs neighbours.
+    holds its numbers of all permutations in one array (the observed one first), dealt from the counts of the
+    numbers alone. An array meets those of the point's neighbours in one join, whatever the number of permutations
+    and flags. Null flags count as 0. Every point needs neighbours.
     """
     names = list(flags)
     if not 0 < len(names) < 64:
@@ -152,8 +159,21 @@ def morans_tests(points: DataFrame, flags: Mapping[str, Column], neighbours: Dat
     bits = sum((F.when(f, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, f in enumerate(flags.values())), F.lit(0).cast("long"))
     rows = cut(points.select(F.col("id").cast("long").alias("id"), bits.cast(kind).alias("bits")))
     told = rows.agg(F.count(F.lit(1)), *(F.sum(F.getbit("bits", F.lit(i))) for i in range(len(names)))).first()
-    dealt = shuffled(rows, "bits", permutations, seed).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("permutation", "value"))).alias("drawn"))
-    listed = cut(rows.join(dealt, "id").select("id", F.concat(F.array("bits"), F.col("drawn.value")).alias("many")))
+    # At most one row for each combination of flags.
+    held = sorted(tuple(r) for r in rows.groupBy("bits").agg(F.count(F.lit(1))).collect())
+    values, ends = np.array([r[0] for r in held], np.int64), np.cumsum([r[1] for r in held])
+    draws = np.arange(permutations)
+
+    def deals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.iloc[at : at + 1000]
+                many = np.column_stack([part["bits"].to_numpy(np.int64), values[dealt(part["row_no"].to_numpy(), ends, draws, seed)]])
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "many": list(many.astype(np.int8 if kind == "byte" else np.int64))})
+
+    # The few rows are spread first, or one task would deal out all permutations.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = cut(numbered(rows, "id").repartition(tasks, "id").mapInPandas(deals, f"id long, many array<{kind}>"))
     weight = neighbours.groupBy("id").agg((1 / F.count(F.lit(1))).alias("w"))
     pair = neighbours.select("id", "neighbour").join(weight, "id").join(listed.withColumnRenamed("many", "a"), "id")
     pair = pair.join(listed.select(F.col("id").alias("neighbour"), F.col("many").alias("b")), "neighbour").select("a", "b", "w")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_told(df: DataFrame, **told: Column) -> tuple[DataFrame, dict]:
+    """`cut` with figures of the rows (aggregates by name), taken while they are written, without another job."""
+    seen = Observation()
+    return cut(df.observe(seen, *(c.alias(n) for n, c in told.items()))), seen.get
+
+
 def release(*frames: DataFrame) -> None:
     """Remove the checkpoint files of frames from `cut` that nothing reads any more, so that a loop holds
     the files of its last rounds only."""

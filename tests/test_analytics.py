@@ -184,20 +184,26 @@ def test_moran_of_every_cluster(spark, monkeypatch):
     near = spatial.nearest(points, 8)
     for c in CLUSTERS:
         values = points.select("id", (F.col("cluster") == c).cast("double").alias("value"))
-        want = spatial.morans_test(values, near, 19).first()
-        few = {r.label: r for r in spatial.morans_tests(points, {k: F.col("cluster") == k for k in CLUSTERS}, near, 19).collect()}[c]
-        for name in ("n", "observed_i", "permutation_mean_i", "permutation_sd_i", "permutations", "p_value", "expected_i"):
-            assert abs(few[name] - want[name]) < 1e-9 and (few[name] == want[name] or name != "p_value")
-        assert abs(got[c].observed_i - want.observed_i) < 1e-9
+        want = spatial.morans_i(values, near).first()
+        assert got[c].n == want.n == 60 and abs(got[c].observed_i - want.morans_i) < 1e-9 and abs(got[c].expected_i + 1 / 59) < 1e-12
+        assert abs(got[c].permutation_mean_i - got[c].expected_i) < 0.02 and got[c].permutation_sd_i > 0
+
+
+def test_centroids_of_dealt_labels(spark):
+    rows = [(i, "ab"[i % 2], float(i % 2) * 3, float(i % 2) * 4) for i in range(40)]
+    points = spark.createDataFrame(rows, "id long, c string, x double, y double")
+    got = spatial.centroid_test(points, "c", ["a", "b"], 99).first()
+    assert got.permutations == 99 and got.p_value == 0.01 and 0 < got.permutation_mean_km < got.observed_km
+    assert spatial.centroid_test(points.limit(0), "c", ["a", "b"], 99).count() == 0
 
 
 def test_permutations(spark):
-    got = spark.range(1000).select(permuted(F.col("id"), F.lit(1000), F.lit(5)).alias("x")).collect()
-    assert sorted(r.x for r in got) == list(range(1000)) and [r.x for r in got] != list(range(1000))
+    got = permuted(np.arange(1000), 1000, 5)
+    assert sorted(got) == list(range(1000)) and list(got) != list(range(1000))
     rows = numbered(spark.range(500).withColumnRenamed("id", "k"), "k", rows_per_bucket=40).collect()
     assert sorted(r.row_no for r in rows) == list(range(500))
-    dealt = spatial.shuffled(spark.createDataFrame([(i, i % 3) for i in range(60)], "id long, v int"), "v", 4)
-    assert {tuple(r) for r in dealt.groupBy("permutation", "value").count().collect()} == {(p, v, 20) for p in range(4) for v in range(3)}
+    dealt = spatial.dealt(np.arange(60), np.array([20, 40, 60]), np.arange(4), 7)
+    assert dealt.shape == (60, 4) and all(np.bincount(dealt[:, p]).tolist() == [20, 20, 20] for p in range(4))
 
 
 def test_logit_scalings(spark):
