@@ -1,23 +1,31 @@
-"""Records of several sources mixed to target shares of the total size, in fixed-length blocks."""
+"""Records of several sources mixed to target shares of the total size, in fixed-length blocks.
+
+A mix asks each source for a number of tokens, which becomes a number of block slots: whole passes over
+the source's blocks and part of one more. The slots go to output shards of bounded size. Shards come in
+strata of at most STRATUM_SLOTS slots; a stratum holds its proportional part of every source's slots, so it
+is known by arithmetic, and within it the counts of each shard are drawn. Strata and shards are rows, drawn and
+filled in as many tasks as there are, and every size is treated alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosopa.functions.permute import permuted
+from prosopa.functions.permute import key_of, permuted
 from prosopa.llm.packing import byte_tokens
 from prosopa.session import cut
 
 BLOCK_TOKENS = 1024
 SLOTS_PER_SHARD = 4096
-#: More output shards than this aren't drawn; they grow longer instead, so the draws stay a small table.
-MOST_SHARDS = 4096
+#: Slots of a stratum: 256 shards.
+STRATUM_SLOTS = 1 << 20
+#: Slots that one task fills.
+SLOTS_PER_TASK = 1 << 14
 
 
 def sized_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -29,10 +37,13 @@ def sized_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
 def plan(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row for each (mix_id, source) of the targets: what is asked for and what is there.
 
-    own_tokens is the source's size (0 without documents), target_tokens its share of the mix's
-    total size with each document once, most_tokens what max_repeats allows, short whether that is
-    too little, slots the blocks to draw. Targets with a null mix, source or share are left out;
-    repeated ones count once, with the largest share and cap. Negative caps and shares count as 0.
+    own_tokens is the source's size (0 without documents) and blocks its blocks, the last of which may be
+    partly filled; target_tokens is its share of the mix's total size with each document once, most_tokens
+    what max_repeats allows. slots are the blocks to draw: as many whole passes over the source as fit
+    the target, and of the next pass the number of blocks that comes nearest to what is left, so a source
+    ends within half a block of its target, or at max_repeats passes where the target is out of reach. Targets
+    with a null mix, source or share are left out; repeated ones count once, with the largest share and cap.
+    Negative caps and shares count as 0.
     """
     wanted = targets.where(F.col("mix_id").isNotNull() & F.col("source").isNotNull() & F.col("target_share").isNotNull())
     wanted = wanted.groupBy("mix_id", "source").agg(
@@ -42,8 +53,12 @@ def plan(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS)
     row = wanted.join(own, "source", "left").withColumn("own_tokens", F.coalesce("own_tokens", F.lit(0)))
     total = F.sum("own_tokens").over(Window.partitionBy("mix_id"))
     row = row.withColumn("target_tokens", F.col("target_share") * total).withColumn("most_tokens", F.col("max_repeats") * F.col("own_tokens"))
-    row = row.withColumn("short", F.col("target_tokens") > F.col("most_tokens")).withColumn("blocks", F.ceil(F.col("own_tokens") / block_tokens).cast("long"))
-    return row.withColumn("slots", F.least(F.round(F.col("target_tokens") / block_tokens).cast("long"), F.col("max_repeats") * F.col("blocks")))
+    row = row.withColumn("blocks", F.ceil(F.col("own_tokens") / block_tokens).cast("long"))
+    reach = F.least("target_tokens", F.col("most_tokens").cast("double"))
+    passes = F.coalesce(F.floor(F.try_divide(reach, F.col("own_tokens"))), F.lit(0)).cast("long")
+    rest = reach - F.col("_passes") * F.col("own_tokens")
+    row = row.withColumn("_passes", passes).withColumn("_more", F.least(F.round(rest / block_tokens).cast("long"), F.col("blocks")))
+    return row.withColumn("slots", F.col("_passes") * F.col("blocks") + F.col("_more")).drop("_passes", "_more")
 
 
 def block_spans(sized: DataFrame, block_tokens: int = BLOCK_TOKENS, rows_per_bucket: int = 20_000) -> DataFrame:
@@ -67,75 +82,80 @@ def block_spans(sized: DataFrame, block_tokens: int = BLOCK_TOKENS, rows_per_buc
     return cutting.select("source", "block_no", "doc_id", (from_ - F.col("low")).alias("span_from"), (to - from_).alias("span_tokens"))
 
 
-def draw(counts: list[int], shards: int, rng: np.random.Generator) -> np.ndarray:
-    """Counts by shard and source: multinomial draws, given that shards are as equal as can be and
-    that each source's counts add up to its slots."""
+def draw(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
+    """Counts by shard and source: multinomial draws, given that the shards are as equal as can be and
+    that each source's counts add up to `counts`."""
     left, out = np.asarray(counts, dtype=np.int64), []
     total = int(left.sum())
     for shard in range(shards):
         take = total * (shard + 1) // shards - total * shard // shards
-        taken = np.zeros_like(left)
-        rest, need = int(left.sum()), take
-        for s, n in enumerate(left):
-            rest -= int(n)
-            taken[s] = need if rest == 0 else _hypergeometric(rng, int(n), rest, need)
-            need -= int(taken[s])
+        taken = rng.multivariate_hypergeometric(left, take, method="marginals")
         out.append(taken)
         left = left - taken
     return np.array(out)
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """Of `draws` without replacement, how many are good; by the normal limit where numpy's exact sampler ends."""
-    if min(good, draws) == 0:
-        return 0
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, draws))
-    share, all_ = good / (good + bad), good + bad
-    spread = (draws * share * (1 - share) * (all_ - draws) / max(all_ - 1, 1)) ** 0.5
-    return int(np.clip(round(rng.normal(draws * share, spread)), max(0, draws - bad), min(good, draws)))
-
-
-def shard_counts(planned: DataFrame, seed: int, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+def shard_counts(planned: DataFrame, seed: int, slots_per_shard: int = SLOTS_PER_SHARD, stratum_slots: int = STRATUM_SLOTS) -> DataFrame:
     """(mix_id, source, blocks, shard, first_slot, slots): how many blocks of each source go into each
-    output shard of a mix. At most MOST_SHARDS rows for each target, whatever the size of the texts."""
+    output shard of a mix, and which of its slots these are.
+
+    Stratum c of C holds the slots from floor(n c / C) to floor(n (c + 1) / C) of each source's n, so
+    its rows need nothing of other strata. A stratum draws with a generator of its own.
+    """
+    per_stratum = max(1, stratum_slots // slots_per_shard)
+    mixes = planned.groupBy("mix_id").agg(F.array_sort(F.collect_list(F.struct("source", "blocks", "slots"))).alias("sources"), F.sum("slots").alias("total"))
+    strata = mixes.where(F.col("total") > 0).withColumn("strata", F.ceil(F.col("total") / (per_stratum * slots_per_shard)).cast("long"))
+    # A mix has few rows here whatever its size, so they are spread before they are drawn.
+    strata = strata.withColumn("stratum", F.explode(F.sequence(F.lit(0), F.col("strata") - 1))).repartition("mix_id", "stratum")
 
     def draws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for mix in rows.itertuples():
-                sources = sorted(mix.sources, key=lambda s: s["source"])
-                counts = [int(s["slots"]) for s in sources]
-                shards = min(MOST_SHARDS, max(1, -(-sum(counts) // slots_per_shard)))
-                taken = draw(counts, shards, np.random.default_rng([seed, crc32(mix.mix_id.encode())]))
-                first = np.cumsum(taken, axis=0) - taken
-                for i, s in enumerate(sources):
-                    yield pd.DataFrame({"mix_id": mix.mix_id, "source": s["source"], "blocks": s["blocks"], "shard": np.arange(shards), "first_slot": first[:, i], "slots": taken[:, i]})
+            for row in rows.itertuples():
+                all_ = [int(s["slots"]) for s in row.sources]
+                low = np.array([n * row.stratum // row.strata for n in all_])
+                counts = np.array([n * (row.stratum + 1) // row.strata for n in all_]) - low
+                shards = max(1, -(-int(counts.sum()) // slots_per_shard))
+                taken = draw(counts, shards, np.random.default_rng([seed, key_of(row.mix_id), row.stratum]))
+                first = low + np.cumsum(taken, axis=0) - taken
+                # One more shard name than a stratum needs, as its part may be rounded up.
+                name = row.stratum * (per_stratum + len(all_)) + np.arange(shards)
+                for i, s in enumerate(row.sources):
+                    yield pd.DataFrame({"mix_id": row.mix_id, "source": s["source"], "blocks": s["blocks"], "shard": name, "first_slot": first[:, i], "slots": taken[:, i]})
+
+    return strata.mapInPandas(draws, "mix_id string, source string, blocks long, shard long, first_slot long, slots long").where(F.col("slots") > 0)
+
+
+def drawn_blocks(planned: DataFrame, seed: int = 17, slots_per_shard: int = SLOTS_PER_SHARD, stratum_slots: int = STRATUM_SLOTS) -> DataFrame:
+    """(mix_id, shard, source, pass, block_no): the blocks of every output shard of every mix. Pass p
+    takes each block of a source at most once, in an order of its own with the last, partly filled block
+    at the end, so no block is used more than max_repeats times and uses of one source's blocks differ
+    by at most one. `planned` is small and computed; the shards are spread over tasks before they are filled."""
+    slots = planned.agg(F.sum("slots")).first()[0] or 0
+    counts = shard_counts(planned, seed, slots_per_shard, stratum_slots).repartition(slots // SLOTS_PER_TASK + 1, "mix_id", "source", "shard")
 
-    mixes = planned.groupBy("mix_id").agg(F.collect_list(F.struct("source", "blocks", "slots")).alias("sources"))
-    return mixes.mapInPandas(draws, "mix_id string, source string, blocks long, shard int, first_slot long, slots long").where(F.col("slots") > 0)
+    def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for row in rows.itertuples():
+                slot = np.arange(row.first_slot, row.first_slot + row.slots)
+                pass_, at = slot // row.blocks, slot % row.blocks
+                keys = {p: key_of(seed, row.mix_id, row.source, p) for p in np.unique(pass_).tolist()}
+                key = np.array([keys[p] for p in pass_.tolist()], np.uint64)
+                block = np.where(at < row.blocks - 1, permuted(np.minimum(at, max(row.blocks - 2, 0)), max(row.blocks - 1, 1), key), at)
+                yield pd.DataFrame({"mix_id": row.mix_id, "shard": row.shard, "source": row.source, "pass": pass_, "block_no": block})
 
-
-def drawn_blocks(planned: DataFrame, seed: int = 17, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
-    """(mix_id, shard, source, pass, block_no): the blocks of every output shard of every mix. Pass p
-    takes each block of a source at most once, in an order of its own, so no block is used more than
-    max_repeats times and uses of one source's blocks differ by at most one."""
-    counts = shard_counts(planned, seed, slots_per_shard)
-    slot = counts.select("mix_id", "source", "blocks", "shard", F.explode(F.sequence(F.col("first_slot"), F.col("first_slot") + F.col("slots") - 1)).alias("slot"))
-    slot = slot.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("int")).withColumn("at", F.pmod("slot", "blocks"))
-    block = permuted(F.col("at"), F.col("blocks"), F.lit(seed), F.col("mix_id"), F.col("source"), F.col("pass"))
-    return slot.select("mix_id", "shard", "source", "pass", block.alias("block_no"))
+    return counts.mapInPandas(filled, "mix_id string, shard long, source string, pass long, block_no long")
 
 
 class Mix:
     """The tables of one mixing run: `planned`, `spans`, `drawn`, and what follows from them. Block
     tables grow with the texts but compress so well that they look small; hence the merge hints."""
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, seed: int = 17, block_tokens: int = BLOCK_TOKENS, slots_per_shard: int = SLOTS_PER_SHARD, **columns: str):
+    def __init__(self, docs: DataFrame, targets: DataFrame, seed: int = 17, block_tokens: int = BLOCK_TOKENS, slots_per_shard: int = SLOTS_PER_SHARD, stratum_slots: int = STRATUM_SLOTS, **columns: str):
         wanted = targets.select("source").distinct()
         sized = cut(sized_documents(docs, **columns).join(wanted, "source", "left_semi"))
         self.planned = cut(plan(sized, targets, block_tokens))
         self.spans = block_spans(sized, block_tokens)
-        self.drawn = drawn_blocks(self.planned, seed, slots_per_shard)
+        self.drawn = drawn_blocks(self.planned, seed, slots_per_shard, stratum_slots)
 
     def uses(self) -> DataFrame:
         """(mix_id, source, block_no, uses) of the blocks that were drawn."""
@@ -157,11 +177,19 @@ class Mix:
         return told.join(whole, ["source", "doc_id"]).select("mix_id", "source", "doc_id", "repeats", least.alias("whole_repeats"), "tokens")
 
     def report(self) -> DataFrame:
-        """The plan with drawn_tokens and actual_share (of what was drawn for the mix; 0 where nothing was)."""
+        """The plan with what was drawn: drawn_tokens, actual_share (of all that was drawn for the mix; 0 where
+        nothing was), planned_share (of the mix's total size: a short source ends below its target and
+        leaves the difference open, so actual shares of the others lie above theirs) and short: every
+        block was used max_repeats times and the target isn't reached."""
         block = self.spans.groupBy("source", "block_no").agg(F.sum("span_tokens").alias("tokens"))
-        drawn = self.uses().join(block.hint("merge"), ["source", "block_no"]).groupBy("mix_id", "source").agg(F.sum(F.col("uses") * F.col("tokens")).alias("drawn_tokens"))
-        row = self.planned.join(drawn, ["mix_id", "source"], "left").withColumn("drawn_tokens", F.coalesce("drawn_tokens", F.lit(0)))
-        share = F.try_divide(F.col("drawn_tokens"), F.sum("drawn_tokens").over(Window.partitionBy("mix_id")))
-        # A source is short if its target is out of reach and the draw indeed ended at its cap.
-        short = F.col("short") & (F.col("drawn_tokens") <= F.col("most_tokens"))
-        return row.withColumn("actual_share", F.coalesce(share, F.lit(0.0))).withColumn("short", short)
+        used = self.uses().join(block.hint("merge"), ["source", "block_no"])
+        drawn = used.groupBy("mix_id", "source").agg(
+            F.sum(F.col("uses") * F.col("tokens")).alias("drawn_tokens"), F.count(F.lit(1)).alias("_seen"), F.min("uses").alias("_least")
+        )
+        row = self.planned.join(drawn, ["mix_id", "source"], "left").na.fill(0, ["drawn_tokens", "_seen", "_least"])
+        used_up = (F.col("_seen") == F.col("blocks")) & ((F.col("_least") == F.col("max_repeats")) | (F.col("blocks") == 0))
+        used_up = used_up | (F.col("max_repeats") == 0)
+        mix = Window.partitionBy("mix_id")
+        share = lambda total: F.coalesce(F.try_divide(F.col("drawn_tokens"), total), F.lit(0.0))
+        row = row.withColumn("actual_share", share(F.sum("drawn_tokens").over(mix))).withColumn("planned_share", share(F.sum("own_tokens").over(mix)))
+        return row.withColumn("short", used_up & (F.col("target_tokens") > F.col("drawn_tokens"))).drop("_seen", "_least")

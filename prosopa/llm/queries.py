@@ -82,7 +82,9 @@ def _packed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _packed(spark, folder).where(F.col("parts") > 1).select("capacity_tokens", "doc_id").distinct()
+    """The texts that sit in two or more containers."""
+    held = _packed(spark, folder).groupBy("capacity_tokens", "doc_id").agg(F.min("container").alias("first"), F.max("container").alias("last"))
+    return held.where(F.col("first") != F.col("last")).select("capacity_tokens", "doc_id")
 
 
 def p6_assigned(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,7 +107,8 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual share of each source of each mix."""
-    return _mixed(spark, folder).report()
+    told = _mixed(spark, folder).report().drop("blocks", "slots")
+    return told.withColumns({c: F.round(c, 9) for c in ("target_tokens", "actual_share", "planned_share")})
 
 
 def p7_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,6 +175,13 @@ ORACLES: dict[str, str] = {
     "p5_runs": f"""WITH {_RUNS} SELECT row_key AS id, CAST(start_pos AS INTEGER) AS start_pos, CAST(end_pos AS INTEGER) AS end_pos, state, entries, first_year, last_year, last_year - first_year AS duration
         FROM runs LEFT JOIN career_states USING (state_no) WHERE t = 'career_trajectory_analysis'""",
     "p6_found": "SELECT DISTINCT capacity_tokens, doc_id FROM documents, pack_limits WHERE strlen(text) + 1 > capacity_tokens",
+    "p7_report": f"""WITH own AS (SELECT source, sum(strlen(text) + 1) AS own FROM (SELECT DISTINCT doc_id, source, text FROM documents) WHERE text IS NOT NULL GROUP BY source),
+        t AS (SELECT m.*, coalesce(own, 0) AS own, target_share * sum(coalesce(own, 0)) OVER (PARTITION BY mix_id) AS target FROM mix_targets m LEFT JOIN own USING (source)),
+        r AS (SELECT *, least(target, max_repeats * own::DOUBLE) AS reach, CASE WHEN own = 0 THEN 0 ELSE floor(least(target, max_repeats * own::DOUBLE) / own)::BIGINT END AS passes FROM t),
+        d AS (SELECT *, passes * own + least(round((reach - passes * own) / {mixing.BLOCK_TOKENS})::BIGINT * {mixing.BLOCK_TOKENS}, own) AS drawn FROM r)
+        SELECT mix_id, source, target_share, max_repeats, CAST(own AS BIGINT) AS own_tokens, round(target, 9) AS target_tokens, CAST(max_repeats * own AS BIGINT) AS most_tokens, CAST(drawn AS BIGINT) AS drawn_tokens,
+            round(drawn::DOUBLE / sum(drawn) OVER (PARTITION BY mix_id), 9) AS actual_share, round(drawn::DOUBLE / sum(own) OVER (PARTITION BY mix_id), 9) AS planned_share,
+            target > drawn AND drawn = max_repeats * own AS short FROM d""",
     "p7_found": """WITH own AS (SELECT source, sum(strlen(text) + 1) AS own FROM documents WHERE text IS NOT NULL GROUP BY source),
         t AS (SELECT m.*, coalesce(own, 0) AS own, sum(coalesce(own, 0)) OVER (PARTITION BY mix_id) AS total FROM mix_targets m LEFT JOIN own USING (source))
         SELECT mix_id, source FROM t WHERE target_share * total > max_repeats * own""",
