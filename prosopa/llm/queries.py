@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosopa.llm import confusables, mixing, packing, quality, runs
 from prosopa.operators import nested
-from prosopa.session import table
+from prosopa.session import slice_join, table
+
+
+def _disguised_rows(rows: DataFrame, col: str, key: Column, references: DataFrame, ref_col: str) -> DataFrame:
+    """(field, row_key) of the rows whose value looks like a reference but isn't one."""
+    found = confusables.disguised(rows, col, references, ref_col).withColumnRenamed("value", col)
+    keyed = rows.select(key.alias("row_key"), col)
+    return slice_join(keyed, found, [col], ["row_key"], 65536).select(F.lit(col).alias("field"), "row_key")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    posted = table(spark, folder, "posted_to_office_data").select("c_posting_id", "c_office_chn")
-    titles = confusables.disguised(posted, "c_office_chn", table(spark, folder, "office_codes"), "c_office_chn")
-    title = posted.join(titles, posted["c_office_chn"] == titles["value"], "left_semi").select(
-        F.lit("c_office_chn").alias("field"), F.col("c_posting_id").cast("string").alias("row_key")
-    )
+    posted = table(spark, folder, "posted_to_office_data")
+    title = _disguised_rows(posted, "c_office_chn", F.col("c_posting_id").cast("string"), table(spark, folder, "office_codes"), "c_office_chn")
 
     nodes = nested.node_table(nested.shapes(table(spark, folder, "science_network_data_20260516")))
     person = table(spark, folder, "biog_main")
@@ -27,10 +32,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
     top = table(spark, folder, "spatial_cluster_top_locations")
-    places = confusables.disguised(top, "addr_name_chn", table(spark, folder, "addr_codes"), "c_name_chn")
-    place = top.join(places, top["addr_name_chn"] == places["value"], "left_semi").select(
-        F.lit("addr_name_chn").alias("field"), F.concat_ws(":", "cluster", "rank").alias("row_key")
-    )
+    place = _disguised_rows(top, "addr_name_chn", F.concat_ws(":", "cluster", "rank"), table(spark, folder, "addr_codes"), "c_name_chn")
     return title.unionByName(name).unionByName(place).distinct()
 
 
@@ -169,6 +171,42 @@ numbered AS (SELECT *, sum(c) OVER (PARTITION BY t, row_key ORDER BY pos) AS run
 runs AS (SELECT t, row_key, min(pos) AS start_pos, max(pos) AS end_pos, min(state_no) AS state_no, count(*) AS entries, min(least(fy, ly)) AS first_year, max(greatest(fy, ly)) AS last_year
     FROM numbered GROUP BY t, row_key, run)"""
 
+_NODE_NAMES = """doc AS (SELECT DISTINCT record_id, payload FROM science_network_data_20260516 WHERE json_valid(payload)),
+listed AS (SELECT record_id, coalesce(json_extract(payload, '$.nodes'), json_extract(payload, '$.data.nodes')) AS v FROM doc),
+node AS (SELECT record_id, unnest(items) AS node, generate_subscripts(items, 1) AS node_no FROM (
+    SELECT record_id, list_filter(from_json(v, '["json"]'), lambda x: json_type(x) = 'OBJECT') AS items FROM listed WHERE json_type(v) = 'ARRAY')),
+named AS (SELECT record_id, node_no, TRY_CAST(node ->> 'id' AS BIGINT) AS node_id, node ->> 'nameZh' AS v FROM node WHERE json_type(node -> '$.nameZh') = 'VARCHAR')"""
+_ALL_NAMES = """SELECT c_office_chn AS v FROM posted_to_office_data UNION SELECT c_office_chn FROM office_codes UNION SELECT v FROM named
+    UNION SELECT c_name_chn FROM biog_main UNION SELECT c_name FROM biog_main UNION SELECT addr_name_chn FROM spatial_cluster_top_locations UNION SELECT c_name_chn FROM addr_codes"""
+
+
+def _skeletons_sql(values: str) -> str:
+    """SQL for the skeletons of a query of distinct values v, as skeleton(v, k)."""
+    return f"""value AS ({values}), sign AS (SELECT v, unnest(range(1, length(v) + 1)) AS i FROM value WHERE v IS NOT NULL),
+skeleton AS (SELECT v, coalesce(string_agg(coalesce(s, substring(v, i, 1)), '' ORDER BY i), '') AS k FROM sign LEFT JOIN look ON c = substring(v, i, 1) GROUP BY v)"""
+
+
+@cache
+def oracles() -> dict[str, str]:
+    """`ORACLES` and the SQL over the look-alike table, which is written out when it is asked for."""
+    look = confusables.skeleton_sql()
+    return {
+        **ORACLES,
+        "p4_title_classes": f"""WITH {look}, {_skeletons_sql('SELECT DISTINCT c_office_chn AS v FROM posted_to_office_data')},
+            held AS (SELECT c_office_chn AS v, count(*) AS rows FROM posted_to_office_data WHERE c_office_chn IS NOT NULL GROUP BY 1),
+            one AS (SELECT v, rows, coalesce(k, '') AS k FROM held LEFT JOIN skeleton USING (v))
+            SELECT v AS value, min(v) OVER (PARTITION BY k) AS class_value, count(*) OVER (PARTITION BY k) AS members, rows FROM one""",
+        "p4_found": f"""WITH {look}, {_NODE_NAMES}, {_skeletons_sql(_ALL_NAMES)},
+            person AS (SELECT c_personid, unnest([c_name_chn, c_name]) AS name FROM biog_main)
+            SELECT DISTINCT 'c_office_chn' AS field, CAST(c_posting_id AS VARCHAR) AS row_key FROM posted_to_office_data JOIN skeleton ON v = c_office_chn
+                WHERE k <> '' AND k IN (SELECT k FROM office_codes r JOIN skeleton ON v = r.c_office_chn) AND v NOT IN (SELECT c_office_chn FROM office_codes)
+            UNION SELECT 'addr_name_chn', cluster || ':' || rank FROM spatial_cluster_top_locations JOIN skeleton ON v = addr_name_chn
+                WHERE k <> '' AND k IN (SELECT k FROM addr_codes r JOIN skeleton ON v = r.c_name_chn) AND v NOT IN (SELECT c_name_chn FROM addr_codes)
+            UNION SELECT 'nameZh', record_id || ':' || node_no FROM named n JOIN skeleton a ON a.v = n.v WHERE a.k <> ''
+                AND EXISTS (SELECT 1 FROM person JOIN skeleton b ON b.v = name WHERE c_personid = node_id AND b.k = a.k) AND NOT EXISTS (SELECT 1 FROM person WHERE c_personid = node_id AND name = n.v)""",
+    }
+
+
 ORACLES: dict[str, str] = {
     "p5_found": f"""WITH {_RUNS} SELECT t AS table_name, row_key, CAST(start_pos AS INTEGER) AS start_pos, CAST(end_pos AS INTEGER) AS end_pos
         FROM runs WHERE state_no IS NOT NULL AND entries >= 2""",

@@ -23,6 +23,19 @@ def test_skeletons_of_lookalikes():
         assert c.skeleton_of(a) != c.skeleton_of(b), (a, b)
 
 
+def test_skeletons_of_the_public_table():
+    for a, b in [("ꓐ", "B"), ("Ꭰ", "D"), ("Ꮃ", "W"), ("ⲟ", "o"), ("Ԛ", "Q"), ("rn", "m"), ("ϲ", "c"), ("к", "k"), ("㎏", "kg"), ("´", "'")]:
+        assert c.skeleton_of(a) == c.skeleton_of(b), (a, b)
+    assert len(c.public_table()) > 6000 and all(len(form) == 1 for form in c.SUPPLEMENT.values())
+
+
+def test_table_as_sql():
+    import duckdb
+
+    sql = c.skeleton_sql("look", [ord(x) for x in "Ａ'ꓐa"])
+    assert set(duckdb.sql(f"WITH {sql} SELECT c, s FROM look").fetchall()) == {("Ａ", "A"), ("ꓐ", "B")}
+
+
 def test_skeleton_is_stable():
     for text in ["", " ​", "Αβγ…½ﬁ", "x" * 10_000, "権︀力"]:
         once = c.skeleton_of(text)
