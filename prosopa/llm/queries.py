@@ -119,8 +119,15 @@ def p7_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_quality(spark: SparkSession, folder: str) -> DataFrame:
-    """The figures of every text."""
-    return quality.quality(table(spark, folder, "documents").select("doc_id", "text"))
+    """The figures of every text, with profiles fitted on labelled pages."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    profiles = quality.fit_profiles(*quality.labelled_sample(docs, table(spark, folder, "page_labels")))
+    return quality.quality(docs, profiles=profiles)
+
+
+def p8_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The basic counts of every text."""
+    return p8_quality(spark, folder).select("doc_id", "lines", "words", F.round("mean_word_length", 6).alias("mean_word_length"), F.round("ends_in_stop", 6).alias("ends_in_stop"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_documents": p7_documents,
     "p8_found": p8_found,
     "p8_quality": p8_quality,
+    "p8_counts": p8_counts,
     "p8_agreement": p8_agreement,
 }
 
@@ -213,6 +221,11 @@ ORACLES: dict[str, str] = {
     "p5_runs": f"""WITH {_RUNS} SELECT row_key AS id, CAST(start_pos AS INTEGER) AS start_pos, CAST(end_pos AS INTEGER) AS end_pos, state, entries, first_year, last_year, last_year - first_year AS duration
         FROM runs LEFT JOIN career_states USING (state_no) WHERE t = 'career_trajectory_analysis'""",
     "p6_found": "SELECT DISTINCT capacity_tokens, doc_id FROM documents, pack_limits WHERE strlen(text) + 1 > capacity_tokens",
+    "p8_counts": """WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+        l AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: rtrim(x)), lambda x: trim(x) <> '') AS lines, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS words FROM t)
+        SELECT doc_id, CAST(len(lines) AS BIGINT) AS lines, CAST(len(words) AS BIGINT) AS words,
+            coalesce(round(list_sum(list_transform(words, lambda x: length(x)))::DOUBLE / nullif(len(words), 0), 6), 0) AS mean_word_length,
+            coalesce(round(len(list_filter(lines, lambda x: right(x, 1) IN ('.', '!', '?', ':', ';', '”', '"', '’', chr(39))))::DOUBLE / nullif(len(lines), 0), 6), 0) AS ends_in_stop FROM l""",
     "p7_report": f"""WITH own AS (SELECT source, sum(strlen(text) + 1) AS own FROM (SELECT DISTINCT doc_id, source, text FROM documents) WHERE text IS NOT NULL GROUP BY source),
         t AS (SELECT m.*, coalesce(own, 0) AS own, target_share * sum(coalesce(own, 0)) OVER (PARTITION BY mix_id) AS target FROM mix_targets m LEFT JOIN own USING (source)),
         r AS (SELECT *, least(target, max_repeats * own::DOUBLE) AS reach, CASE WHEN own = 0 THEN 0 ELSE floor(least(target, max_repeats * own::DOUBLE) / own)::BIGINT END AS passes FROM t),

@@ -34,16 +34,30 @@ def test_repeated_rows_and_empty_table(spark):
     assert q.quality(df.limit(0)).count() == 0
 
 
-def test_long_texts_are_whole(monkeypatch):
-    texts = [PROSE, "\n".join([LIST] * 60), "x" * 3000, "", TABLE]
+def test_long_texts_are_cut_without_a_trace(monkeypatch):
+    texts = [PROSE, "\n".join([LIST, PROSE, "", " ", TABLE, NAMES] * 20), "x" * 3000, "", TABLE, "\n\n" + JUNK * 9]
     whole = q.judge(texts)
-    monkeypatch.setattr(q, "CHUNK", 200)
-    out = np.zeros_like(whole)
-    for where, group in q._pieces(texts):
-        np.add.at(out, where, q.judge(group))
-    same = [i for i, c in enumerate(q.TOLD) if c not in ("prose_lines", "list_lines", "junk_lines", "table_lines")]
-    assert (out[:, same] == whole[:, same]).all()
-    assert out[1, q.TOLD.index("list_lines")] == 300
+    for size in (40, 200, 1000):
+        monkeypatch.setattr(q, "CHUNK", size)
+        out = np.zeros_like(whole)
+        for where, group, spans in q._pieces(texts):
+            np.add.at(out, where, q.judge(group, spans=spans))
+        assert (out == whole).all()
+
+
+def test_profiles_fit_labelled_pages(spark):
+    pages = [(PROSE, "prose"), (LIST, "list"), (TABLE, "table"), (JUNK, "junk")] * 30
+    fitted = q.fit_profiles([t for t, _ in pages] + [None, "x"], [k for _, k in pages] + ["list", "other"])
+    rough = q.rough_profiles()
+    assert all(np.allclose(fitted[lang][k].sum(axis=1), 1) for lang in q.LANGUAGES for k in q.KINDS)
+    moved = [abs(fitted["en"][k] - rough["en"][k]).max() for k in q.KINDS]
+    assert min(moved) > 0.01 and (fitted["fr"]["prose"] == rough["fr"]["prose"]).all()
+    assert q.fit_profiles([], [])["de"]["junk"].tolist() == rough["de"]["junk"].tolist()
+    docs = spark.createDataFrame([(i, t, 0) for i, (t, _) in enumerate(pages)] + [(None, "x", 0), (999, None, 0)], SCHEMA)
+    labels = spark.createDataFrame([(i, k) for i, (_, k) in enumerate(pages)] + [(None, "list"), (3, None), (999, "list")], "doc_id long, page_kind string")
+    texts, kinds = q.labelled_sample(docs, labels, pages=8)
+    assert len(texts) == 8 and kinds == ["prose", "list", "table", "junk"] * 2
+    assert q.labelled_sample(docs, labels.limit(0)) == ([], [])
 
 
 def test_texts_without_gaps_or_words():
