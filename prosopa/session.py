@@ -63,15 +63,16 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_slice: int) -> DataFra
 
 
 def slice_join(
-    many: DataFrame, few: DataFrame, keys: Sequence[str], spread: Sequence[str], rows_per_slice: int = 4096
+    many: DataFrame, few: DataFrame, keys: Sequence[str], spread: Sequence[str], rows_per_slice: int = 4096, hot: DataFrame | None = None
 ) -> DataFrame:
     """Inner equi-join in which no key keeps more than about `rows_per_slice` rows of `many` together.
 
     A hot key of `many` is cut into slices by a hash of the `spread` columns; the `few` rows of that
     key are repeated once for each slice. All other keys stay in slice 0. Column names outside
-    `keys` must not clash. Rows with a null key never match.
+    `keys` must not clash. Rows with a null key never match. `hot` (keys and _slices) is given where the
+    rows of each key are known already.
     """
-    hot = hot_keys(many, keys, rows_per_slice)
+    hot = hot_keys(many, keys, rows_per_slice) if hot is None else hot
     left = (
         many.join(hot, list(keys), "left")
         .withColumn("_slice", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_slices")), F.lit(0)).cast("int"))
