@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from prosopa.llm import confusables, mixing, packing, quality, runs
 from prosopa.operators import nested
-from prosopa.session import slice_join, table
+from prosopa.session import cut, slice_join, table
 
 
-def _disguised_rows(rows: DataFrame, col: str, key: Column, references: DataFrame, ref_col: str) -> DataFrame:
-    """(field, row_key) of the rows whose value looks like a reference but isn't one."""
-    found = confusables.disguised(rows, col, references, ref_col).withColumnRenamed("value", col)
+def _disguised_rows(rows: DataFrame, col: str, key: Column, references: DataFrame, ref_col: str, rows_per_slice: int = 65536) -> DataFrame:
+    """(field, row_key) of the rows whose value looks like a reference but isn't one. Values are counted once, which
+    gives the distinct ones and says which fill so many rows that they are sliced."""
+    held = cut(rows.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_rows")))
+    found = cut(confusables.disguised(held, col, references, ref_col).withColumnRenamed("value", col))
+    hot = held.where(F.col("_rows") > rows_per_slice).join(found, col, "left_semi").select(col, F.ceil(F.col("_rows") / rows_per_slice).cast("int").alias("_slices"))
     keyed = rows.select(key.alias("row_key"), col)
-    return slice_join(keyed, found, [col], ["row_key"], 65536).select(F.lit(col).alias("field"), "row_key")
+    return slice_join(keyed, found, [col], ["row_key"], hot=hot).select(F.lit(col).alias("field"), "row_key")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
