@@ -2,12 +2,16 @@
 
 A bottom-up tree automaton gives each JSON value a state: scalars by kind, an office object by its
 fields, a list by how it is stored and what it holds, a node by its lists, a document by where its
-nodes are. Each state that stands for an object is routed to its typed subtype table; all rows keep
-the supertype keys (record_id, node_no, list_name, item_no), which are also the parent links.
+nodes are. Each state of an object has a typed subtype table of its own (NODE_TABLES, OFFICE_TABLES), and
+objects are routed to it by their state; all rows keep the supertype keys (record_id, node_no, list_name,
+item_no), which are also the parent links. Payloads are read row by row and never shuffled: records that repeat
+exactly give equal rows, which are dropped from the flat tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +19,19 @@ OFFICE_LISTS = ("scienceOffices", "highOffices")
 #: Fields by which an object is known as an office itself, rather than as a map that holds offices.
 OFFICE_MARKS = ("id", "zh", "pinyin", "en", "sequence")
 NODE_MARKS = ("id", "nameZh", "nameEn", "nodeType", *OFFICE_LISTS)
+_OFFICE = {"zh": "string", "pinyin": "string", "en": "string", "sequence": "int", "firstYear": "int", "lastYear": "int"}
+_BUREAU = {"bureauType": "string", "bureauZh": "string", "bureauEn": "string"}
+#: For each state of an office object, the fields of its table beside the keys.
+OFFICE_TABLES = {
+    "office_bureau": {"id": "long", **_OFFICE, **_BUREAU},
+    "office_bureau_textual": {"id": "long", **_OFFICE, **_BUREAU},
+    "office_plain": {"id": "long", **_OFFICE},
+    "office_plain_textual": {"id": "long", **_OFFICE},
+    "office_unkeyed": {**_OFFICE, **_BUREAU},
+}
+_NODE = {"id": "long", "nameZh": "string", "nameEn": "string", "indexYear": "int", "dynastyCode": "int", "nodeType": "string", "isMain": "boolean"}
+#: For each state of a node object, the fields of its table beside the keys.
+NODE_TABLES = {state: _NODE for state in ("node_of_both", "node_of_science", "node_of_high", "node_without_office")}
 
 
 def _leaf(v: Column) -> Column:
@@ -72,13 +89,15 @@ def _list_state(form: Column, states: Column) -> Column:
     return F.concat(form, F.when(F.size(states) == 0, "_empty").when(kinds == 1, "_of_one_kind").otherwise("_mixed"))
 
 
-def documents(records: DataFrame, id_col: str = "record_id", payload_col: str = "payload") -> DataFrame:
-    """(record_id, document_state, root variant) for each record once.
+def documents(records: DataFrame, id_col: str = "record_id", payload_col: str = "payload", once: bool = True) -> DataFrame:
+    """(record_id, document_state, root variant) for each record, or, with `once`, for each one that isn't an exact
+    repeat (which shuffles the payloads).
 
     States: document_flat, document_wrapped (under `data`), document_bare (JSON without nodes),
     document_broken (not whole JSON) and document_missing (null payload).
     """
-    rows = records.select(F.col(id_col).alias("record_id"), F.col(payload_col).alias("payload")).distinct()
+    rows = records.select(F.col(id_col).alias("record_id"), F.col(payload_col).alias("payload"))
+    rows = rows.distinct() if once else rows
     whole = F.try_parse_json("payload")
     read = rows.withColumn("whole", whole)
     data = F.try_variant_get("whole", "$.data", "variant")
@@ -100,9 +119,10 @@ def shapes(records: DataFrame, id_col: str = "record_id", payload_col: str = "pa
     (name, state, items of (item_no, state, office)).
 
     Nulls and values that aren't objects are no nodes and no offices and aren't counted in node_no and
-    item_no. Records without node objects give no rows.
+    item_no. Records without node objects give no rows. A record that repeats exactly gives its rows again; the
+    flat tables hold them once.
     """
-    listed = documents(records, id_col, payload_col).withColumn("nodes", _stored_list(F.try_variant_get("root", "$.nodes", "variant"), NODE_MARKS))
+    listed = documents(records, id_col, payload_col, once=False).withColumn("nodes", _stored_list(F.try_variant_get("root", "$.nodes", "variant"), NODE_MARKS))
     node = listed.select("record_id", "document_state", F.posexplode(_objects(F.col("nodes.items"))).alias("at", "node")).withColumn("node_no", F.col("at") + 1)
     for name in OFFICE_LISTS:
         stored = _stored_list(F.try_variant_get("node", f"$.{name}", "variant"), OFFICE_MARKS)
@@ -128,72 +148,64 @@ def shapes(records: DataFrame, id_col: str = "record_id", payload_col: str = "pa
     )
 
 
-def node_table(shaped: DataFrame) -> DataFrame:
-    """The node supertype: keys, state and typed fields. Fields that don't have their type are null."""
-    get = lambda path, kind: F.try_variant_get("node", path, kind)
-    return shaped.select(
-        "record_id",
-        "node_no",
-        "document_state",
-        "node_state",
-        *(f"{n}_state" for n in OFFICE_LISTS),
-        get("$.id", "long").alias("node_id"),
-        get("$.nameZh", "string").alias("name_zh"),
-        get("$.nameEn", "string").alias("name_en"),
-        get("$.indexYear", "int").alias("index_year"),
-        get("$.dynastyCode", "int").alias("dynasty_code"),
-        get("$.nodeType", "string").alias("node_type"),
-        get("$.isMain", "boolean").alias("is_main"),
-    )
+def _snake(name: str) -> str:
+    return "".join(f"_{c.lower()}" if c.isupper() else c for c in name)
 
 
-def office_table(shaped: DataFrame) -> DataFrame:
-    """The office supertype: keys of the office and of its node, state, and the fields all offices share."""
-    rows = None
-    for name in OFFICE_LISTS:
-        part = shaped.select("record_id", "node_no", F.lit(name).alias("list_name"), F.inline(name))
-        rows = part if rows is None else rows.unionByName(part)
-    get = lambda path, kind: F.try_variant_get("office", path, kind)
-    return rows.select(
-        "record_id",
-        "node_no",
-        "list_name",
-        "item_no",
-        F.col("state").alias("office_state"),
-        get("$.id", "long").alias("office_id"),
-        get("$.zh", "string").alias("zh"),
-        get("$.pinyin", "string").alias("pinyin"),
-        get("$.en", "string").alias("en"),
-        get("$.sequence", "int").alias("sequence"),
-        get("$.firstYear", "int").alias("first_year"),
-        get("$.lastYear", "int").alias("last_year"),
-        get("$.bureauType", "string").alias("bureau_type"),
-        get("$.bureauZh", "string").alias("bureau_zh"),
-        get("$.bureauEn", "string").alias("bureau_en"),
-    )
+def _typed(of: str, fields: dict[str, str], prefix: str) -> list[Column]:
+    """The fields of an object as columns. Values that don't have their type are null."""
+    return [F.try_variant_get(of, f"$.{name}", kind).alias(f"{prefix}_id" if name == "id" else _snake(name)) for name, kind in fields.items()]
 
 
-def subtype_tables(shaped: DataFrame) -> dict[str, DataFrame]:
-    """Typed tables by state: nodes, all offices, offices with a bureau, offices without one.
+def _node_rows(shaped: DataFrame, states: Sequence[str], fields: dict[str, str]) -> DataFrame:
+    rows = shaped.where(F.col("node_state").isin(*states))
+    return rows.select("record_id", "node_no", "document_state", "node_state", *(f"{n}_state" for n in OFFICE_LISTS), *_typed("node", fields, "node")).distinct()
 
-    Every row of a subtype is one row of its supertype with the same keys.
-    """
-    office = office_table(shaped)
-    bureau = F.col("bureau_type").isNotNull() | F.col("bureau_zh").isNotNull() | F.col("bureau_en").isNotNull()
-    return {
-        "nodes": node_table(shaped),
-        "offices": office,
-        "bureau_offices": office.where(bureau),
-        "plain_offices": office.where(~bureau).drop("bureau_type", "bureau_zh", "bureau_en"),
-    }
+
+def _with_name(name: str) -> Column:
+    """A list's offices with the list's name."""
+    return F.transform(name, lambda o: F.struct(F.lit(name).alias("list_name"), o["item_no"].alias("item_no"), o["state"].alias("office_state"), o["office"].alias("office")))
+
+
+def _office_rows(shaped: DataFrame, states: Sequence[str], fields: dict[str, str]) -> DataFrame:
+    listed = F.concat(*(_with_name(name) for name in OFFICE_LISTS))
+    rows = shaped.select("record_id", "node_no", F.inline(F.filter(listed, lambda o: o["office_state"].isin(*states))))
+    return rows.select("record_id", "node_no", "list_name", "item_no", "office_state", *_typed("office", fields, "office")).distinct()
+
+
+def node_table(shaped: DataFrame, states: Sequence[str] = tuple(NODE_TABLES)) -> DataFrame:
+    """The node supertype: keys, states and typed fields of the nodes of the given states."""
+    return _node_rows(shaped, states, _NODE)
+
+
+def office_table(shaped: DataFrame, states: Sequence[str] = tuple(OFFICE_TABLES)) -> DataFrame:
+    """The office supertype: keys of the office and of its node, state, and the fields that the given states share
+    or have alone (null where an office lacks them)."""
+    fields = {name: kind for state in states for name, kind in OFFICE_TABLES[state].items()}
+    return _office_rows(shaped, states, fields)
+
+
+def subtype_tables(shaped: DataFrame) -> dict[str, DataFrame]:
+    """One typed table for each state of NODE_TABLES and OFFICE_TABLES, by name. Every object is a row of
+    the one table of its state, with the keys it has in the supertype."""
+    nodes = {state: _node_rows(shaped, [state], fields) for state, fields in NODE_TABLES.items()}
+    return nodes | {state: _office_rows(shaped, [state], fields) for state, fields in OFFICE_TABLES.items()}
 
 
 def object_keys(shaped: DataFrame) -> DataFrame:
-    """(record_id, node_no, list_name, item_no) of every node (list `nodes`, item 0) and every office."""
-    key = lambda name, item: F.struct(F.lit(name).alias("list_name"), item.alias("item_no"))
-    own = F.array(key("nodes", F.lit(0)))
+    """(record_id, node_no, list_name, item_no) of every routed object: every node (list `nodes`, item 0) and every
+    office, the keys of all `subtype_tables` together, in one pass over the records.
+
+    Every state has a table, so the items of a list are numbered without a hole, and a node's keys travel as one row
+    with the number of routed objects of each list; records that repeat meet there.
+    """
+    routed = shaped.where(F.col("node_state").isin(*NODE_TABLES))
+    counted = [F.max(F.size(F.filter(name, lambda o: o["state"].isin(*OFFICE_TABLES)))).alias(name) for name in OFFICE_LISTS]
+    node = routed.groupBy("record_id", "node_no").agg(*counted)
+    key = lambda name, item: F.struct(F.lit(name).alias("list_name"), item.cast("int").alias("item_no"))
+    none = F.array().cast("array<struct<list_name:string,item_no:int>>")
 
     def listed(name: str) -> Column:
-        return F.transform(name, lambda o: key(name, o["item_no"]))
+        return F.when(F.col(name) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.col(name), F.lit(1))), lambda i: key(name, i))).otherwise(none)
 
-    return shaped.select("record_id", "node_no", F.inline(F.concat(own, *map(listed, OFFICE_LISTS))))
+    return node.select("record_id", "node_no", F.inline(F.concat(F.array(key("nodes", F.lit(0))), *map(listed, OFFICE_LISTS))))

@@ -42,15 +42,30 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.subtype_tables(_shapes(spark, folder))["nodes"]
+    return nested.node_table(_shapes(spark, folder))
 
 
 def p2_bureau_offices(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.subtype_tables(_shapes(spark, folder))["bureau_offices"]
+    """Offices whose state has bureau fields."""
+    return nested.office_table(_shapes(spark, folder), ["office_bureau", "office_bureau_textual"])
 
 
 def p2_plain_offices(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.subtype_tables(_shapes(spark, folder))["plain_offices"]
+    """Offices with an id whose state has no bureau fields."""
+    return nested.office_table(_shapes(spark, folder), ["office_plain", "office_plain_textual"])
+
+
+def p2_unkeyed_offices(spark: SparkSession, folder: str) -> DataFrame:
+    """Offices without a usable id."""
+    return nested.subtype_tables(_shapes(spark, folder))["office_unkeyed"]
+
+
+def p2_state_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of each subtype table, by list and state."""
+    shaped = _shapes(spark, folder)
+    node = nested.node_table(shaped).groupBy(F.lit("nodes").alias("list_name"), F.col("node_state").alias("state")).agg(F.count(F.lit(1)).alias("objects"))
+    office = nested.office_table(shaped).groupBy("list_name", F.col("office_state").alias("state")).agg(F.count(F.lit(1)).alias("objects"))
+    return node.unionByName(office)
 
 
 def _sets(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_nodes": p2_nodes,
     "p2_bureau_offices": p2_bureau_offices,
     "p2_plain_offices": p2_plain_offices,
+    "p2_unkeyed_offices": p2_unkeyed_offices,
+    "p2_state_counts": p2_state_counts,
     "p3_found": p3_found,
     "p3_lineages": p3_lineages,
     "p3_descendants": p3_descendants,
@@ -119,11 +136,21 @@ office AS (SELECT record_id, node_no, list_name, unnest(items) AS office, genera
     SELECT record_id, node_no, list_name, list_filter(CASE json_type(v) WHEN 'ARRAY' THEN from_json(v, '["json"]') WHEN 'OBJECT' THEN [v]
         WHEN 'VARCHAR' THEN from_json(v ->> '$', '["json"]') END, lambda x: json_type(x) = 'OBJECT') AS items FROM stored))"""
 
-_OFFICE_COLUMNS = """record_id, CAST(node_no AS INTEGER) AS node_no, list_name, CAST(item_no AS INTEGER) AS item_no,
+_OFFICE_STATE = """CASE WHEN TRY_CAST(office ->> 'id' AS BIGINT) IS NULL THEN 'office_unkeyed' ELSE
     CASE WHEN coalesce(office -> 'bureauType', office -> 'bureauZh', office -> 'bureauEn') IS NOT NULL THEN 'office_bureau' ELSE 'office_plain' END
-    || CASE WHEN json_type(json_extract(office, '$.id')) = 'VARCHAR' THEN '_textual' ELSE '' END AS office_state,
-    CAST(office ->> 'id' AS BIGINT) AS office_id, office ->> 'zh' AS zh, office ->> 'pinyin' AS pinyin, office ->> 'en' AS en,
-    CAST(office ->> 'sequence' AS INTEGER) AS sequence, CAST(office ->> 'firstYear' AS INTEGER) AS first_year, CAST(office ->> 'lastYear' AS INTEGER) AS last_year"""
+    || CASE WHEN json_type(json_extract(office, '$.id')) = 'VARCHAR' THEN '_textual' ELSE '' END END"""
+_OFFICE_KEYS = f"record_id, CAST(node_no AS INTEGER) AS node_no, list_name, CAST(item_no AS INTEGER) AS item_no, {_OFFICE_STATE} AS office_state"
+_OFFICE_COLUMNS = """office ->> 'zh' AS zh, office ->> 'pinyin' AS pinyin, office ->> 'en' AS en, CAST(office ->> 'sequence' AS INTEGER) AS sequence,
+    CAST(office ->> 'firstYear' AS INTEGER) AS first_year, CAST(office ->> 'lastYear' AS INTEGER) AS last_year"""
+_BUREAU_COLUMNS = "office ->> 'bureauType' AS bureau_type, office ->> 'bureauZh' AS bureau_zh, office ->> 'bureauEn' AS bureau_en"
+_LIST_STATE = """CASE json_type(v) WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'single' WHEN 'NULL' THEN 'null'
+        WHEN 'VARCHAR' THEN 'text_' || CASE WHEN json_valid(v ->> '$') THEN CASE json_type(CAST(v ->> '$' AS JSON)) WHEN 'ARRAY' THEN 'array' ELSE 'other' END ELSE 'absent' END ELSE 'absent' END"""
+_NODE_STATES = f"""listing AS (SELECT s.record_id, s.node_no, s.list_name, any_value({_LIST_STATE}) AS form, count(office) AS n, count(DISTINCT {_OFFICE_STATE}) FILTER (office IS NOT NULL) AS kinds
+    FROM stored s LEFT JOIN office o ON o.record_id = s.record_id AND o.node_no = s.node_no AND o.list_name = s.list_name GROUP BY ALL),
+told AS (SELECT record_id, node_no, list_name, n, form || CASE WHEN n = 0 THEN '_empty' WHEN kinds = 1 THEN '_of_one_kind' ELSE '_mixed' END AS state FROM listing),
+both_lists AS (SELECT a.record_id, a.node_no, a.state AS science_state, b.state AS high_state,
+    CASE WHEN a.n > 0 AND b.n > 0 THEN 'node_of_both' WHEN a.n > 0 THEN 'node_of_science' WHEN b.n > 0 THEN 'node_of_high' ELSE 'node_without_office' END AS node_state
+    FROM told a JOIN told b USING (record_id, node_no) WHERE a.list_name = 'scienceOffices' AND b.list_name = 'highOffices')"""
 
 _LINEAGE = """link AS (SELECT DISTINCT CASE WHEN c_kinrel_simplified = 'F' THEN c_personid ELSE c_kin_id END AS node,
         CASE WHEN c_kinrel_simplified = 'F' THEN c_kin_id ELSE c_personid END AS parent
@@ -141,9 +168,15 @@ ORACLES = {
         SELECT o.id, coalesce(n.n, 0) AS near_officials, a.area_id FROM (SELECT DISTINCT id FROM o) o LEFT JOIN n USING (id) LEFT JOIN (SELECT id, min(area_id) AS area_id FROM inside GROUP BY id) a USING (id)""",
     "p2_found": f"""WITH {_NODES} SELECT record_id, CAST(node_no AS INTEGER) AS node_no, 'nodes' AS list_name, 0 AS item_no FROM node
         UNION ALL SELECT record_id, CAST(node_no AS INTEGER), list_name, CAST(item_no AS INTEGER) FROM office""",
-    "p2_bureau_offices": f"""WITH {_NODES} SELECT {_OFFICE_COLUMNS}, office ->> 'bureauType' AS bureau_type, office ->> 'bureauZh' AS bureau_zh, office ->> 'bureauEn' AS bureau_en
-        FROM office WHERE coalesce(office ->> 'bureauType', office ->> 'bureauZh', office ->> 'bureauEn') IS NOT NULL""",
-    "p2_plain_offices": f"WITH {_NODES} SELECT {_OFFICE_COLUMNS} FROM office WHERE coalesce(office ->> 'bureauType', office ->> 'bureauZh', office ->> 'bureauEn') IS NULL",
+    "p2_nodes": f"""WITH {_NODES}, {_NODE_STATES}, whole AS (SELECT record_id, CASE WHEN json_extract(payload, '$.nodes') IS NOT NULL THEN 'document_flat' ELSE 'document_wrapped' END AS document_state FROM doc)
+        SELECT record_id, CAST(node_no AS INTEGER) AS node_no, document_state, node_state, science_state AS scienceOffices_state, high_state AS highOffices_state, TRY_CAST(node ->> 'id' AS BIGINT) AS node_id,
+            node ->> 'nameZh' AS name_zh, node ->> 'nameEn' AS name_en, TRY_CAST(node ->> 'indexYear' AS INTEGER) AS index_year, TRY_CAST(node ->> 'dynastyCode' AS INTEGER) AS dynasty_code,
+            node ->> 'nodeType' AS node_type, TRY_CAST(node ->> 'isMain' AS BOOLEAN) AS is_main FROM node JOIN both_lists USING (record_id, node_no) JOIN whole USING (record_id)""",
+    "p2_bureau_offices": f"""WITH {_NODES} SELECT {_OFFICE_KEYS}, CAST(office ->> 'id' AS BIGINT) AS office_id, {_OFFICE_COLUMNS}, {_BUREAU_COLUMNS} FROM office WHERE office_state LIKE 'office_bureau%'""",
+    "p2_plain_offices": f"WITH {_NODES} SELECT {_OFFICE_KEYS}, CAST(office ->> 'id' AS BIGINT) AS office_id, {_OFFICE_COLUMNS} FROM office WHERE office_state LIKE 'office_plain%'",
+    "p2_unkeyed_offices": f"WITH {_NODES} SELECT {_OFFICE_KEYS}, {_OFFICE_COLUMNS}, {_BUREAU_COLUMNS} FROM office WHERE office_state = 'office_unkeyed'",
+    "p2_state_counts": f"""WITH {_NODES}, {_NODE_STATES} SELECT 'nodes' AS list_name, node_state AS state, count(*) AS objects FROM both_lists GROUP BY ALL
+        UNION ALL SELECT list_name, {_OFFICE_STATE} AS state, count(*) FROM office GROUP BY ALL""",
     "p3_found": f"WITH RECURSIVE {_LINEAGE} SELECT node AS node_id, root AS root_id, depth FROM tree UNION ALL SELECT node, root, -1 FROM below",
     "p3_lineages": f"""WITH RECURSIVE {_LINEAGE}
         SELECT node AS node_id, root AS root_id, depth, (SELECT string_agg(CAST(anc AS VARCHAR), '/' ORDER BY d DESC) FROM up WHERE up.node = tree.node) AS path,
