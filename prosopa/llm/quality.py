@@ -89,7 +89,7 @@ REACH = 3
 #: Characters that are worked on at once. Longer texts are cut at line ends, with REACH lines of overlap that don't count.
 CHUNK = 400_000
 #: Labelled pages that profiles are fitted on, at most, and the lines that the built-in profiles weigh as.
-SAMPLE_PAGES, PRIOR_LINES, FIT_ROUNDS = 2000, 100, 5
+SAMPLE_PAGES, PRIOR_LINES, FIT_ROUNDS = 500, 100, 5
 #: Labelled pages with longer texts aren't fitted on, so the sample has a bound in bytes too.
 SAMPLE_CHARS = 50_000
 TOLD = ("lines", "words", "ink", "letters", "signs", "stops", *LANGUAGES, *(f"{k}_lines" for k in KINDS))
