@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosopa.session import hot_keys, slice_join
@@ -135,47 +135,86 @@ def ring_edges(areas: DataFrame, area_col: str = "area_id", rings_col: str = "ri
     ).where((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
 
 
+def _left(x1: Column, y1: Column, x2: Column, y2: Column, x: Column, y: Column) -> Column:
+    """Whether (x, y), moved by an infinitesimal step east and a much smaller one north, lies left of the side from
+    (x1, y1) to (x2, y2). The step settles all ties alike, so that crossings of a path add up at corners."""
+    turn = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+    return (turn > 0) | ((turn == 0) & ((y2 < y1) | ((y2 == y1) & (x2 > x1))))
+
+
+def _cell_rows(edge: DataFrame, strip_degrees: float, bin_degrees: float) -> DataFrame:
+    """(strip, bin, area, ring, x1, y1, x2, y2) of the sides that touch a cell, and, with null sides, one row for each
+    area and ring that holds the cell's lower right corner an odd number of times.
+
+    A corner's parity counts the sides east of it on the line at the bottom of its strip: these are
+    ranked from the east on each line of each ring, and the bins between the first and second, third and fourth
+    crossing ... are odd.
+    """
+    h, w, slack = strip_degrees, bin_degrees, 1e-6
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    low, high = F.least(y1, y2), F.greatest(y1, y2)
+    lined = edge.withColumn("strip", F.explode(F.sequence(F.floor(low / h - slack).cast("long"), F.floor(high / h + slack).cast("long"))))
+    bottom = F.col("strip") * F.lit(h)
+    at = lambda y: x1 + F.coalesce(F.try_divide((F.greatest(low, F.least(high, y)) - y1) * (x2 - x1), y2 - y1), F.lit(0.0))
+    flat = y1 == y2
+    west = F.when(flat, F.least(x1, x2)).otherwise(F.least(at(bottom), at(bottom + h)))
+    east = F.when(flat, F.greatest(x1, x2)).otherwise(F.greatest(at(bottom), at(bottom + h)))
+    bins = F.sequence(F.floor(west / w - slack).cast("long"), F.floor(east / w + slack).cast("long"))
+    sides = lined.select("strip", F.explode(bins).alias("bin"), "area", "ring", "x1", "y1", "x2", "y2")
+
+    # The easternmost corner that has the side east of it lies one bin before the crossing, give or take one.
+    line = lined.where((y1 > bottom) != (y2 > bottom))
+    first = F.floor(at(bottom) / w).cast("long")
+    has_east = lambda b: _left(x1, y1, x2, y2, (b + 1) * F.lit(w), bottom) == (y2 > y1)
+    last = F.when(has_east(first), first).when(has_east(first - 1), first - 1).when(has_east(first - 2), first - 2).otherwise(first - 3)
+    ring = Window.partitionBy("strip", "area", "ring").orderBy(F.desc("last"))
+    ranked = line.select("strip", "area", "ring", last.alias("last")).select("strip", "area", "ring", "last", F.row_number().over(ring).alias("no"), F.lead("last").over(ring).alias("next"))
+    odd = ranked.where((F.col("no") % 2 == 1) & (F.col("next") < F.col("last")))
+    none = [F.lit(None).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    return sides.unionByName(odd.select("strip", F.explode(F.sequence(F.col("next") + 1, F.col("last"))).alias("bin"), "area", "ring", *none))
+
+
 def points_in_areas(
     points: DataFrame,
     areas: DataFrame,
     area_col: str = "area_id",
     rings_col: str = "rings",
     strip_degrees: float = 0.125,
+    bin_degrees: float = 0.5,
+    border_degrees: float = 1e-12,
     rows_per_slice: int = 65536,
+    sides_per_slice: int = 4096,
 ) -> DataFrame:
     """(id, area) for each point in an area, by crossing parity in plane coordinates.
 
-    Ring sides are put into the latitude strips they pass through, points meet the sides of their
-    strip, and the crossings of the ray eastward are counted for each point, area and ring. A point
-    on an outline belongs to the area, and so does one on the edge of a hole; one strictly inside a
-    hole does not. Sides count as half-open in y, so a ray through a corner is counted once. Points
-    in no area give no row, in several areas several. Crowded strips are cut into slices.
+    Ring sides are put into latitude strips and, inside them, into bins of longitude. The ray of a point goes
+    east to the border of its bin, down that border to the corner of the cell and east from there: the sides of its
+    own cell are met one by one, those further east are counted once for all points of the cell as the parity of
+    its corner (`_cell_rows`). Crossings are added up for each point, area and ring. A point at most `border_degrees`
+    from a side of an outline belongs to the area, and so does one as close to the edge of a hole; one strictly
+    inside a hole does not. Points in no area give no row, in several areas several. Cells with many points are cut
+    into slices, and cells with many sides as well.
     """
-    edge = ring_edges(areas, area_col, rings_col)
-    box = edge.groupBy("area").agg(
-        F.min(F.least("x1", "x2")).alias("west"), F.max(F.greatest("x1", "x2")).alias("east")
-    )
-    strips = edge.join(box, "area").withColumn(
-        "strip",
-        F.explode(
-            F.sequence(
-                F.floor(F.least("y1", "y2") / strip_degrees).cast("long"), F.floor(F.greatest("y1", "y2") / strip_degrees).cast("long")
-            )
-        ),
-    )
-    placed = points.withColumn("strip", F.floor(F.col("y") / strip_degrees).cast("long"))
-    met = slice_join(placed, strips, ["strip"], ["id", "x", "y"], rows_per_slice).where(
-        F.col("x").between(F.col("west"), F.col("east")) & (F.greatest("x1", "x2") >= F.col("x"))
-    )
-    x, y, x1, y1, x2, y2 = (F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))
-    on_side = (
-        ((x2 - x1) * (y - y1) == (y2 - y1) * (x - x1))
-        & x.between(F.least(x1, x2), F.greatest(x1, x2))
-        & y.between(F.least(y1, y2), F.greatest(y1, y2))
-    )
-    crosses = ((y1 > y) != (y2 > y)) & (x < x1 + F.try_divide((y - y1) * (x2 - x1), y2 - y1))
+    rows = _cell_rows(ring_edges(areas, area_col, rings_col), strip_degrees, bin_degrees)
+    cell = ["strip", "bin"]
+    crowded = hot_keys(rows, cell, sides_per_slice).withColumnRenamed("_slices", "_parts")
+    part = F.coalesce(F.pmod(F.xxhash64("area", "ring", "x1", "y1", "x2", "y2"), F.col("_parts")), F.lit(0)).cast("int")
+    rows = rows.join(crowded, cell, "left").withColumn("part", part).drop("_parts")
+    placed = points.withColumn("strip", F.floor(F.col("y") / strip_degrees).cast("long")).withColumn("bin", F.floor(F.col("x") / bin_degrees).cast("long"))
+    placed = placed.join(crowded, cell, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
+    met = slice_join(placed, rows, [*cell, "part"], ["id", "x", "y"], rows_per_slice)
+    x, y, x1, y1, x2, y2 = side = tuple(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))
+    side = side[2:]
+    border, bottom = (F.col("bin") + 1) * F.lit(bin_degrees), F.col("strip") * F.lit(strip_degrees)
+    up = y2 > y1
+    here, turned, corner = _left(*side, x, y), _left(*side, border, y), _left(*side, border, bottom)
+    ahead = ((y1 > y) != (y2 > y)) & (here == up) & (turned != up)
+    down = ((x1 > border) != (x2 > border)) & (turned != corner)
+    turn = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+    close = lambda v, a, b: v.between(F.least(a, b) - border_degrees, F.greatest(a, b) + border_degrees)
+    on_side = (F.abs(turn) <= border_degrees * F.hypot(x2 - x1, y2 - y1)) & close(x, x1, x2) & close(y, y1, y2)
     hits = met.select(
-        "id", "x", "y", "area", "ring", on_side.alias("on"), F.coalesce(crosses, F.lit(False)).alias("crosses")
+        "id", "x", "y", "area", "ring", F.coalesce(on_side, F.lit(False)).alias("on"), F.when(x1.isNull(), True).otherwise(ahead != down).alias("crosses")
     ).where(F.col("on") | F.col("crosses"))
     rings = hits.groupBy("id", "x", "y", "area", "ring").agg(
         (F.count_if(F.col("crosses")) % 2 == 1).alias("odd"), F.bool_or("on").alias("on")

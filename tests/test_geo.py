@@ -72,6 +72,60 @@ def test_points_in_areas_against_ray_casting(spark):
     assert geo.points_in_areas(points, spark.createDataFrame([], RINGS)).count() == 0
 
 
+def test_parity_on_the_grid_of_cells(spark):
+    """Corners, sides and points on the borders of strips and bins, against exact arithmetic."""
+    from fractions import Fraction
+
+    rng = random.Random(8)
+    step = lambda: rng.randint(0, 16) / 8
+    rings = [[(step(), step()) for _ in range(rng.randint(3, 7))] for _ in range(12)]
+    rows = [(i, step() + 0.0625 * rng.randint(0, 1), step() + 0.0625 * rng.randint(0, 1), "") for i in range(200)]
+    rows = [(i, x or 0.5, y, e) for i, x, y, e in rows]
+
+    def inside(ring, x, y):
+        x, y, odd = Fraction(x), Fraction(y), False
+        ring = [(Fraction(a), Fraction(b)) for a, b in ring]
+        for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1]):
+            if (c - a) * (y - b) == (d - b) * (x - a) and min(a, c) <= x <= max(a, c) and min(b, d) <= y <= max(b, d) and (a, b) != (c, d):
+                return True
+            if (b > y) != (d > y) and x < a + (y - b) * (c - a) / (d - b):
+                odd = not odd
+        return odd
+
+    points = geo.usable_points(spark.createDataFrame(rows, POINTS), "id", "x", "y")
+    areas = spark.createDataFrame([(50 + k, [ring]) for k, ring in enumerate(rings)], RINGS)
+    want = {(i, 50 + k) for i, x, y, _ in rows for k, ring in enumerate(rings) if inside(ring, x, y)}
+    for options in ({}, {"sides_per_slice": 2, "rows_per_slice": 5}, {"strip_degrees": 0.3, "bin_degrees": 0.07}):
+        assert {(r.id, r.area) for r in geo.points_in_areas(points, areas, **options).collect()} == want
+
+
+def test_border_tolerance(spark):
+    areas = spark.createDataFrame([(7, [[(0.1, 0.1), (0.4, 0.2), (0.3, 0.7)]])], RINGS)
+    rows = [(1, 0.1 + 0.3 / 3, 0.1 + 0.1 / 3, ""), (2, 0.25, 0.15 - 1e-6, ""), (3, 0.4, 0.2, "")]
+    points = geo.usable_points(spark.createDataFrame(rows, POINTS), "id", "x", "y")
+    assert {r.id for r in geo.points_in_areas(points, areas).collect()} == {1, 3}
+    assert {r.id for r in geo.points_in_areas(points, areas, border_degrees=1e-5).collect()} == {1, 2, 3}
+
+
+def test_a_hundred_thousand_sides_in_one_strip(spark):
+    n = 50_000
+    top = [(100 + 40 * k / n, 30.05 + 0.01 * (k % 2)) for k in range(n + 1)]
+    ring = top + [(x, 30.02) for x, _ in reversed(top)]
+    rng = random.Random(4)
+    rows = [(i, rng.uniform(99, 141), rng.uniform(30.0, 30.1), "") for i in range(2000)]
+
+    def inside(x, y):
+        if not 100 < x < 140 or not 30.02 < y:
+            return False
+        k = int((x - 100) * n / 40)
+        (a, b), (c, d) = top[k], top[k + 1]
+        return y < b + (x - a) * (d - b) / (c - a)
+
+    points = geo.usable_points(spark.createDataFrame(rows, POINTS), "id", "x", "y")
+    got = {r.id for r in geo.points_in_areas(points, spark.createDataFrame([(1, [ring])], RINGS)).collect()}
+    assert got == {i for i, x, y, _ in rows if inside(x, y)}
+
+
 def test_haversine(spark):
     row = spark.range(1).select(geo.haversine_km(*map(__import__("pyspark.sql.functions", fromlist=["lit"]).lit, (116.4, 39.9, 121.47, 31.23))).alias("d")).first()
     assert 1000 < row.d < 1150 and abs(row.d - 1067.079) < 0.01
