@@ -34,44 +34,63 @@ _NODE = {"id": "long", "nameZh": "string", "nameEn": "string", "indexYear": "int
 NODE_TABLES = {state: _NODE for state in ("node_of_both", "node_of_science", "node_of_high", "node_without_office")}
 
 
+def _is_object(v: Column) -> Column:
+    """Whether a JSON value is an object, told by one field rather than by its whole schema."""
+    return F.try_variant_get(v, "$", "struct<id:variant>").isNotNull()
+
+
 def _leaf(v: Column) -> Column:
     """State of one JSON value by its own kind: absent, null, object, array, text or scalar."""
-    kind = F.schema_of_variant(v)
     return (
         F.when(v.isNull(), "absent")
         .when(F.is_variant_null(v), "null")
-        .when(kind.startswith("OBJECT"), "object")
-        .when(kind.startswith("ARRAY"), "array")
-        .when(kind == "STRING", "text")
+        .when(_array(v).isNotNull(), "array")
+        .when(_is_object(v), "object")
+        .when(F.schema_of_variant(v) == "STRING", "text")
         .otherwise("scalar")
     )
 
 
 def _has_any(v: Column, fields) -> Column:
-    keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
-    return F.coalesce(F.arrays_overlap(keys, F.array(*map(F.lit, fields))), F.lit(False))
+    """Whether an object has one of the fields, be it a JSON null."""
+    return F.coalesce(*(F.try_variant_get(v, f"$.{f}", "variant") for f in fields)).isNotNull()
+
+
+def _array(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def _inner(v: Column) -> Column:
+    """The JSON value that a text holds."""
+    return F.try_parse_json(F.try_variant_get(v, "$", "string"))
+
 
+def _entries(v: Column, marks) -> Column:
+    """The entries of a list that is an array, one object, or an object whose values are the entries; else null.
+    Arrays, the usual form, are read once."""
+    single = F.when(_is_object(v) & _has_any(v, marks), F.array(v))
+    keyed = F.when(_is_object(v), F.map_values(F.try_variant_get(v, "$", "map<string,variant>")))
+    return F.coalesce(_array(v), single, keyed)
 
-def _stored_list(v: Column, marks) -> Column:
-    """(form, items) of a list that may be stored as an array, as one object, as an object whose
-    values are the entries, or as JSON text of one of these (read once, not again inside itself)."""
 
-    def plain(w: Column, prefix: str) -> Column:
+def _stored_items(v: Column, marks) -> Column:
+    """The entries of a list that may be stored as JSON text as well (read once, not again inside itself)."""
+    held = F.when(F.schema_of_variant(v) == "STRING", _entries(_inner(v), marks))
+    return F.coalesce(_entries(v, marks), held, F.array().cast("array<variant>"))
+
+
+def _form(v: Column, marks) -> Column:
+    """How a list is stored: array, single, keyed, another leaf state, or text_ and one of these."""
+
+    def plain(w: Column) -> Column:
         leaf = _leaf(w)
-        none = F.array().cast("array<variant>")
-        return (
-            F.when(leaf == "array", F.struct(F.lit(prefix + "array").alias("form"), F.try_variant_get(w, "$", "array<variant>").alias("items")))
-            .when((leaf == "object") & _has_any(w, marks), F.struct(F.lit(prefix + "single").alias("form"), F.array(w).alias("items")))
-            .when(leaf == "object", F.struct(F.lit(prefix + "keyed").alias("form"), F.map_values(F.try_variant_get(w, "$", "map<string,variant>")).alias("items")))
-            .otherwise(F.struct(F.concat(F.lit(prefix), leaf).alias("form"), none.alias("items")))
-        )
+        return F.when(leaf == "object", F.when(_has_any(w, marks), "single").otherwise("keyed")).otherwise(leaf)
 
-    inner = F.try_parse_json(F.try_variant_get(v, "$", "string"))
-    return F.when(_leaf(v) == "text", plain(inner, "text_")).otherwise(plain(v, ""))
+    return F.when(_leaf(v) == "text", F.concat(F.lit("text_"), plain(_inner(v)))).otherwise(plain(v))
 
 
 def _objects(items: Column) -> Column:
-    return F.filter(items, lambda i: F.coalesce(F.schema_of_variant(i).startswith("OBJECT"), F.lit(False)))
+    return F.filter(items, _is_object)
 
 
 def _office_state(v: Column) -> Column:
@@ -122,32 +141,32 @@ def shapes(records: DataFrame, id_col: str = "record_id", payload_col: str = "pa
     item_no. Records without node objects give no rows. A record that repeats exactly gives its rows again; the
     flat tables hold them once.
     """
-    listed = documents(records, id_col, payload_col, once=False).withColumn("nodes", _stored_list(F.try_variant_get("root", "$.nodes", "variant"), NODE_MARKS))
-    node = listed.select("record_id", "document_state", F.posexplode(_objects(F.col("nodes.items"))).alias("at", "node")).withColumn("node_no", F.col("at") + 1)
-    for name in OFFICE_LISTS:
-        stored = _stored_list(F.try_variant_get("node", f"$.{name}", "variant"), OFFICE_MARKS)
-        node = node.withColumn(f"_{name}", stored)
-        node = node.withColumn(
-            name,
-            F.transform(
-                _objects(F.col(f"_{name}.items")),
-                lambda o, i: F.struct((i + 1).cast("int").alias("item_no"), _office_state(o).alias("state"), o.alias("office")),
-            ),
-        )
-        node = node.withColumn(f"{name}_state", _list_state(F.col(f"_{name}.form"), F.transform(name, lambda o: o["state"])))
-    science, high = (F.size(n) > 0 for n in OFFICE_LISTS)
-    state = F.when(science & high, "node_of_both").when(science, "node_of_science").when(high, "node_of_high").otherwise("node_without_office")
+    root = documents(records, id_col, payload_col, once=False).withColumn("nodes", F.try_variant_get("root", "$.nodes", "variant"))
+    items = _objects(_stored_items(F.col("nodes"), NODE_MARKS))
+    node = root.select("record_id", "document_state", F.posexplode(items).alias("at", "node")).withColumn("node_no", F.col("at") + 1)
+    node = node.withColumns({f"_{name}": F.try_variant_get("node", f"$.{name}", "variant") for name in OFFICE_LISTS})
+    offices = lambda name: F.transform(
+        _objects(_stored_items(F.col(f"_{name}"), OFFICE_MARKS)),
+        lambda o, i: F.struct((i + 1).cast("int").alias("item_no"), _office_state(o).alias("state"), o.alias("office")),
+    )
+    node = node.withColumns({name: offices(name) for name in OFFICE_LISTS})
     return node.select(
         "record_id",
         "document_state",
         "node_no",
-        state.alias("node_state"),
+        _node_state(*(F.size(n) for n in OFFICE_LISTS)).alias("node_state"),
         "node",
         *OFFICE_LISTS,
-        *(f"{n}_state" for n in OFFICE_LISTS),
+        *(_list_state(_form(F.col(f"_{n}"), OFFICE_MARKS), F.transform(n, lambda o: o["state"])).alias(f"{n}_state") for n in OFFICE_LISTS),
     )
 
 
+def _node_state(science: Column, high: Column) -> Column:
+    """A node's state by the number of offices in its lists."""
+    both = (science > 0) & (high > 0)
+    return F.when(both, "node_of_both").when(science > 0, "node_of_science").when(high > 0, "node_of_high").otherwise("node_without_office")
+
+
 def _snake(name: str) -> str:
     return "".join(f"_{c.lower()}" if c.isupper() else c for c in name)
 
@@ -199,9 +218,8 @@ def object_keys(shaped: DataFrame) -> DataFrame:
     Every state has a table, so the items of a list are numbered without a hole, and a node's keys travel as one row
     with the number of routed objects of each list; records that repeat meet there.
     """
-    routed = shaped.where(F.col("node_state").isin(*NODE_TABLES))
     counted = [F.max(F.size(F.filter(name, lambda o: o["state"].isin(*OFFICE_TABLES)))).alias(name) for name in OFFICE_LISTS]
-    node = routed.groupBy("record_id", "node_no").agg(*counted)
+    node = shaped.groupBy("record_id", "node_no").agg(*counted).where(_node_state(*map(F.col, OFFICE_LISTS)).isin(*NODE_TABLES))
     key = lambda name, item: F.struct(F.lit(name).alias("list_name"), item.cast("int").alias("item_no"))
     none = F.array().cast("array<struct<list_name:string,item_no:int>>")
 
