@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from prosopa.functions.classify import time_bin
 from prosopa.plans.config import TRANSITION_YEARS
+from prosopa.session import cut
 
 
 def panel(df: DataFrame, year: str, outcome: str, start: int, end: int, width: int) -> DataFrame:
@@ -39,41 +40,64 @@ def segment_costs(binned: DataFrame, min_bins: int = 2, min_rows: int = 120) ->
     return pair.withColumn("cost", F.when(fit, _deviance(F.col("ones"), F.col("n"))))
 
 
-def _fit_segment(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float) -> float | None:
-    """Deviance of a penalised logit over distinct rows with weights; None for one class."""
-    if y @ w in (0, w.sum()):
-        return None
-    beta, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    penalty[0] = 0
-    for _ in range(60):
-        mu = 1 / (1 + np.exp(-np.clip(x @ beta, -35, 35)))
-        curve = (x * (w * mu * (1 - mu))[:, None]).T @ x + np.diag(penalty)
-        move = np.linalg.pinv(curve) @ (x.T @ (w * (y - mu)) - penalty * beta)
-        beta += move
-        if np.max(np.abs(move)) < 1e-10:
+def _segment_fits(rows: DataFrame, segments: Sequence[tuple[int, int]], width: int, ridge: float, iterations: int = 100, tolerance: float = 1e-9) -> list[float]:
+    """The deviance of a penalised logit of (bin_no, x, y) in each segment of bins, all fitted together.
+
+    Each round is one pass over the rows: a task sorts its rows by bin, so a segment is a slice of them, and sends
+    the sums of all segments. Newton steps are taken on the driver, halved for a segment whose goal fell.
+    """
+    many, size = len(segments), 1 + width + width * width
+    penalty = np.full(width, ridge)
+    penalty[0] = 0.0
+
+    def sums(beta: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((many, size))
+            for batch in batches:
+                if len(batch):
+                    batch = batch.sort_values("bin_no")
+                    bins, x, y = batch["bin_no"].to_numpy(), np.vstack(batch["x"].to_numpy()), batch["y"].to_numpy()
+                    for i, (first, last) in enumerate(segments):
+                        at = slice(*np.searchsorted(bins, [first, last]))
+                        mu = np.clip(1 / (1 + np.exp(-np.clip(x[at] @ beta[i], -35, 35))), 1e-15, 1 - 1e-15)
+                        ll = np.sum(y[at] * np.log(mu) + (1 - y[at]) * np.log1p(-mu))
+                        total[i] += np.concatenate([[ll], x[at].T @ (y[at] - mu), ((x[at] * (mu * (1 - mu))[:, None]).T @ x[at]).ravel()])
+            yield pd.DataFrame({"i": np.arange(many * size), "v": total.ravel()})
+
+        told = rows.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")
+        return told["v"].to_numpy().reshape(many, size)
+
+    best, tried = np.zeros((many, width)), np.zeros((many, width))
+    goal, ll = np.full(many, -np.inf), np.zeros(many)
+    open_ = np.ones(many, bool)
+    for _ in range(iterations):
+        told = sums(tried)
+        for i in np.flatnonzero(open_):
+            now = told[i, 0] - 0.5 * np.sum(penalty * tried[i] ** 2)
+            if now < goal[i] - 1e-9:
+                tried[i] = (best[i] + tried[i]) / 2
+                continue
+            gain, goal[i], ll[i], best[i] = now - goal[i], now, told[i, 0], tried[i]
+            move = np.linalg.pinv(told[i, 1 + width :].reshape(width, width) + np.diag(penalty)) @ (told[i, 1 : 1 + width] - penalty * best[i])
+            open_[i] = gain > tolerance and np.max(np.abs(move)) > tolerance
+            tried[i] = best[i] + move
+        if not open_.any():
             break
-    mu = np.clip(1 / (1 + np.exp(-np.clip(x @ beta, -35, 35))), 1e-15, 1 - 1e-15)
-    return float(-2 * np.sum(w * (y * np.log(mu) + (1 - y) * np.log1p(-mu))))
+    return [float(-2 * v) for v in ll]
 
 
 def model_segment_costs(df: DataFrame, year: str, outcome: str, features: Sequence[str], start: int, end: int, width: int, min_bins: int = 2, min_rows: int = 120, inverse_penalty: float = 100.0) -> DataFrame:
-    """As `segment_costs`, but with a penalised logit on discrete features. Rows are first counted by
-    bin and feature pattern, so a segment's fit works on patterns, however many rows there are."""
-    binned = panel(df, year, outcome, start, end, width)
-    rows = df.where(F.col(year).between(start, end)).select(time_bin(year, width).alias("time_bin"), *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features), F.coalesce(F.col(outcome), F.lit(0)).cast("int").alias("y"))
-    pattern = rows.groupBy("time_bin", *features, "y").agg(F.count(F.lit(1)).alias("w")).join(binned.select("time_bin", "bin_no"), "time_bin")
-    names = list(features)
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(group)), group[names].to_numpy(float)])
-        cost = _fit_segment(x, group["y"].to_numpy(float), group["w"].to_numpy(float), 1 / inverse_penalty)
-        return pd.DataFrame({"start_bin": [int(group["start_bin"].iloc[0])], "end_bin": [int(group["end_bin"].iloc[0])], "cost": [cost]}).astype({"cost": "float64"})
-
-    spans = segment_costs(binned, min_bins, min_rows).drop("cost")
-    joined = spans.where(F.col("n") >= min_rows).join(pattern, (F.col("bin_no") >= F.col("start_bin")) & (F.col("bin_no") < F.col("end_bin")))
-    patterns = joined.groupBy("start_bin", "end_bin", *names, "y").agg(F.sum("w").alias("w"))
-    costs = patterns.groupBy("start_bin", "end_bin").applyInPandas(fit, "start_bin int, end_bin int, cost double")
-    return spans.join(costs, ["start_bin", "end_bin"], "left")
+    """As `segment_costs`, but with the deviance of a penalised logit on the features in each segment. Null
+    features count as 0. The table of costs has a row for each pair of bins."""
+    binned = cut(panel(df, year, outcome, start, end, width))
+    spans = segment_costs(binned, min_bins, min_rows)
+    x = F.array(F.lit(1.0), *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features))
+    rows = df.where(F.col(year).between(start, end)).select(time_bin(year, width).alias("time_bin"), x.alias("x"), F.coalesce(F.col(outcome), F.lit(0)).cast("int").alias("y"))
+    rows = cut(rows.join(binned.select("time_bin", "bin_no"), "time_bin").select("bin_no", "x", "y"))
+    segments = sorted((r[0], r[1]) for r in spans.where(F.col("cost").isNotNull()).select("start_bin", "end_bin").collect())
+    costs = _segment_fits(rows, segments, len(features) + 1, 1 / inverse_penalty) if segments else []
+    fitted = df.sparkSession.createDataFrame([(a, b, c) for (a, b), c in zip(segments, costs, strict=True)], "start_bin int, end_bin int, cost double")
+    return spans.drop("cost").join(fitted, ["start_bin", "end_bin"], "left")
 
 
 def select_breaks(costs: Sequence[tuple[int, int, float | None]], bins: int, rows: int, parameters: int, max_breaks: int) -> tuple[float, list[tuple[int, int]]] | None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosopa.operators.attributes import earliest, pick
-from prosopa.session import cut, slice_join
+from prosopa.session import cut, cut_told, hot_keys, slice_join
 
 
 def relations(*sources: tuple[DataFrame, str, str, str, str]) -> DataFrame:
@@ -91,16 +91,23 @@ def clustering(edges: DataFrame, nodes: DataFrame, node: str = "id") -> DataFram
     return row.select("id", "triangles", rate.alias("clustering"))
 
 
-def two_hop(edges: DataFrame) -> DataFrame:
-    """Distinct (node, other) at distance exactly two."""
+def two_hop(edges: DataFrame, rows_per_slice: int = 2048) -> DataFrame:
+    """Distinct (node, other) at distance exactly two. A hub's neighbours are cut into slices."""
     near = adjacency(edges).distinct()
-    far = near.alias("a").join(near.alias("b"), F.col("a.neighbour") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.neighbour").alias("other"))
+    ends = near.select(F.col("neighbour").alias("hub"), "node")
+    far = slice_join(ends, ends.withColumnRenamed("node", "other"), ["hub"], ["node"], rows_per_slice).select("node", "other")
     return far.where(F.col("node") != F.col("other")).distinct().join(near.withColumnRenamed("neighbour", "other"), ["node", "other"], "left_anti")
 
 
+def _outcomes(nodes: DataFrame, outcome: str, node: str, id_: str, y: str) -> DataFrame:
+    """One outcome for each node: the greatest of its rows, 0 where none is known."""
+    return nodes.groupBy(F.col(node).alias(id_)).agg(F.coalesce(F.max(F.col(outcome).cast("long")), F.lit(0)).alias(y))
+
+
 def contagion(edges: DataFrame, nodes: DataFrame, outcome: str, node: str = "id") -> DataFrame:
-    """(id, contagion, indirect_contagion): the outcome summed over neighbours and over nodes two away."""
-    y = nodes.select(F.col(node).alias("other"), F.coalesce(F.col(outcome), F.lit(0)).cast("long").alias("y")).dropDuplicates(["other"])
+    """(id, contagion, indirect_contagion): the outcome summed over neighbours and over nodes two away. Of
+    a node's rows that differ the greatest outcome counts."""
+    y = _outcomes(nodes, outcome, node, "other", "y")
     direct = adjacency(edges).withColumnRenamed("neighbour", "other").join(y, "other").groupBy(F.col("node").alias("id")).agg(F.sum("y").alias("contagion"))
     second = two_hop(edges).join(y, "other").groupBy(F.col("node").alias("id")).agg(F.sum("y").alias("indirect_contagion"))
     ids = nodes.select(F.col(node).alias("id")).distinct()
@@ -109,7 +116,7 @@ def contagion(edges: DataFrame, nodes: DataFrame, outcome: str, node: str = "id"
 
 def co_outcome_edges(edges: DataFrame, nodes: DataFrame, outcome: str, node: str = "id") -> DataFrame:
     """One row: how many edges there are and how many have the outcome at both ends."""
-    y = nodes.select(F.col(node).alias("_n"), F.coalesce(F.col(outcome), F.lit(0)).cast("int").alias("_y")).dropDuplicates(["_n"])
+    y = _outcomes(nodes, outcome, node, "_n", "_y")
     both = edges.join(y.select(F.col("_n").alias("source"), F.col("_y").alias("ys")), "source", "left").join(y.select(F.col("_n").alias("target"), F.col("_y").alias("yt")), "target", "left")
     return both.agg(F.count(F.lit(1)).alias("edges"), F.count_if((F.col("ys") == 1) & (F.col("yt") == 1)).alias("both_ones"))
 
@@ -127,7 +134,7 @@ def bounded_paths(edges: DataFrame, mains: DataFrame, highs: DataFrame, max_dist
     frontier = start.select("main", F.col("main").alias("node"), F.array("main").alias("path"))
     seen, found = frontier.select("main", "node"), None
     for distance in range(1, max_distance + 1):
-        step = frontier.join(near, "node").select("main", F.col("neighbour").alias("node"), F.concat("path", F.array("neighbour")).alias("path"))
+        step = slice_join(frontier, near, ["node"], ["main"], 65536).select("main", F.col("neighbour").alias("node"), F.concat("path", F.array("neighbour")).alias("path"))
         fresh = step.join(seen, ["main", "node"], "left_anti").groupBy("main", "node").agg(F.min("path").alias("path"))
         frontier = cut(fresh)
         hit = frontier.join(high, "node", "left_semi").select("main", F.col("node").alias("high"), F.lit(distance).alias("distance"), "path")
@@ -142,19 +149,21 @@ def bounded_paths(edges: DataFrame, mains: DataFrame, highs: DataFrame, max_dist
 
 
 def roles(edges: DataFrame, mains: DataFrame, paths: DataFrame) -> DataFrame:
-    """(id, node_type, is_main, is_high, is_bridge) for mains, their neighbours and all nodes on paths;
-    types in the order main, high, bridge, other."""
+    """(id, node_type, is_main, is_high, is_bridge, is_direct) for mains, their neighbours (direct) and all nodes on
+    paths; types in the order main, high, bridge, other."""
     main = mains.select("id").distinct()
     high = paths.select(F.col("high").alias("id")).distinct()
     on_path = paths.select(F.explode("path").alias("id")).distinct()
     bridge = on_path.join(main, "id", "left_anti").join(high, "id", "left_anti")
     direct = adjacency(edges).join(main, F.col("node") == F.col("id"), "left_semi").select(F.col("neighbour").alias("id"))
-    everyone = main.union(high).union(bridge).union(direct).distinct()
-    flag = lambda df, name: df.withColumn(name, F.lit(True))
-    row = everyone.join(flag(main, "is_main"), "id", "left").join(flag(high, "is_high"), "id", "left").join(flag(bridge, "is_bridge"), "id", "left")
-    row = row.na.fill(False, ["is_main", "is_high", "is_bridge"])
+    flags = {"is_main": main, "is_high": high, "is_bridge": bridge, "is_direct": direct}
+    flagged = None
+    for name, rows in flags.items():
+        part = rows.select("id", *(F.lit(n == name).alias(n) for n in flags))
+        flagged = part if flagged is None else flagged.unionByName(part)
+    row = flagged.groupBy("id").agg(*(F.bool_or(n).alias(n) for n in flags))
     kind = F.when(F.col("is_main"), "main").when(F.col("is_high"), "high").when(F.col("is_bridge"), "bridge").otherwise("other")
-    return row.select("id", kind.alias("node_type"), "is_main", "is_high", "is_bridge")
+    return row.select("id", kind.alias("node_type"), *flags)
 
 
 def role_edges(related: DataFrame, mains: DataFrame, paths: DataFrame) -> DataFrame:
@@ -174,8 +183,26 @@ def check_graph(nodes: DataFrame, edges: DataFrame, node: str = "id", source: st
     ends = edges.select(F.explode(F.array(source, target)).alias("id")).where("id is not null").distinct()
     dangling = ends.join(ids.distinct(), "id", "left_anti")
     looped = edges.where(F.col(source) == F.col(target)).select(F.col(source).alias("id"))
-    told = lambda df, name: df.agg(F.count(F.lit(1)).alias("offenders"), F.min("id").alias("first")).select(F.lit(name).alias("check_name"), "offenders", "first")
-    return told(repeated, "repeated_node").unionByName(told(dangling, "dangling_edge")).unionByName(told(looped, "self_link"))
+    return _offences(repeated, "repeated_node").unionByName(_offences(dangling, "dangling_edge")).unionByName(_offences(looped, "self_link"))
+
+
+def _offences(rows: DataFrame, name: str) -> DataFrame:
+    return rows.agg(F.count(F.lit(1)).alias("offenders"), F.min("id").alias("first")).select(F.lit(name).alias("check_name"), "offenders", "first")
+
+
+def check_paths(nodes: DataFrame, paths: DataFrame, summary: DataFrame, edges: DataFrame) -> DataFrame:
+    """(check_name, offenders, first): paths whose main is no main node, whose high is no high node, or that pass
+    a node that isn't there, and counts of `summary` (`network_summary`) that differ from the tables."""
+    lacking = lambda rows, kept: rows.where("id is not null").join(kept.select("id"), "id", "left_anti")
+    main = lacking(paths.select(F.col("main").alias("id")), nodes.where("is_main"))
+    high = lacking(paths.select(F.col("high").alias("id")), nodes.where("is_high"))
+    passed = lacking(paths.select(F.explode("path").alias("id")), nodes)
+    rows = _offences(main, "path_main").unionByName(_offences(high, "path_high")).unionByName(_offences(passed, "path_node"))
+    for metric, table in (("nodeCount", nodes), ("edgeCount", edges), ("pathCount", paths)):
+        told, seen = summary.where(F.col("metric") == metric).select(F.col("value").alias("told")), table.agg(F.count(F.lit(1)).alias("seen"))
+        off = told.crossJoin(seen).where(F.col("told") != F.col("seen")).select(F.col("told").alias("id"))
+        rows = rows.unionByName(_offences(off, metric))
+    return rows
 
 
 def eigenvector(edges: DataFrame, nodes: DataFrame, node: str = "id", max_iterations: int = 2000, tolerance: float = 1e-8, checkpoint_every: int = 10) -> DataFrame:
@@ -205,30 +232,37 @@ def eigenvector(edges: DataFrame, nodes: DataFrame, node: str = "id", max_iterat
     raise ValueError(f"eigenvector centrality didn't settle in {max_iterations} rounds")
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, node: str = "id", pivots: int = 512, seed: int = 20260516, max_levels: int = 1000) -> DataFrame:
+def betweenness(edges: DataFrame, nodes: DataFrame, node: str = "id", pivots: int = 512, seed: int = 20260516) -> DataFrame:
     """(id, betweenness) for graphs of any size: all pivots' shortest-path searches advance together,
     one join per level, and their dependencies flow back one join per level.
 
-    A row of state is one (pivot, node) that was reached, so the work is pivots x reached nodes.
+    A row of state is one (pivot, node) that was reached, so the work is pivots x reached nodes. Searches go on
+    until no new node is reached, however deep; the neighbours of a hub are sliced.
     """
     ids = cut(nodes.select(F.col(node).cast("long").alias("id")).distinct())
     n = ids.count()
     k = min(pivots, n)
     near = cut(adjacency(edges).distinct())
+    # A level holds a node once for each pivot, so only a hub's neighbours can be many.
+    hot = cut(hot_keys(near, ["node"], 65536))
+    sliced = not hot.isEmpty()
+    meet = lambda rows: slice_join(near, rows, ["node"], ["neighbour"], 65536, hot) if sliced else rows.join(near, "node")
     chosen = ids.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(pivots)
     level = cut(chosen.select(F.col("id").alias("pivot"), "id", F.lit(1.0).alias("ways"), F.lit(0).alias("level")))
-    seen, levels = level.select("pivot", "id"), [level]
-    for depth in range(1, max_levels + 1):
-        step = level.join(near, F.col("id") == F.col("node")).groupBy("pivot", F.col("neighbour").alias("id")).agg(F.sum("ways").alias("ways"))
-        level = cut(step.join(seen, ["pivot", "id"], "left_anti").withColumn("level", F.lit(depth)))
-        if level.isEmpty():
+    levels = [level]
+    while True:
+        step = meet(level.withColumnRenamed("id", "node"))
+        step = step.groupBy("pivot", F.col("neighbour").alias("id")).agg(F.sum("ways").alias("ways"))
+        # A neighbour of one level lies on that level, the one before or the next, so older levels needn't be asked.
+        old = levels[-1].select("pivot", "id") if len(levels) == 1 else levels[-1].select("pivot", "id").unionByName(levels[-2].select("pivot", "id"))
+        level, told = cut_told(step.join(old, ["pivot", "id"], "left_anti").withColumn("level", F.lit(len(levels))), rows=F.count(F.lit(1)))
+        if not told["rows"]:
             break
-        seen = cut(seen.unionByName(level.select("pivot", "id")))
         levels.append(level)
     total, below = None, levels[-1].withColumn("share", F.lit(0.0))
     for upper in reversed(levels[:-1]):
         told = below.select("pivot", F.col("id").alias("from"), ((1 + F.col("share")) / F.col("ways")).alias("give"))
-        back = told.join(near, F.col("from") == F.col("node")).select("pivot", F.col("neighbour").alias("id"), "give")
+        back = meet(told.withColumnRenamed("from", "node")).select("pivot", F.col("neighbour").alias("id"), "give")
         got = upper.join(back, ["pivot", "id"], "left").groupBy("pivot", "id", "ways", "level").agg((F.first("ways") * F.coalesce(F.sum("give"), F.lit(0.0))).alias("share"))
         part = below.select("id", "share")
         total = part if total is None else total.unionByName(part)
@@ -240,12 +274,28 @@ def betweenness(edges: DataFrame, nodes: DataFrame, node: str = "id", pivots: in
     return ids.join(summed, "id", "left").na.fill(0.0, ["betweenness"])
 
 
-def network_summary(roles: DataFrame, edges: DataFrame) -> DataFrame:
-    """(metric, value): nodes by type, high officials, and edges by category, from `roles` and `role_edges`."""
-    node = roles.groupBy(F.concat(F.lit("nodes_"), "node_type").alias("metric")).agg(F.count(F.lit(1)).alias("value"))
-    high = roles.where("is_high").agg(F.lit("high_officials").alias("metric"), F.count(F.lit(1)).alias("value"))
-    edge = edges.groupBy(F.concat(F.lit("edges_"), "category").alias("metric")).agg(F.count(F.lit(1)).alias("value"))
-    return node.unionByName(high).unionByName(edge)
+def network_summary(roles: DataFrame, edges: DataFrame, paths: DataFrame, highs: DataFrame, offices: DataFrame, bureaus: DataFrame) -> DataFrame:
+    """(metric, value) of a network: persons by role, edges by category, paths, mains with direct links and with
+    paths, candidates and offices. `roles`, `role_edges` and `bounded_paths` give the first three; `highs` (id) are the
+    candidates, `offices` has office and used, `bureaus` (id, bureau) the bureaus of the mains, which are
+    counted as bureau_<name>."""
+    one = lambda rows, *named: rows.agg(*(c.alias(n) for n, c in named))
+    count = F.count_if
+    node = one(
+        roles, ("mainPersonCount", count(F.col("is_main"))), ("relatedHighOfficialCount", count(F.col("is_high"))), ("bridgeCount", count(F.col("is_bridge"))), ("nodeCount", F.count(F.lit(1))),
+        ("directPersonCount", count(F.col("is_direct"))),
+    )
+    edge = one(edges, ("edgeCount", F.count(F.lit(1))), ("directEdgeCount", count(F.col("category") == "direct")), ("pathEdgeCount", count(F.col("category") == "path")))
+    path = one(paths, ("pathCount", F.count(F.lit(1))), ("highPathCoveredMainCount", F.count_distinct("main")), ("maxHighPathDistanceSeen", F.coalesce(F.max("distance"), F.lit(0)).cast("long")))
+    linked = edges.where("category = 'direct'").select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    covered = one(roles.where("is_main").join(linked, "id", "left_semi"), ("mainWithDirectRelationsCount", F.count(F.lit(1))))
+    high = one(highs.select("id").distinct(), ("highOfficialCandidateCount", F.count(F.lit(1))))
+    office = one(offices, ("scienceOfficeCount", F.count_distinct("office")), ("usedScienceOfficeCount", F.count_distinct(F.when(F.col("used"), F.col("office")))))
+    rows = bureaus.where("bureau is not null").groupBy(F.concat(F.lit("bureau_"), "bureau").alias("metric")).agg(F.count_distinct("id").alias("value"))
+    for told in (node, edge, path, covered, high, office):
+        pairs = F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in told.columns))
+        rows = rows.unionByName(told.select(F.inline(pairs)))
+    return rows
 
 
 def network_view(

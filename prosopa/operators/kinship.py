@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosopa.functions.exprs import percent, prefixed
-from prosopa.operators.attributes import ordered_distinct_text
+from prosopa.operators.attributes import earliest, ordered_distinct_text
 
 
 def pairs(kin: DataFrame, codes: DataFrame) -> DataFrame:
@@ -28,8 +28,8 @@ def pairs(kin: DataFrame, codes: DataFrame) -> DataFrame:
 def dyads(pair: DataFrame, people: DataFrame, key: str = "c_personid", surname: str = "c_surname_chn") -> DataFrame:
     """`pair` with the columns of `people` for father (father_) and child (child_), and same_surname,
     which needs a surname that isn't blank. Unknown persons have null attributes; of a person's rows
-    that differ the smallest counts."""
-    one = people.groupBy(key).agg(*(F.min(c).alias(c) for c in people.columns if c != key))
+    that differ the smallest counts, whole."""
+    one = earliest(people, [key], [c for c in people.columns if c != key])
     father, child = prefixed(one, "father_"), prefixed(one, "child_")
     joined = pair.join(father, F.col("father_id") == F.col(f"father_{key}"), "left").join(child, F.col("child_id") == F.col(f"child_{key}"), "left")
     same = (F.coalesce(F.trim(f"father_{surname}"), F.lit("")) != "") & F.col(f"father_{surname}").eqNullSafe(F.col(f"child_{surname}"))

@@ -42,7 +42,7 @@ def centroid_distances(points: DataFrame, by: str, clusters: Sequence[str]) -> D
     return a.join(b, F.col("pa") < F.col("pb")).select("cluster_a", "cluster_b", haversine_km("ax", "ay", "bx", "by_").alias("distance_km"))
 
 
-def nearest(points: DataFrame, k: int, start_cell: float | None = None, most_rounds: int = 24) -> DataFrame:
+def nearest(points: DataFrame, k: int, start_cell: float | None = None) -> DataFrame:
     """(id, neighbour, rank, d2): the k nearest other points of each in plane degrees, ties by id.
 
     Ids at one spot share their neighbours, so spots rather than points are searched: of any spot only
@@ -50,7 +50,7 @@ def nearest(points: DataFrame, k: int, start_cell: float | None = None, most_rou
     of its ids. A spot that holds a third of all rows is one row of the search. Spots meet the spots of
     the 3 x 3 grid cells around theirs, crowded cells in slices. Neighbours within one cell's width are
     certain; spots with fewer than k + 1 certain ones go on with a cell twice as wide, the others are
-    done. No point is compared with all. Ids must be unique. With k or fewer points there is a ValueError.
+    done. That ends for any points, as a cell as wide as their extent holds them all. No point is compared with all. Ids must be unique. With k or fewer points there is a ValueError.
     """
     points = cut(points.select(F.col("id").cast("long").alias("id"), "x", "y"))
     told = points.agg(F.count(F.lit(1)), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
@@ -61,7 +61,7 @@ def nearest(points: DataFrame, k: int, start_cell: float | None = None, most_rou
     spot = cut(first_ids.groupBy("x", "y").agg(F.collect_list("id").alias("ids")))
     cell = start_cell or max(width * (k / n) ** 0.5, 1e-9)
     open_, done = spot.select("x", "y"), None
-    for _ in range(most_rounds):
+    while True:
         grid = lambda c, w=cell: F.floor(F.col(c) / w).cast("long")
         home = spot.select(grid("x").alias("cx"), grid("y").alias("cy"), "ids", F.col("x").alias("nx"), F.col("y").alias("ny"))
         step = F.array(F.lit(-1), F.lit(0), F.lit(1))
@@ -80,7 +80,6 @@ def nearest(points: DataFrame, k: int, start_cell: float | None = None, most_rou
             row = slice_join(points, done, ["x", "y"], ["id"], 65536).select("id", F.posexplode(others).alias("at", "m"))
             return row.select("id", "m.neighbour", (F.col("at") + 1).alias("rank"), "m.d2")
         cell *= 2
-    raise ValueError("points too uneven for the number of rounds")
 
 
 def morans_i(values: DataFrame, neighbours: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -30,9 +30,10 @@ ENTRY_CODES = {
 }
 # Words that mark a technical office.
 TECHNICAL_WORDS = (
-    "工部 司天 欽天 钦天 太醫 太医 都水 軍器 军器 將作 将作 天文 算學 算学 算曆 算历 曆算 历算 造曆 造历 "
-    "醫官 医官 醫學 医学 醫正 医正 醫生 医生 醫士 医士 醫人 医人 御醫 御医 翰林醫 翰林医 翰林天文 河道 水利 繕工 缮工 百工 營繕 营缮"
-).split()
+    "工部", "司天", "欽天", "钦天", "太醫", "太医", "都水", "軍器", "军器", "將作", "将作", "天文", "算學", "算学", "算曆", "算历", "曆算", "历算",
+    "造曆", "造历", "醫官", "医官", "醫學", "医学", "醫正", "医正", "醫生", "医生", "醫士", "医士", "醫人", "医人", "御醫", "御医", "翰林醫", "翰林医",
+    "翰林天文", "河道", "水利", "繕工", "缮工", "百工", "營繕", "营缮",
+)
 # Bureaus by the words in an office's name; the first that matches counts.
 BUREAUS = {
     "astronomical": "司天|欽天|钦天|天文|算學|算学|算曆|算历|曆算|历算|造曆|造历|推算|靈臺|灵台",
@@ -45,20 +46,30 @@ BUREAUS = {
 BUREAU_FLAGS = ["astronomical", "medical", "hydraulic", "military_industrial", "construction"]
 # Words of high offices, and of offices that only sound like them.
 HIGH_WORDS = (
-    "同中書門下二品 同中书门下二品 同中書門下三品 同中书门下三品 同中書門下平章事 同中书门下平章事 同鳳閣鸞臺 同凤阁鸾台 "
-    "平章事 中書令 中书令 尚書令 尚书令 侍中 門下侍郎 门下侍郎 丞相 宰相 參知政事 参知政事 內閣大學士 内阁大学士 内阁大學士 軍機大臣 军机大臣"
-).split()
+    "同中書門下二品", "同中书门下二品", "同中書門下三品", "同中书门下三品", "同中書門下平章事", "同中书门下平章事", "同鳳閣鸞臺", "同凤阁鸾台", "平章事", "中書令", "中书令",
+    "尚書令", "尚书令", "侍中", "門下侍郎", "门下侍郎", "丞相", "宰相", "參知政事", "参知政事", "內閣大學士", "内阁大学士", "内阁大學士", "軍機大臣", "军机大臣",
+)
 NOT_HIGH_WORDS = (
-    "內閣中書 内阁中书 中書舍人 中书舍人 中書省 中书省 中書檢正 中书检正 門下省 门下省 中書五房 中书五房 書令史 令史 習學 习学 孔目 "
-    "吏房 戶房 户房 禮房 礼房 刑房 兵房 工房 開拆 章奏 催驅 点檢 點檢"
-).split()
+    "內閣中書", "内阁中书", "中書舍人", "中书舍人", "中書省", "中书省", "中書檢正", "中书检正", "門下省", "门下省", "中書五房", "中书五房", "書令史", "令史",
+    "習學", "习学", "孔目", "吏房", "戶房", "户房", "禮房", "礼房", "刑房", "兵房", "工房", "開拆", "章奏", "催驅", "点檢", "點檢",
+)
 # Domains by substrings of an office's names in any language; the first that matches counts.
 DOMAINS = {
-    "astronomical": "司天 太史 欽天 天文 曆 历 astronom astrolog calendar observatory".split(),
-    "medical": "醫 藥 太醫 medicine medical physician doctor pharmacy".split(),
-    "hydraulic": "都水 水部 水利 河 漕 waterway irrigation river canal".split(),
-    "military_industrial": "軍器 火器 兵器 武器 armament armory weapon military".split(),
-    "construction": "工部 將作 營造 修造 works construction building architecture".split(),
+    "astronomical": (
+        "司天", "太史", "欽天", "天文", "曆", "历", "astronom", "astrolog", "calendar", "observatory",
+    ),
+    "medical": (
+        "醫", "藥", "太醫", "medicine", "medical", "physician", "doctor", "pharmacy",
+    ),
+    "hydraulic": (
+        "都水", "水部", "水利", "河", "漕", "waterway", "irrigation", "river", "canal",
+    ),
+    "military_industrial": (
+        "軍器", "火器", "兵器", "武器", "armament", "armory", "weapon", "military",
+    ),
+    "construction": (
+        "工部", "將作", "營造", "修造", "works", "construction", "building", "architecture",
+    ),
 }
 
 

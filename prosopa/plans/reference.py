@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from prosopa.functions import classify, exprs
 from prosopa.operators import attributes, breaks, geo, graph, kinship, models, nested, sequences, spatial
-from prosopa.plans.config import BUREAUS, CLUSTERS, DOMAINS, ERAS, TECHNICAL_WORDS, TRANSITION_YEARS, Careers, Network, Spatial
+from prosopa.plans.config import BUREAUS, CLUSTERS, DOMAINS, ERAS, HIGH_WORDS, NOT_HIGH_WORDS, TECHNICAL_WORDS, TRANSITION_YEARS, BreakSearch, Careers, Network, Spatial
 from prosopa.session import cut, table
 
 CAREERS_SET = Careers()
 NETWORK_SET = Network()
 SPATIAL_SET = Spatial()
+BREAK_SET = BreakSearch()
 KIN_SETS = {"has_father": [75, 76], "has_son": [180, 181, 182, 183], "has_wife": [134]}
-NOT_OFFICERS = ["力士", "老人"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -101,9 +101,16 @@ def keyword_filter(s, d):
     return postings(s, d).where(classify.any_word("c_office_chn", TECHNICAL_WORDS)).select("c_posting_id", "c_office_chn").distinct()
 
 
-@query(f"SELECT DISTINCT c_posting_id, c_office_chn FROM posted_to_office_data WHERE regexp_matches(c_office_chn, '{in_sql(TECHNICAL_WORDS)}') AND NOT regexp_matches(c_office_chn, '{in_sql(NOT_OFFICERS)}')")
+@query(f"SELECT DISTINCT c_posting_id, c_office_chn FROM posted_to_office_data WHERE regexp_matches(c_office_chn, '{in_sql(TECHNICAL_WORDS)}') AND NOT regexp_matches(c_office_chn, '{in_sql(NOT_HIGH_WORDS)}')")
 def include_exclude_filter(s, d):
-    return postings(s, d).where(classify.included("c_office_chn", TECHNICAL_WORDS, NOT_OFFICERS)).select("c_posting_id", "c_office_chn").distinct()
+    """Technical titles without the words of clerks and sections."""
+    return postings(s, d).where(classify.included("c_office_chn", TECHNICAL_WORDS, NOT_HIGH_WORDS)).select("c_posting_id", "c_office_chn").distinct()
+
+
+@query(f"""SELECT DISTINCT c_posting_id, coalesce(regexp_matches(c_office_chn, '{in_sql(HIGH_WORDS)}') AND NOT regexp_matches(c_office_chn, '{in_sql(NOT_HIGH_WORDS)}'), false) AS high FROM posted_to_office_data""")
+def high_titles(s, d):
+    """Whether a posting's title is that of a high office."""
+    return postings(s, d).select("c_posting_id", F.coalesce(classify.included("c_office_chn", HIGH_WORDS, NOT_HIGH_WORDS), F.lit(False)).alias("high")).distinct()
 
 
 @query(f"WITH {POSTINGS} SELECT {case_match('coalesce(c_office_chn, chr(32))', BUREAUS, 'other_technical')} AS bureau_type, count(*) AS postings FROM posting GROUP BY 1")
@@ -301,7 +308,7 @@ def mode_per_group(s, d):
     t AS (SELECT *, CAST(row_number() OVER (PARTITION BY cluster ORDER BY count DESC, addr_name_chn) AS INTEGER) AS rank, sum(count) OVER (PARTITION BY cluster) AS total FROM n)
     SELECT cluster, rank, addr_name_chn, count, {PCT('count', 'total')} AS share_pct FROM t WHERE rank <= 10""")
 def topn_locations(s, d):
-    return attributes.top_values(officials(s, d), "cluster", "addr_name_chn", 10)
+    return attributes.top_values(officials(s, d), "cluster", "addr_name_chn", SPATIAL_SET.top_places)
 
 
 @query(f"""WITH {PEOPLE}, n AS (SELECT count(*) AS people, count(c_index_year) AS dated, count_if(c_female = 1) AS women, count(DISTINCT c_surname_chn) AS surnames, round(avg(c_index_year), 6) AS mean_year FROM person)
@@ -492,7 +499,7 @@ def _levels(depth: int) -> str:
 
 def high_paths(s, d):
     row = officials(s, d)
-    return graph.bounded_paths(kin_edges(s, d), row.select("id"), row.where("is_high_official = 1").select("id"))
+    return graph.bounded_paths(kin_edges(s, d), row.select("id"), row.where("is_high_official = 1").select("id"), NETWORK_SET.max_distance, NETWORK_SET.max_paths)
 
 
 @query(f"WITH {EDGES}, {_levels(6)} SELECT main, high, distance, array_to_string(path, '>') AS path FROM path")
@@ -504,7 +511,8 @@ _ROLES = """main AS (SELECT DISTINCT id FROM alaam_science_officials), h AS (SEL
 every AS (SELECT id FROM main UNION SELECT id FROM h UNION SELECT id FROM on_path UNION SELECT other FROM near JOIN main ON main.id = near.node)"""
 
 
-@query(f"""WITH {EDGES}, {_levels(6)}, {_ROLES}, r AS (SELECT id, id IN (SELECT id FROM main) AS is_main, id IN (SELECT id FROM h) AS is_high, id IN (SELECT id FROM on_path) AND id NOT IN (SELECT id FROM main) AND id NOT IN (SELECT id FROM h) AS is_bridge FROM every)
+@query(f"""WITH {EDGES}, {_levels(6)}, {_ROLES}, r AS (SELECT id, id IN (SELECT id FROM main) AS is_main, id IN (SELECT id FROM h) AS is_high, id IN (SELECT id FROM on_path) AND id NOT IN (SELECT id FROM main) AND id NOT IN (SELECT id FROM h) AS is_bridge,
+        id IN (SELECT other FROM near JOIN main ON main.id = near.node) AS is_direct FROM every)
     SELECT *, CASE WHEN is_main THEN 'main' WHEN is_high THEN 'high' WHEN is_bridge THEN 'bridge' ELSE 'other' END AS node_type FROM r""")
 def node_roles(s, d):
     return graph.roles(kin_edges(s, d), officials(s, d).select("id"), high_paths(s, d))
@@ -551,7 +559,7 @@ def eigenvector(s, d):
 
 @query()
 def betweenness_sampled(s, d):
-    return graph.betweenness(*document_graph(s, d), pivots=NETWORK_SET.pivots)
+    return graph.betweenness(*document_graph(s, d), pivots=NETWORK_SET.pivots, seed=NETWORK_SET.seed)
 
 
 # Spatial
@@ -602,14 +610,14 @@ def morans_i(s, d):
 
 @query()
 def centroid_permutation(s, d):
-    return spatial.centroid_test(cut(places(s, d)), "cluster", CLUSTERS, SPATIAL_SET.permutations)
+    return spatial.centroid_test(cut(places(s, d)), "cluster", CLUSTERS, SPATIAL_SET.permutations, SPATIAL_SET.seed)
 
 
 @query()
 def moran_permutation(s, d):
     row = cut(places(s, d))
     flags = {c: F.col("cluster") == c for c in CLUSTERS} | {"bureau_medical": F.col("bureau_medical") == 1}
-    return spatial.morans_tests(row, flags, spatial.nearest(row, SPATIAL_SET.neighbours), SPATIAL_SET.permutations)
+    return spatial.morans_tests(row, flags, spatial.nearest(row, SPATIAL_SET.neighbours), SPATIAL_SET.permutations, SPATIAL_SET.seed)
 
 
 # Models
@@ -717,7 +725,7 @@ _COSTS = """c0 AS (SELECT a.bin_no AS start_bin, z.bin_no + 1 AS end_bin, CAST((
 
 
 def year_panel(s, d):
-    return breaks.panel(people(s, d).withColumn("y", (F.col("c_female") == 1).cast("int")), "c_index_year", "y", 600, 1912, 50)
+    return breaks.panel(people(s, d).withColumn("y", (F.col("c_female") == 1).cast("int")), "c_index_year", "y", BREAK_SET.start_year, BREAK_SET.end_year, BREAK_SET.bin_years)
 
 
 @query(f"WITH {_PANEL} SELECT * FROM p")
@@ -727,19 +735,79 @@ def break_panel(s, d):
 
 @query(f"WITH {_PANEL}, {_COSTS} SELECT * FROM c")
 def segment_costs(s, d):
-    return breaks.segment_costs(year_panel(s, d)).withColumn("cost", r6("cost"))
+    return breaks.segment_costs(year_panel(s, d), BREAK_SET.min_segment_bins, BREAK_SET.min_segment_rows).withColumn("cost", r6("cost"))
+
+
+def _cover_sql(most: int) -> str:
+    """The best covers of all bins by up to `most` segments, grown one segment at a time."""
+    sql = "b1 AS (SELECT end_bin, cost AS total, [0] AS starts FROM c WHERE start_bin = 0 AND cost IS NOT NULL)"
+    for u in range(2, most + 1):
+        sql += f""", b{u} AS (SELECT c.end_bin, min(total + cost) AS total, min_by(list_append(starts, start_bin), (total + cost, start_bin)) AS starts
+            FROM b{u - 1} b JOIN c ON c.start_bin = b.end_bin AND cost IS NOT NULL GROUP BY c.end_bin)"""
+    all_ = " UNION ALL ".join(f"SELECT {u} AS used, total, starts FROM b{u} WHERE end_bin = (SELECT count(*) FROM p)" for u in range(1, most + 1))
+    return sql + f""", cover AS (SELECT used, starts, total + used * ln((SELECT sum(n) FROM p)::DOUBLE) AS bic FROM ({all_}) ORDER BY bic, used LIMIT 1),
+    picked AS (SELECT unnest(range(1, used + 1)) AS segment, unnest(starts) AS start_bin, unnest(list_append(starts[2:], (SELECT count(*) FROM p))) AS end_bin, bic FROM cover)"""
+
+
+_BREAK_COLUMNS = f"""CAST(segment AS INTEGER) AS segment, CAST(picked.start_bin AS INTEGER) AS start_bin, CAST(picked.end_bin AS INTEGER) AS end_bin, time_bin AS first_time_bin, c.n, c.ones, c.cost, round(bic, 4) AS bic,
+    CASE WHEN segment > 1 THEN near END AS nearest_transition, CASE WHEN segment > 1 THEN abs(time_bin - near) END AS years_off, CASE WHEN segment > 1 THEN abs(time_bin - near) <= {BREAK_SET.tolerance_years} END AS aligned"""
+
+
+def _chosen(binned, costs, parameters):
+    told = breaks.break_table(binned, costs, parameters, BREAK_SET.max_breaks, BREAK_SET.tolerance_years)
+    return told.withColumns({"cost": r6("cost"), "bic": F.round("bic", 4)})
+
+
+@query(f"""WITH {_PANEL}, {_COSTS}, {_cover_sql(BREAK_SET.max_breaks + 1)}, t AS (SELECT * FROM (VALUES {', '.join(f'({i}, {y})' for i, y in enumerate(TRANSITION_YEARS))}) v(i, y))
+    SELECT {_BREAK_COLUMNS} FROM picked JOIN c ON c.start_bin = picked.start_bin AND c.end_bin = picked.end_bin JOIN p ON p.bin_no = picked.start_bin
+        JOIN LATERAL (SELECT min_by(y, (abs(time_bin - y), i)) AS near FROM t) ON true""")
+def break_select_rates(s, d):
+    """The breaks of the rate alone."""
+    binned = cut(year_panel(s, d))
+    return _chosen(binned, cut(breaks.segment_costs(binned, BREAK_SET.min_segment_bins, BREAK_SET.min_segment_rows)), 1)
+
+
+PANEL_TERMS = ["log_degree_z", "clustering_z", "is_high_official", "has_posting", "female_known", "female"]
+
+
+def feature_panel(s, d):
+    """Persons with a year: whether they are science officials (y), and what is known of all of them: links
+    and their clustering, high offices by title, postings, and sex."""
+    person = attributes.earliest(people(s, d).select("c_personid", "c_index_year", "c_female"), ["c_personid"], ["c_index_year", "c_female"]).where(F.col("c_index_year").between(BREAK_SET.start_year, BREAK_SET.end_year))
+    edges = cut(kin_edges(s, d))
+    node = person.select(F.col("c_personid").alias("id"))
+    known = graph.degrees(edges, node).join(graph.clustering(edges, node).select("id", "clustering"), "id").withColumnRenamed("id", "c_personid")
+    title = postings(s, d).where("c_personid is not null").groupBy("c_personid").agg(F.lit(1).alias("has_posting"), F.max(F.coalesce(classify.included("c_office_chn", HIGH_WORDS, NOT_HIGH_WORDS), F.lit(False)).cast("int")).alias("is_high_official"))
+    science = officials(s, d).select(F.col("id").alias("c_personid"), F.lit(1).alias("y")).distinct()
+    row = person.join(known, "c_personid", "left").join(title, "c_personid", "left").join(science, "c_personid", "left").na.fill(0, ["degree", "clustering", "has_posting", "is_high_official", "y"])
+    row = row.withColumns({"female_known": F.col("c_female").isNotNull().cast("int"), "female": F.coalesce("c_female", F.lit(0)), "_links": F.log1p("degree")})
+    return exprs.zscores(row, {"log_degree_z": "_links", "clustering_z": "clustering"}).select("c_personid", "c_index_year", "y", *PANEL_TERMS)
+
+
+@query()
+def break_features(s, d):
+    """The panel of the model-based search."""
+    return feature_panel(s, d)
+
+
+def _model_costs(s, d):
+    row = cut(feature_panel(s, d))
+    used = exprs.varying(row, PANEL_TERMS)
+    window = ("c_index_year", "y", used, BREAK_SET.start_year, BREAK_SET.end_year, BREAK_SET.bin_years)
+    return row, used, cut(breaks.model_segment_costs(row, *window, BREAK_SET.min_segment_bins, BREAK_SET.min_segment_rows))
 
 
 @query()
 def model_segment_costs(s, d):
-    row = people(s, d).withColumn("y", (F.col("c_female") == 1).cast("int")).withColumn("named", classify.known("c_surname_chn")).withColumn("coded", classify.known("c_ethnicity_code", True))
-    return breaks.model_segment_costs(row, "c_index_year", "y", ["named", "coded"], 600, 1912, 50).withColumn("cost", r6("cost"))
+    return _model_costs(s, d)[2].withColumn("cost", r6("cost"))
 
 
 @query()
 def break_select(s, d):
-    binned = cut(year_panel(s, d))
-    return breaks.break_table(binned, cut(breaks.segment_costs(binned)))
+    """The breaks of the penalised logit on the features."""
+    row, used, costs = _model_costs(s, d)
+    binned = cut(breaks.panel(row, "c_index_year", "y", BREAK_SET.start_year, BREAK_SET.end_year, BREAK_SET.bin_years))
+    return _chosen(binned, costs, len(used) + 1)
 
 
 @query(f"""WITH {PEOPLE}, t AS (SELECT * FROM (VALUES {', '.join(f'({i}, {y})' for i, y in enumerate(TRANSITION_YEARS))}) v(i, y)) SELECT c_personid, c_index_year,

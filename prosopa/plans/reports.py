@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from prosopa.functions import classify, exprs
 from prosopa.operators import attributes, graph, models, sequences
 from prosopa.plans import reference as ref
-from prosopa.session import cut
+from prosopa.plans.config import TECHNICAL_WORDS
+from prosopa.session import cut, table
 
 SHOWN_TYPES = ["astronomical", "medical", "hydraulic"]
 
@@ -26,10 +27,27 @@ def most_common_titles(s: SparkSession, d: str) -> DataFrame:
     return attributes.most_common(ref.postings(s, d), "c_office_chn", 30)
 
 
+def _network(s: SparkSession, d: str):
+    """Roles, edges and paths of the network around all officials, and its summary."""
+    edges, official = cut(ref.kin_edges(s, d)), ref.officials(s, d)
+    main, paths = official.select("id"), cut(ref.high_paths(s, d))
+    role, edge = cut(graph.roles(edges, main, paths)), cut(graph.role_edges(ref.related(s, d), main, paths))
+    office = table(s, d, "office_codes").where(classify.any_word("c_office_chn", TECHNICAL_WORDS)).select(F.col("c_office_id").alias("office"))
+    held = ref.postings(s, d).join(main.distinct(), F.col("c_personid") == F.col("id"), "left_semi").select(F.col("c_office_id").alias("office"), F.lit(True).alias("used")).distinct()
+    offices = office.join(held, "office", "left").na.fill(False, ["used"])
+    highs, bureaus = official.where("is_high_official = 1").select("id"), official.select("id", F.col("bureau_type").alias("bureau"))
+    return role, edge, paths, graph.network_summary(role, edge, paths, highs, offices, bureaus)
+
+
 def network_summary(s: SparkSession, d: str) -> DataFrame:
-    """Nodes by type, high officials reached and edges by category of the network around all officials."""
-    edges, main, paths = ref.kin_edges(s, d), ref.officials(s, d).select("id"), cut(ref.high_paths(s, d))
-    return graph.network_summary(cut(graph.roles(edges, main, paths)), graph.role_edges(ref.related(s, d), main, paths))
+    """The counts of the network around all officials."""
+    return _network(s, d)[3]
+
+
+def network_validation(s: SparkSession, d: str) -> DataFrame:
+    """Paths and counts of the network that don't agree with its nodes and edges."""
+    role, edge, paths, summary = _network(s, d)
+    return graph.check_paths(role, paths, cut(summary), edge)
 
 
 def network_view(s: SparkSession, d: str) -> DataFrame:
@@ -70,7 +88,7 @@ def logit_diagnostics(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(k, round(float(v), 4)) for k, v in told.items()], "metric string, value double")
 
 
-_F = [samples_per_bureau, most_common_titles, network_summary, network_view, network_search, career_cluster_summary, career_type_medoids, logit_diagnostics]
+_F = [samples_per_bureau, most_common_titles, network_summary, network_validation, network_view, network_search, career_cluster_summary, career_type_medoids, logit_diagnostics]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _F}
 
 _BY_ERA = f"""n AS (SELECT c_personid, count(*) AS posting_count, count_if(office_domain <> 'other') AS technical, min(first_year) AS a, max(last_year) AS z,
@@ -79,15 +97,28 @@ k AS (SELECT coalesce({ref.case_era('c_index_year', 'break3', 'missing_year')},
 m1 AS (SELECT era, s1 AS common_first_state FROM (SELECT era, s1, count(*) AS c FROM k GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY era ORDER BY c DESC, s1) = 1),
 m2 AS (SELECT era, s2 AS common_last_state FROM (SELECT era, s2, count(*) AS c FROM k GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY era ORDER BY c DESC, s2) = 1)"""
 
+_NETWORK = f"""{ref.EDGES}, {ref._levels(6)}, {ref._ROLES}, {ref._RELATED},
+    r AS (SELECT id, id IN (SELECT id FROM main) AS is_main, id IN (SELECT id FROM h) AS is_high, id IN (SELECT id FROM on_path) AND id NOT IN (SELECT id FROM main) AND id NOT IN (SELECT id FROM h) AS is_bridge FROM every),
+    step AS (SELECT DISTINCT least(path[i], path[i + 1]) AS source, greatest(path[i], path[i + 1]) AS target FROM path, unnest(range(1, len(path))) u(i)),
+    e AS (SELECT related.*, 'direct' AS category FROM related WHERE source IN (SELECT id FROM main) OR target IN (SELECT id FROM main) UNION ALL SELECT related.*, 'path' FROM related JOIN step USING (source, target))"""
+
 ORACLES: dict[str, str] = {
     "samples_per_bureau": """SELECT bureau_type, id, name_zh, CAST(row_number() OVER (PARTITION BY bureau_type ORDER BY id, name_zh NULLS FIRST) AS INTEGER) AS place
         FROM (SELECT DISTINCT bureau_type, id, name_zh FROM alaam_science_officials WHERE bureau_type IS NOT NULL AND id IS NOT NULL) QUALIFY place <= 8""",
     "most_common_titles": f"WITH {ref.POSTINGS} SELECT c_office_chn, count(*) AS count FROM posting WHERE trim(c_office_chn) <> '' GROUP BY 1 ORDER BY count DESC, c_office_chn LIMIT 30",
-    "network_summary": f"""WITH {ref.EDGES}, {ref._levels(6)}, {ref._ROLES}, {ref._RELATED},
-        r AS (SELECT id, id IN (SELECT id FROM h) AS is_high, CASE WHEN id IN (SELECT id FROM main) THEN 'main' WHEN id IN (SELECT id FROM h) THEN 'high' WHEN id IN (SELECT id FROM on_path) THEN 'bridge' ELSE 'other' END AS node_type FROM every),
-        step AS (SELECT DISTINCT least(path[i], path[i + 1]) AS source, greatest(path[i], path[i + 1]) AS target FROM path, unnest(range(1, len(path))) u(i)),
-        e AS (SELECT 'direct' AS category FROM related WHERE source IN (SELECT id FROM main) OR target IN (SELECT id FROM main) UNION ALL SELECT 'path' FROM related JOIN step USING (source, target))
-        SELECT 'nodes_' || node_type AS metric, count(*) AS value FROM r GROUP BY 1 UNION ALL SELECT 'high_officials', count(*) FROM r WHERE is_high UNION ALL SELECT 'edges_' || category, count(*) FROM e GROUP BY 1""",
+    "network_summary": f"""WITH {_NETWORK},
+        technical AS (SELECT DISTINCT c_office_id FROM office_codes WHERE regexp_matches(c_office_chn, '{ref.in_sql(TECHNICAL_WORDS)}')),
+        told AS (SELECT (SELECT count(*) FROM r WHERE is_main) AS mainPersonCount, (SELECT count(*) FROM r WHERE is_high) AS relatedHighOfficialCount, (SELECT count(*) FROM r WHERE is_bridge) AS bridgeCount, (SELECT count(*) FROM r) AS nodeCount,
+            (SELECT count(DISTINCT other) FROM near JOIN main ON main.id = near.node) AS directPersonCount, (SELECT count(*) FROM e) AS edgeCount, (SELECT count(*) FROM e WHERE category = 'direct') AS directEdgeCount,
+            (SELECT count(*) FROM e WHERE category = 'path') AS pathEdgeCount, (SELECT count(*) FROM path) AS pathCount, (SELECT count(DISTINCT main) FROM path) AS highPathCoveredMainCount,
+            (SELECT coalesce(max(distance), 0)::BIGINT FROM path) AS maxHighPathDistanceSeen, (SELECT count(*) FROM main WHERE id IN (SELECT source FROM e WHERE category = 'direct' UNION SELECT target FROM e WHERE category = 'direct')) AS mainWithDirectRelationsCount,
+            (SELECT count(DISTINCT id) FROM alaam_science_officials WHERE is_high_official = 1) AS highOfficialCandidateCount, (SELECT count(*) FROM technical) AS scienceOfficeCount,
+            (SELECT count(*) FROM technical WHERE c_office_id IN (SELECT c_office_id FROM posted_to_office_data WHERE c_personid IN (SELECT id FROM main))) AS usedScienceOfficeCount)
+        SELECT metric, CAST(value AS BIGINT) AS value FROM (UNPIVOT told ON COLUMNS(*) INTO NAME metric VALUE value)
+        UNION ALL SELECT 'bureau_' || bureau_type, count(DISTINCT id) FROM alaam_science_officials WHERE bureau_type IS NOT NULL GROUP BY 1""",
+    "network_validation": f"""WITH {_NETWORK}, off AS (SELECT 'path_main' AS check_name, main AS id FROM path WHERE main NOT IN (SELECT id FROM r WHERE is_main) UNION ALL SELECT 'path_high', high FROM path WHERE high NOT IN (SELECT id FROM r WHERE is_high)
+            UNION ALL SELECT 'path_node', u.id FROM path, unnest(path) u(id) WHERE u.id NOT IN (SELECT id FROM r))
+        SELECT k.check_name, count(off.id) AS offenders, min(off.id) AS first FROM (VALUES ('path_main'), ('path_high'), ('path_node'), ('nodeCount'), ('edgeCount'), ('pathCount')) k(check_name) LEFT JOIN off USING (check_name) GROUP BY 1""",
     "network_view": f"""WITH {ref.EDGES}, shown AS (SELECT id FROM alaam_science_officials WHERE bureau_type IN ({', '.join(f"'{t}'" for t in SHOWN_TYPES)}))
         SELECT source, target, CAST(1 AS BIGINT) AS weight FROM edge WHERE source IN (SELECT id FROM shown) AND target IN (SELECT id FROM shown)""",
     "network_search": "SELECT id, name_en AS name FROM (SELECT DISTINCT * FROM alaam_science_officials) WHERE dynasty_zh = '甲朝' AND contains(lower(name_en), 'an')",
