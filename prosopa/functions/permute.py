@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosopa.session import cut
+
 ROUNDS = 24
 
 
@@ -47,3 +49,13 @@ def numbered(df: DataFrame, key: str, out: str = "row_no", rows_per_bucket: int
     start = held.select("_bucket", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     placed = row.withColumn("_at", F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1)
     return placed.join(start, "_bucket").select(*df.columns, (F.col("_start") + F.col("_at")).alias(out))
+
+
+def numbered_in_order(df: DataFrame, key: str, out: str = "row_no") -> DataFrame:
+    """`df` with the numbers 0 .. n-1 in the order of the unique column `key`: rows are parted by ranges of the
+    key, numbered inside each range, and moved on by the rows of the ranges before."""
+    ranged = cut(df.repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id()))
+    held = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    start = held.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    placed = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1)
+    return placed.join(start, "_range").select(*df.columns, (F.col("_start") + F.col("_at")).alias(out))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosopa.functions.exprs import percent
+from prosopa.functions.permute import numbered_in_order
+from prosopa.session import cut
 
 
 def pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column], count: int = 1, rank: str | None = None) -> DataFrame:
@@ -80,3 +82,41 @@ def long_form(one_row: DataFrame, metrics: Sequence[str]) -> DataFrame:
     kinds = dict(one_row.dtypes)
     text = lambda m: F.format_string("%.6f", F.col(m)) if kinds[m] == "double" else F.col(m).cast("string")
     return one_row.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), text(m).alias("value")) for m in metrics))))
+
+
+def in_order(df: DataFrame, order: str, out: str = "row_no") -> DataFrame:
+    """`df` with its places 0 .. n-1 in the order of a unique column, which may be a struct of several."""
+    return numbered_in_order(df, order, out)
+
+
+def exact_medians(df: DataFrame, keys: Sequence[str], values: Mapping[str, str], bins: int = 1024, rounds: int = 2) -> DataFrame:
+    """(*keys, *values): the exact median of each column {new: column} in each group, null without values.
+
+    In each round the rows of a group are counted in `bins` equal bins between bounds, and the bounds close in on the
+    bins of the two middle ranks; then only the distinct values between the bounds are ranked. So no task holds
+    the values of a group, however large, unless they lie denser than the extent / bins ^ rounds.
+    """
+    out = df.select(*keys).distinct() if keys else None
+    on = lambda a, b: a.join(b, list(keys)) if keys else a.crossJoin(F.broadcast(b))
+    for new, column in values.items():
+        rows = df.select(*keys, F.col(column).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+        bound = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.lit(0).cast("long").alias("_under"))
+        # Ranks of the middle, from 1; _under rows lie below _lo.
+        low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
+        for _ in range(rounds):
+            bound = cut(bound)
+            width = (F.col("_hi") - F.col("_lo")) / bins
+            place = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0)
+            inside = on(rows, bound).where(F.col("_v").between(F.col("_lo"), F.col("_hi"))).withColumn("_b", place)
+            held = inside.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_first"), F.max("_v").alias("_last"), *(F.first(c).alias(c) for c in ("_n", "_under")))
+            upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b")) + F.col("_under")
+            held = held.withColumn("_upto", upto).where((F.col("_upto") >= low) & (F.col("_upto") - F.col("_c") < high))
+            bound = held.groupBy(*keys).agg(F.first("_n").alias("_n"), F.min("_first").alias("_lo"), F.max("_last").alias("_hi"), F.min(F.col("_upto") - F.col("_c")).alias("_under"))
+        bound = cut(bound)
+        value = on(rows, bound).where(F.col("_v").between(F.col("_lo"), F.col("_hi"))).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"), *(F.first(c).alias(c) for c in ("_n", "_under")))
+        upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v")) + F.col("_under")
+        value = value.withColumn("_upto", upto)
+        covers = lambda rank: (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank)
+        middle = value.groupBy(*keys).agg(((F.min(F.when(covers(low), F.col("_v"))) + F.min(F.when(covers(high), F.col("_v")))) / 2).alias(new))
+        out = middle if out is None else (out.join(middle, list(keys), "left") if keys else out.crossJoin(F.broadcast(middle)))
+    return out

@@ -45,7 +45,7 @@ def logit(rows: DataFrame, penalty: float, scale: str = "sum", iterations: int =
     out = {"coefficients": None, "log_likelihood": None, "n": n, "ones": ones, "iterations": 0, "converged": False}
     if n == 0 or ones in (0, n):
         return out
-    l2 = {"sum": penalty, "mean": penalty * n, "inverse": 1 / penalty}[scale]
+    l2 = 1 / penalty if scale == "inverse" else {"sum": penalty, "mean": penalty * n}[scale]
     ridge = np.full(p, l2)
     ridge[0] = 0.0
 

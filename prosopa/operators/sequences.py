@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prosopa.functions.classify import career_state, category, domain
 from prosopa.functions.exprs import percent
-from prosopa.operators.attributes import most_frequent
+from prosopa.operators.attributes import exact_medians, most_frequent
 from prosopa.session import cut, slice_join
 
 NO_POSTING = "no_observed_posting"
@@ -91,27 +91,40 @@ def unique_sequences(lists: DataFrame, states: str = "states") -> DataFrame:
     return counted.withColumn("text", F.array_join("sequence", " > ")).withColumn("sequence_no", F.xxhash64("text")).select("sequence_no", "text", "sequence", "weight")
 
 
-def encoded(sequence: Column | str, vocabulary: Sequence[str]) -> Column:
-    """A token list as text with one character for each token, so that edit distances of tokens are
-    native edit distances of texts. Tokens outside the vocabulary share one character."""
-    sequence = F.col(sequence) if isinstance(sequence, str) else sequence
-    codes = F.create_map(*(x for i, v in enumerate(sorted(vocabulary)) for x in (F.lit(v), F.lit(chr(0x4E00 + i)))))
-    return F.array_join(F.transform(sequence, lambda t: F.coalesce(F.try_element_at(codes, t), F.lit("䷿"))), "")
+def encoded(unique: DataFrame) -> DataFrame:
+    """`unique` (sequence_no, sequence, ...) with `code`: the token list as text with one character for each token, so
+    that edit distances of tokens are native edit distances of texts. Tokens are numbered in their order and
+    meet their number in a join. More than 60,000 tokens raise an error in the job, as characters would run out."""
+    token = unique.select("sequence_no", F.posexplode("sequence").alias("at", "token"))
+    # The distinct tokens are a vocabulary of states: a small table beside the sequences.
+    number = token.select("token").distinct().withColumn("no", F.row_number().over(Window.orderBy("token")) + 39)
+    point = F.when(F.col("no") < 0xD800, F.col("no")).when(F.col("no") < 0xF000, F.col("no") + 0x800).otherwise(F.raise_error(F.lit("more states than characters")).cast("int"))
+    sign = F.decode(F.unhex(F.lpad(F.hex(point), 4, "0")), "UTF-16BE")
+    coded = token.join(number.withColumn("sign", sign), "token").groupBy("sequence_no").agg(F.array_sort(F.collect_list(F.struct("at", "sign"))).alias("_signs"))
+    return unique.join(coded, "sequence_no").withColumn("code", F.array_join(F.transform("_signs", lambda x: x["sign"]), "")).drop("_signs")
 
 
-def near_sequences(items: DataFrame) -> DataFrame:
-    """(a_no < b_no, distance) for coded sequences (sequence_no, code) at most one token added, lost or
-    changed apart. Such sequences share a rest with at most one token left out, so this is an
-    equi-join; sequences further apart are not compared."""
-    def rests(code: Column) -> Column:
-        cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(code), F.lit(1))), lambda i: F.concat(F.substring(code, F.lit(1), i - 1), F.substring(code, i + 1, F.length(code))))
-        return F.array_union(F.array(code), cuts)
+#: The greatest distance that `near_sequences` takes: a code of n signs has about n ^ distance rests.
+MOST_STEPS = 3
 
-    part = items.select("sequence_no", "code", F.explode(rests(F.col("code"))).alias("rest"))
+
+def near_sequences(items: DataFrame, steps: int = 1) -> DataFrame:
+    """(a_no < b_no, distance) for coded sequences (sequence_no, code) at most `steps` tokens added, lost or
+    changed apart, from 0 to MOST_STEPS. Such sequences share a rest with at most that many tokens left out, so this is
+    an equi-join; sequences further apart are not compared."""
+    if not 0 <= steps <= MOST_STEPS:
+        raise ValueError(f"steps from 0 to {MOST_STEPS}")
+
+    def without_one(code: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(code), F.lit(1))), lambda i: F.concat(F.substring(code, F.lit(1), i - 1), F.substring(code, i + 1, F.length(code))))
+
+    part = items.select("sequence_no", "code", F.col("code").alias("rest"))
+    for _ in range(steps):
+        part = part.select("sequence_no", "code", F.explode(F.array_union(F.array("rest"), without_one(F.col("rest")))).alias("rest")).distinct()
     a = part.select(F.col("sequence_no").alias("a_no"), F.col("code").alias("a"), "rest")
     b = part.select(F.col("sequence_no").alias("b_no"), F.col("code").alias("b"), "rest")
     pair = slice_join(b, a, ["rest"], ["b_no"], 2048).where(F.col("a_no") < F.col("b_no"))
-    return pair.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= 1).select("a_no", "b_no", "distance").distinct()
+    return pair.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= steps).select("a_no", "b_no", "distance").distinct()
 
 
 def to_medoids(items: DataFrame, medoids: DataFrame) -> DataFrame:
@@ -208,14 +221,12 @@ def cluster_summary(features: DataFrame, cluster: str) -> DataFrame:
     told = features.groupBy(cluster).agg(
         F.count(F.lit(1)).alias("persons"),
         F.avg("posting_count").alias("mean_postings"),
-        F.median("posting_count").alias("median_postings"),
         F.avg("technical_pct").alias("mean_technical_pct"),
         F.sum("ever_medical").alias("ever_medical"),
         F.count("span_years").alias("spans"),
         F.avg("span_years").alias("mean_span"),
-        F.median("span_years").alias("median_span"),
     )
-    told = told.withColumn("ever_medical_pct", percent("ever_medical", "persons"))
+    told = told.withColumn("ever_medical_pct", percent("ever_medical", "persons")).join(exact_medians(features, [cluster], {"median_postings": "posting_count", "median_span": "span_years"}), cluster)
     for state in ("first_state", "last_state"):
         told = told.join(most_frequent(features, [cluster], state, out=f"common_{state}"), cluster, "left")
     return told

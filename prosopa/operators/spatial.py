@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosopa.functions.permute import key_of, numbered, permuted
+from prosopa.operators.attributes import exact_medians
 from prosopa.operators.geo import haversine_km
 from prosopa.session import cut, slice_join
 
@@ -23,14 +24,14 @@ def dispersion(points: DataFrame, by: str) -> DataFrame:
     """Count, centroid, extent, spread and distances to the centroid of each group: standard distance is the
     root of the mean square; spreads are 0 for single points; the median is exact."""
     middle = centroids(points, by)
-    far = points.join(middle, by).withColumn("d", haversine_km("x", "y", "centroid_x", "centroid_y"))
+    far = cut(points.select(by, "x", "y").join(middle, by).withColumn("d", haversine_km("x", "y", "centroid_x", "centroid_y")))
     spread = lambda c: F.coalesce(F.when(F.count(F.lit(1)) > 1, F.stddev_samp(c)), F.lit(0.0))
     return far.groupBy(by).agg(
         F.count(F.lit(1)).alias("points"), F.avg("x").alias("centroid_x"), F.avg("y").alias("centroid_y"),
         F.min("x").alias("west"), F.max("x").alias("east"), F.min("y").alias("south"), F.max("y").alias("north"),
         spread("x").alias("x_std"), spread("y").alias("y_std"),
-        F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("standard_distance_km"), F.avg("d").alias("mean_distance_km"), F.median("d").alias("median_distance_km"),
-    )
+        F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("standard_distance_km"), F.avg("d").alias("mean_distance_km"),
+    ).join(exact_medians(far, [by], {"median_distance_km": "d"}), by)
 
 
 def centroid_distances(points: DataFrame, by: str, clusters: Sequence[str]) -> DataFrame:

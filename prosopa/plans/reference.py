@@ -341,10 +341,12 @@ def pct_safe(s, d):
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS rows, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_quantity), 6) AS mean_quantity, round(stddev_samp(l_quantity), 6) AS sd_quantity,
     round(median(l_extendedprice), 6) AS median_price, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY ALL""")
 def group_wide_summary(s, d):
-    return table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
+    rows, keys = table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"]
+    told = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), r6(F.avg("l_quantity")).alias("mean_quantity"),
-        r6(F.stddev_samp("l_quantity")).alias("sd_quantity"), r6(F.median("l_extendedprice")).alias("median_price"), F.count_distinct("l_suppkey").alias("suppliers"),
+        r6(F.stddev_samp("l_quantity")).alias("sd_quantity"), F.count_distinct("l_suppkey").alias("suppliers"),
     )
+    return told.join(attributes.exact_medians(rows, keys, {"median_price": "l_extendedprice"}), keys).withColumn("median_price", r6("median_price"))
 
 
 # Sequences
@@ -390,9 +392,7 @@ def career_transitions(s, d):
 def coded_sequences(s, d):
     rows = careers(s, d)
     listed = sequences.state_lists(rows, "c_personid", "sequence_position", "career_state")
-    vocabulary = [r[0] for r in rows.select("career_state").distinct().orderBy("career_state").collect()]
-    unique = sequences.unique_sequences(listed)
-    return unique.withColumn("code", sequences.encoded("sequence", vocabulary))
+    return sequences.encoded(cut(sequences.unique_sequences(listed)))
 
 
 @query(f"WITH {CAREERS} SELECT coalesce(array_to_string(seq, ' > '), '') AS sequence, count(*) AS weight FROM person_seq GROUP BY 1")
@@ -401,17 +401,31 @@ def sequence_histogram(s, d):
     return sequences.unique_sequences(listed).select(F.col("text").alias("sequence"), "weight")
 
 
-@query(f"""WITH {CAREERS}, v AS (SELECT career_state, chr(CAST(39 + row_number() OVER (ORDER BY career_state) AS INTEGER)) AS c FROM (SELECT DISTINCT career_state FROM state)),
+def _near_sql(steps):
+    return f"""WITH {CAREERS}, v AS (SELECT career_state, chr(CAST(39 + row_number() OVER (ORDER BY career_state) AS INTEGER)) AS c FROM (SELECT DISTINCT career_state FROM state)),
     coded AS (SELECT sequence, string_agg(c, '' ORDER BY i) AS code FROM (SELECT DISTINCT array_to_string(seq, ' > ') AS sequence, seq FROM person_seq) q, unnest(seq) WITH ORDINALITY u(t, i) JOIN v ON v.career_state = u.t GROUP BY 1)
-    SELECT a.sequence AS a, b.sequence AS b, levenshtein(a.code, b.code) AS distance FROM coded a JOIN coded b ON a.sequence < b.sequence AND abs(length(a.code) - length(b.code)) <= 1 WHERE levenshtein(a.code, b.code) <= 1""")
-def edit_distance_pairs(s, d):
+    SELECT a.sequence AS a, b.sequence AS b, levenshtein(a.code, b.code) AS distance FROM coded a JOIN coded b ON a.sequence < b.sequence AND abs(length(a.code) - length(b.code)) <= {steps} WHERE levenshtein(a.code, b.code) <= {steps}"""
+
+
+def _near_pairs(s, d, steps):
     items = cut(coded_sequences(s, d).select("sequence_no", "text", "code"))
-    pair = sequences.near_sequences(items)
+    pair = sequences.near_sequences(items, steps)
     name = lambda side: items.select(F.col("sequence_no").alias(f"{side}_no"), F.col("text").alias(f"t{side}"))
     row = pair.join(name("a"), "a_no").join(name("b"), "b_no")
     return row.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"), F.col("distance").cast("long").alias("distance"))
 
 
+@query(_near_sql(1))
+def edit_distance_pairs(s, d):
+    return _near_pairs(s, d, 1)
+
+
+@query(_near_sql(2))
+def edit_distance_two(s, d):
+    """Sequences at most two steps apart."""
+    return _near_pairs(s, d, 2)
+
+
 @query()
 def k_medoids(s, d):
     items = cut(coded_sequences(s, d))
@@ -646,7 +660,7 @@ def career_modelled(s, d):
     """The officials with the career terms of the model of high officials."""
     told = sequences.career_features(careers(s, d)).withColumnRenamed("c_personid", "id")
     row = modelled(s, d).join(told, "id", "left")
-    middle = row.agg(F.median("span_years").alias("_span"))
+    middle = attributes.exact_medians(row, [], {"_span": "span_years"})
     row = row.crossJoin(F.broadcast(middle)).withColumns({
         "_postings": F.log1p(F.coalesce("posting_count", F.lit(0))), "_length": F.coalesce("collapsed_length", F.lit(0)), "_years": F.coalesce("span_years", "_span"), "_share": F.coalesce("technical_pct", F.lit(0.0)),
         **{c: (F.col("cluster") == c).cast("int") for c in CLUSTERS[1:]},

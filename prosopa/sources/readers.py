@@ -1,63 +1,11 @@
-"""Readers: SQLite tables in row ranges, CSV and JSON documents with declared schemas, required tables."""
+"""Readers: CSV and JSON with declared schemas, whole documents, required tables."""
 
 from __future__ import annotations
 
-import os
-import sqlite3
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-
-class _Range(InputPartition):
-    def __init__(self, first: int, last: int):
-        self.first, self.last = first, last
-
-
-class _SqliteReader(DataSourceReader):
-    def __init__(self, schema: T.StructType, options):
-        self.schema, self.options = schema, options
-
-    def _open(self) -> sqlite3.Connection:
-        return sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True)
-
-    def partitions(self) -> Sequence[InputPartition]:
-        with self._open() as connection:
-            low, high = connection.execute(f'SELECT min(rowid), max(rowid) FROM "{self.options["dbtable"]}"').fetchone()
-        if low is None:
-            return [_Range(0, -1)]
-        step = max(1, int(self.options.get("rows_per_partition", 100_000)))
-        return [_Range(a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
-
-    def read(self, partition: _Range) -> Iterator[tuple]:
-        columns = ", ".join(f'"{f.name}"' for f in self.schema.fields)
-        casts = [{T.LongType: int, T.IntegerType: int, T.DoubleType: float, T.StringType: str}.get(type(f.dataType), lambda x: x) for f in self.schema.fields]
-        with self._open() as connection:
-            for row in connection.execute(f'SELECT {columns} FROM "{self.options["dbtable"]}" WHERE rowid BETWEEN ? AND ?', (partition.first, partition.last)):
-                yield tuple(None if v is None or v == "" and c is not str else c(v) for v, c in zip(row, casts, strict=True))
-
-
-class SqliteSource(DataSource):
-    """`spark.read.format("sqlite").schema(...).option("path", ...).option("dbtable", ...)`: a table of a
-    SQLite file that all executors can reach, one partition for each range of row ids."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "sqlite"
-
-    def schema(self) -> T.StructType:
-        raise ValueError("the sqlite source needs a declared schema")
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _SqliteReader(schema, self.options)
-
-
-def read_sqlite(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    spark.dataSource.register(SqliteSource)
-    return spark.read.format("sqlite").schema(schema).option("path", path).option("dbtable", name).load()
 
 
 def require_tables(spark: SparkSession, names: Sequence[str]) -> None:
@@ -67,16 +15,28 @@ def require_tables(spark: SparkSession, names: Sequence[str]) -> None:
         raise ValueError("missing tables: " + ", ".join(lacking))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there in the file system that Spark reads it from."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, columns: Sequence[str] | None = None, optional: bool = False) -> DataFrame:
     """A CSV file with a header and a declared schema, with only the columns asked for. An optional file
-    that isn't there has no rows."""
-    if optional and "://" not in path and not os.path.exists(path):
+    that isn't there has no rows; it is looked for where Spark would read it."""
+    if optional and not _exists(spark, path):
         df = spark.createDataFrame([], schema)
     else:
         df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
     return df.select(*columns) if columns else df
 
 
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with a declared schema; fields that a line lacks are null."""
+    return spark.read.schema(schema).json(path)
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, payload): JSON files whole, one row each, for the nested-record operators."""
     files = spark.read.text(path, wholetext=True).select(F.col("value").alias("payload"), F.input_file_name().alias("file"))

@@ -1,4 +1,4 @@
-"""State transitions over a stream of events: batches of new events, merged with what came before."""
+"""Counts of events in windows of time, over streams with late rows."""
 
 from __future__ import annotations
 

@@ -54,9 +54,9 @@ def test_softmax_and_sigmoid(spark):
 def test_collapse_and_distance(spark):
     df = spark.createDataFrame([(["m", "m", "a", "m"],), ([],)], "s array<string>")
     assert [r[0] for r in df.select(sequences.collapsed("s")).collect()] == [["m", "a", "m"], []]
-    df = spark.createDataFrame([(["A", "B", "C"], ["A", "X", "C"])], "a array<string>, b array<string>")
-    vocabulary = ["A", "B", "C", "X"]
-    assert df.select(F.levenshtein(sequences.encoded("a", vocabulary), sequences.encoded("b", vocabulary))).first()[0] == 1
+    df = spark.createDataFrame([(1, ["A", "B", "C"]), (2, ["A", "X", "C"]), (3, ["C"])], "sequence_no long, sequence array<string>")
+    code = {r.sequence_no: r.code for r in sequences.encoded(df).collect()}
+    assert [len(code[i]) for i in (1, 2, 3)] == [3, 3, 1] and code[1][0] == code[2][0] != code[3] == code[1][2] and code[1][1] != code[2][1]
 
 
 def test_near_sequences_against_all_pairs(spark):
@@ -73,8 +73,42 @@ def test_near_sequences_against_all_pairs(spark):
             d = d2
         return d[-1]
 
-    want = {(i, j, 1) for i, a in enumerate(codes) for j, b in enumerate(codes) if i < j and far(a, b) == 1}
-    assert {tuple(r) for r in sequences.near_sequences(df).collect()} == want
+    for steps in (1, 2):
+        want = {(i, j, far(a, b)) for i, a in enumerate(codes) for j, b in enumerate(codes) if i < j and far(a, b) <= steps}
+        assert {tuple(r) for r in sequences.near_sequences(df, steps).collect()} == want
+    with pytest.raises(ValueError):
+        sequences.near_sequences(df, 4)
+
+
+def test_exact_medians(spark):
+    rng = random.Random(2)
+    rows = [(g, rng.choice([1.0, rng.uniform(0, 1), rng.uniform(0, 1e6)])) for g in "abc" for _ in range({"a": 1, "b": 200, "c": 333}[g])]
+    rows += [("b", None), ("d", None), ("e", 5.0), ("e", 5.0), ("f", 1.0), ("f", 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.m for r in attributes.exact_medians(df, ["g"], {"m": "v"}, bins=4).collect()}
+    want = {g: float(np.median([v for k, v in rows if k == g and v is not None])) if g != "d" else None for g in "abcdef"}
+    assert got == want
+    assert attributes.exact_medians(df, [], {"m": "v"}).first().m == float(np.median([v for _, v in rows if v is not None]))
+
+
+def test_segments_fitted_together(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(600 + 50 * (i % 6)), float(rng.normal()), int(rng.random() < 0.3 + 0.3 * (i % 2))) for i in range(900)]
+    df = spark.createDataFrame(rows, "year int, x double, y int")
+    got = {(r.start_bin, r.end_bin): r.cost for r in breaks.model_segment_costs(df, "year", "y", ["x"], 600, 900, 50).collect()}
+    assert len(got) == 15
+
+    def deviance(first, last):
+        part = [(x, y) for t, x, y in rows if first <= (t - 600) // 50 < last]
+        x, y = np.column_stack([np.ones(len(part)), [p[0] for p in part]]), np.array([p[1] for p in part])
+        beta = np.zeros(2)
+        for _ in range(50):
+            mu = 1 / (1 + np.exp(-x @ beta))
+            beta += np.linalg.solve((x * (mu * (1 - mu))[:, None]).T @ x + np.diag([0, 0.01]), x.T @ (y - mu) - np.array([0, 0.01]) * beta)
+        mu = 1 / (1 + np.exp(-x @ beta))
+        return -2 * np.sum(y * np.log(mu) + (1 - y) * np.log(1 - mu))
+
+    assert all(abs(c - deviance(*k)) < 1e-6 for k, c in got.items())
 
 
 def test_k_medoids(spark):

@@ -17,9 +17,22 @@ def test_network_view_and_summary(spark):
     assert {r.id for r in graph.network_view(nodes, edges, text="AN")[0].collect()} == {1, 2, 4}
     assert {r.id for r in graph.network_view(nodes, edges, text="3")[0].collect()} == {3}
     assert {r.id for r in graph.network_view(nodes, edges, text="an", dynasty="x")[0].collect()} == {1}
-    roles = spark.createDataFrame([(1, "main", True), (2, "high", True), (3, "other", False)], "id long, node_type string, is_high boolean")
-    told = graph.network_summary(roles, spark.createDataFrame([("direct",), ("direct",), ("path",)], "category string"))
-    assert {tuple(r) for r in told.collect()} == {("nodes_main", 1), ("nodes_high", 1), ("nodes_other", 1), ("high_officials", 2), ("edges_direct", 2), ("edges_path", 1)}
+    links = spark.createDataFrame([(1, 3), (2, 3), (1, 4)], "source long, target long")
+    paths = spark.createDataFrame([(1, 2, 2, [1, 3, 2])], "main long, high long, distance int, path array<long>")
+    roles = graph.roles(links, nodes.where("id = 1").select("id"), paths)
+    assert {tuple(r) for r in roles.collect()} == {(1, "main", True, False, False, False), (2, "high", False, True, False, False), (3, "bridge", False, False, True, True), (4, "other", False, False, False, True)}
+    category = spark.createDataFrame([(1, 3, "direct"), (1, 4, "direct"), (1, 3, "path")], "source long, target long, category string")
+    offices = spark.createDataFrame([(7, True), (8, False)], "office long, used boolean")
+    bureaus = spark.createDataFrame([(1, "x"), (1, "x"), (5, None)], "id long, bureau string")
+    summary = graph.network_summary(roles, category, paths, nodes.where("id = 2").select("id"), offices, bureaus)
+    told = dict(map(tuple, summary.collect()))
+    assert told["nodeCount"] == 4 and told["directPersonCount"] == 2 and told["edgeCount"] == 3 and told["directEdgeCount"] == 2 and told["pathCount"] == 1
+    assert told["mainWithDirectRelationsCount"] == 1 and told["usedScienceOfficeCount"] == 1 and told["scienceOfficeCount"] == 2 and told["bureau_x"] == 1
+    clean = graph.check_paths(roles, paths, summary, category).collect()
+    assert len(clean) == 6 and all(r.offenders == 0 for r in clean)
+    wrong = spark.createDataFrame([(9, 4, 1, [9, 4])], "main long, high long, distance int, path array<long>")
+    off = {r.check_name: (r.offenders, r.first) for r in graph.check_paths(roles, wrong.unionByName(paths), summary, category).collect()}
+    assert off["path_main"] == (1, 9) and off["path_high"] == (1, 4) and off["path_node"] == (1, 9) and off["pathCount"] == (1, 1) and off["nodeCount"][0] == 0
 
 
 def test_cluster_summary_with_unknown_spans(spark):

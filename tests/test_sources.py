@@ -1,22 +1,9 @@
-import sqlite3
-
 import pytest
 
 from prosopa.sources import readers, sinks
 from prosopa.streaming import transitions
 
 
-def test_sqlite_in_ranges(spark, tmp_path):
-    path = str(tmp_path / "a.db")
-    with sqlite3.connect(path) as c:
-        c.execute("CREATE TABLE t (id, name, x)")
-        c.executemany("INSERT INTO t VALUES (?, ?, ?)", [(i, None if i == 3 else f"n{i}", i / 2) for i in range(25)])
-        c.execute("CREATE TABLE none (id)")
-    df = readers.read_sqlite(spark, path, "t", "id long, x double, name string")
-    assert sorted(tuple(r) for r in df.collect()) == [(i, i / 2, None if i == 3 else f"n{i}") for i in range(25)]
-    assert readers.read_sqlite(spark, path, "none", "id long").count() == 0
-
-
 def test_required_tables(spark):
     spark.range(1).createOrReplaceTempView("there")
     readers.require_tables(spark, ["there"])
@@ -38,9 +25,23 @@ def test_graph_files_and_views(spark, tmp_path):
     sinks.write_graph_files(nodes, edges, str(tmp_path), "c", ["a", "b"], ["c"])
     line = spark.read.text(str(tmp_path / "edges")).first()[0].split()
     told = {r["node_no"]: r["c"] for r in spark.read.option("header", True).csv(str(tmp_path / "attributes")).collect()}
-    assert {told[n] for n in line} == {"a", "b"} and set(told) == {"1", "2", "3"}
+    assert line == ["1", "3"] and told == {"1": "b", "2": None, "3": "a"}
+    sinks.write_graph_files(nodes.limit(0), edges, str(tmp_path / "none"), "c", ["a", "b"], ["c"])
+    assert spark.read.text(str(tmp_path / "none" / "edges")).count() == 0
     points = spark.createDataFrame([(0.0, 1.0, "<a>"), (2.0, 3.0, None)], "x double, y double, n string")
-    assert "&lt;a&gt;" in sinks.scatter_svg(points, "n") and sinks.html_page("<p>__DATA__</p>", {"a": "</p>"}) == '<p>{"a":"<\\/p>"}</p>'
+    marks = [r.value for r in sinks.svg_marks(points, "n").collect()]
+    assert len(marks) == 2 and any("&lt;a&gt;" in m for m in marks) and sinks.svg_marks(points.limit(0), "n").count() == 0
+
+
+def test_json_and_whole_documents(spark, tmp_path):
+    df = spark.createDataFrame([(1, "工", None), (2, None, 2.5)], "id long, t string, x double")
+    sinks.write_json(df, str(tmp_path / "j"))
+    assert sorted(map(tuple, readers.read_json(spark, str(tmp_path / "j"), "id long, t string, x double").collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    (tmp_path / "docs").mkdir()
+    for i in range(2):
+        (tmp_path / "docs" / f"{i}.json").write_text('{"nodes":\n[]}')
+    got = readers.read_documents(spark, str(tmp_path / "docs")).collect()
+    assert [r.payload for r in got] == ['{"nodes":\n[]}'] * 2 and len({r.record_id for r in got}) == 2
 
 
 def test_windowed_counts_on_a_stream(spark, tmp_path):
