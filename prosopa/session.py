@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Sequence
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +31,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute `df` once and cut its lineage with a reliable checkpoint, which survives lost executors."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute `df` once and cut its lineage: it is written as a Parquet table into the shared folder and read
+    back, so it survives lost executors and is read by column. It is written plain, without dictionaries and
+    compression, so that the size the planner sees, and broadcasts by, is that of the rows."""
+    path = f"{checkpoint_folder(df.sparkSession)}/cut-{uuid4().hex}"
+    df.write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
 def cut_told(df: DataFrame, **told: Column) -> tuple[DataFrame, dict]:
@@ -42,15 +48,14 @@ def cut_told(df: DataFrame, **told: Column) -> tuple[DataFrame, dict]:
 
 
 def release(*frames: DataFrame) -> None:
-    """Remove the checkpoint files of frames from `cut` that nothing reads any more, so that a loop holds
-    the files of its last rounds only."""
+    """Remove the tables of frames from `cut` that nothing reads any more, so that a loop holds those of its
+    last rounds only. Other frames are left alone."""
     for df in frames:
-        plan = df._jdf.queryExecution().logical()
-        file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
-        if file is not None and file.isDefined():
+        path = getattr(df, "_cut_path", None) if "_cut_path" in df.__dict__ else None
+        if path is not None:
             context = df.sparkSession.sparkContext
-            path = context._jvm.org.apache.hadoop.fs.Path(file.get())
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_slice: int) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from prosopa.operators import hierarchy
 
 LINKS = "node long, parent long"
@@ -70,12 +72,13 @@ def test_rejected_links(spark):
 def test_spent_checkpoints_are_removed(spark):
     from pathlib import Path
 
-    from prosopa.session import checkpoint_folder, cut, release
+    from prosopa.session import cut, cut_told, release
 
-    kept, spent = cut(spark.range(5)), cut(spark.range(6))
-    file = spent._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+    kept, (spent, told) = cut(spark.range(5)), cut_told(spark.range(6), rows=F.count("id"), top=F.max("id"))
+    assert told == {"rows": 6, "top": 5} and Path(spent._cut_path.removeprefix("file:")).exists()
     release(spent, spark.range(3))
-    assert checkpoint_folder(spark) and not Path(file.removeprefix("file:")).exists() and kept.count() == 5
+    assert not Path(spent._cut_path.removeprefix("file:")).exists() and kept.count() == 5
+    assert cut(spark.range(5).where("id > 9")).count() == 0
 
 
 def test_nulls_self_links_and_empty(spark):
