@@ -89,8 +89,8 @@ def skeleton_of(text: str, table: dict[int, str] | None = None) -> str:
 @cache
 def label_prototypes() -> dict[int, str]:
     """The table for labels, in which plain letters and digits stand for themselves, so that a letter
-    remains one letter and slips can be counted."""
-    return {c: form.replace("rn", "m") for c, form in prototypes().items() if c > 127 or form == ""}
+    remains one letter and slips can be counted. Signs are dropped from labels anyhow and need no entry."""
+    return {c: form.replace("rn", "m") for c, form in prototypes().items() if (c > 127 and form) or chr(c).isalnum() and not form}
 
 
 def label_key_of(text: str, table: dict[int, str] | None = None) -> str:
