@@ -9,6 +9,7 @@ the space that rounding left, in shards of bounded size.
 
 from __future__ import annotations
 
+import warnings
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -62,7 +63,8 @@ def _best_filling(worth: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """(fillings, containers): the basic solution of the configuration program, by generated columns,
-    rounded down, so that no group is used more often than it has members."""
+    rounded down, so that no group is used more often than it has members. After `rounds` columns the plan so far
+    is taken, which is valid but may fill containers less; a warning says so."""
     k = len(sizes)
     basis = np.diag(np.maximum(1, capacity // sizes)).astype(float)
     for _ in range(rounds):
@@ -74,6 +76,8 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
         step = np.linalg.solve(basis, filling.astype(float))
         ratio = np.where(step > 1e-9, np.maximum(amount, 0) / np.where(step > 1e-9, step, 1), np.inf)
         basis[:, int(np.argmin(ratio))] = filling
+    else:
+        warnings.warn(f"the packing plan for {capacity} isn't finished after {rounds} columns", RuntimeWarning, stacklevel=2)
     containers = np.floor(np.linalg.solve(basis, demand.astype(float)) + 1e-7).astype(np.int64)
     used = containers > 0
     return basis.T[used].astype(np.int64), containers[used]

@@ -97,6 +97,16 @@ def p6_assigned(spark: SparkSession, folder: str) -> DataFrame:
     return _packed(spark, folder)
 
 
+def p6_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """What every packing must hold: texts, parts and tokens, no container over its capacity, and no text in
+    parts that would fit whole."""
+    packed = cut(_packed(spark, folder))
+    held = packed.groupBy("capacity_tokens", "container").agg(F.sum("tokens").alias("held")).groupBy("capacity_tokens").agg(F.count_if(F.col("held") > F.col("capacity_tokens")).alias("overfull"))
+    text = packed.groupBy("capacity_tokens", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("size"))
+    told = text.groupBy("capacity_tokens").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("parts"), F.sum("size").alias("tokens"), F.count_if((F.col("n") > 1) & (F.col("size") <= F.col("capacity_tokens"))).alias("split_small"))
+    return told.join(held, "capacity_tokens")
+
+
 def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     """Containers used and the share of them that is filled."""
     return packing.fill(_packed(spark, folder))
@@ -151,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_assigned": p6_assigned,
     "p6_fill": p6_fill,
+    "p6_totals": p6_totals,
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_documents": p7_documents,
@@ -223,6 +234,8 @@ ORACLES: dict[str, str] = {
         FROM runs WHERE state_no IS NOT NULL AND entries >= 2""",
     "p5_runs": f"""WITH {_RUNS} SELECT row_key AS id, CAST(start_pos AS INTEGER) AS start_pos, CAST(end_pos AS INTEGER) AS end_pos, state, entries, first_year, last_year, last_year - first_year AS duration
         FROM runs LEFT JOIN career_states USING (state_no) WHERE t = 'career_trajectory_analysis'""",
+    "p6_totals": """WITH d AS (SELECT DISTINCT doc_id, strlen(text) + 1 AS size FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL), c AS (SELECT DISTINCT capacity_tokens FROM pack_limits)
+        SELECT capacity_tokens, count(DISTINCT doc_id) AS texts, CAST(sum(ceil(size / capacity_tokens::DOUBLE)) AS BIGINT) AS parts, CAST(sum(size) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS split_small, CAST(0 AS BIGINT) AS overfull FROM d, c GROUP BY 1""",
     "p6_found": "SELECT DISTINCT capacity_tokens, doc_id FROM documents, pack_limits WHERE strlen(text) + 1 > capacity_tokens",
     "p8_counts": """WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
         l AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: rtrim(x)), lambda x: trim(x) <> '') AS lines, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS words FROM t)
