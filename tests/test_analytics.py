@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prosopa.functions import classify, exprs
+from prosopa.functions.distances import weighted_distances
 from prosopa.functions.permute import numbered, permuted
 from prosopa.operators import attributes, breaks, graph, kinship, models, sequences, spatial
 from prosopa.plans.config import CLUSTERS
@@ -132,6 +133,38 @@ def test_k_medoids_tries_every_member(spark):
     assert {r.medoid for r in got} == {best}
 
 
+def _steps(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(before + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_weighted_distances():
+    draw = np.random.default_rng(5)
+    text = lambda n: "".join(draw.choice(list("abc中"), n))
+    members = [text(n) for n in (0, 1, 3, 8, 9, 16, 17, 32, 33, 64, 65, 128, 129)]
+    weights = [int(x) for x in draw.integers(1, 9, len(members))]
+    texts = ["", *members[2:5], *(text(n) for n in (2, 7, 40, 70))]
+    assert list(weighted_distances(members, weights, texts)) == [sum(w * _steps(m, t) for m, w in zip(members, weights)) for t in texts]
+
+
+def test_few_members_can_be_the_best(spark):
+    # Long members of weight 1 around short heavy ones: their bounds alone must tell that they can't be the best.
+    draw = np.random.default_rng(7)
+    codes = sorted({"".join(draw.choice(list("abcdefgh"), n)) for n in draw.integers(3, 12, 150)} | {"a", "ab", "b"})
+    rows = [(i, c, 40 if len(c) < 3 else 1) for i, c in enumerate(codes)]
+    cost = {i: sum(w * _steps(c, x) for _, x, w in rows) for i, c, _ in rows}
+    items = spark.createDataFrame(rows, "sequence_no long, code string, weight long")
+    bound = {r.sequence_no: r.bound for r in sequences._bounded(sequences.to_medoids(items, [(0, codes[0])]), sequences._tokens(items)).collect()}
+    assert bound.keys() == cost.keys() and all(bound[i] <= cost[i] for i in cost)
+    assert sum(bound[i] <= min(cost.values()) for i in cost) <= 5
+    got = sequences.k_medoids(items, 1, candidates=1).select("medoid").distinct().collect()
+    assert [r.medoid for r in got] == [min(cost, key=lambda i: (cost[i], i))]
+
+
 EDGES = "source long, target long"
 
 
