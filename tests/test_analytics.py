@@ -165,6 +165,13 @@ def test_few_members_can_be_the_best(spark):
     assert [r.medoid for r in got] == [min(cost, key=lambda i: (cost[i], i))]
 
 
+def test_nearest_medoids_need_no_shuffle(spark):
+    items = spark.createDataFrame([(1, "aa", 1), (2, "ab", 1), (3, "bb", 1)], "sequence_no long, code string, weight long")
+    placed = sequences.to_medoids(items, [(3, "bb"), (1, "aa")])
+    assert {(r.sequence_no, r.medoid, r.distance) for r in placed.collect()} == {(1, 1, 0), (2, 1, 1), (3, 3, 0)}
+    assert "Exchange" not in placed._jdf.queryExecution().toString()
+
+
 EDGES = "source long, target long"
 
 
