@@ -172,6 +172,19 @@ def test_nearest_medoids_need_no_shuffle(spark):
     assert "Exchange" not in placed._jdf.queryExecution().toString()
 
 
+def test_medoids_over_many_slices(spark, monkeypatch):
+    # Small slices and blocks, so that one cluster needs several of each.
+    monkeypatch.setattr(sequences, "MEMBERS", 16)
+    monkeypatch.setattr(sequences, "CANDIDATES", (4, 8))
+    monkeypatch.setattr(sequences, "GROWTH", 4)
+    draw = np.random.default_rng(11)
+    codes = sorted({"".join(draw.choice(list("abc"), n)) for n in draw.integers(5, 9, 90)})
+    items = spark.createDataFrame([(i, c, 1 + i % 2) for i, c in enumerate(codes)], "sequence_no long, code string, weight long")
+    cost = [sum((1 + i % 2) * _steps(c, x) for i, x in enumerate(codes)) for c in codes]
+    got = sequences.k_medoids(items, 1, candidates=2).select("medoid").distinct().collect()
+    assert [r.medoid for r in got] == [cost.index(min(cost))]
+
+
 EDGES = "source long, target long"
 
 
