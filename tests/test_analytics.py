@@ -185,6 +185,31 @@ def test_medoids_over_many_slices(spark, monkeypatch):
     assert [r.medoid for r in got] == [cost.index(min(cost))]
 
 
+def test_medoids_of_moving_clusters(spark, monkeypatch):
+    # Members go from cluster to cluster for several rounds; against trying every member in each round.
+    monkeypatch.setattr(sequences, "MEMBERS", 16)
+    monkeypatch.setattr(sequences, "CANDIDATES", (2, 4))
+    monkeypatch.setattr(sequences, "CELLS", 4)
+    draw = np.random.default_rng(58)
+    codes = sorted({"".join(draw.choice(list("abcd"), n)) for n in draw.integers(2, 10, 110)})
+    weight = [int(w) for w in draw.integers(1, 9, len(codes))]
+    far = [[_steps(a, b) for b in codes] for a in codes]
+    centres = [min(range(len(codes)), key=lambda i: (-weight[i], i))]
+    while len(centres) < 4:
+        near = [min(far[i][c] for c in centres) for i in range(len(codes))]
+        centres.append(min(range(len(codes)), key=lambda i: (-near[i] * weight[i] ** 0.5, i)))
+    rounds, moved = 0, None
+    while moved != centres:
+        centres, rounds = sorted(moved or centres), rounds + 1
+        own = [min(centres, key=lambda c: (far[i][c], c)) for i in range(len(codes))]
+        members = [[i for i, m in enumerate(own) if m == c] for c in centres]
+        moved = sorted(min(m, key=lambda c: (sum(far[c][x] * weight[x] for x in m), c)) for m in members)
+    assert rounds > 3
+    items = spark.createDataFrame(list(zip(range(len(codes)), codes, weight)), "sequence_no long, code string, weight long")
+    got = sequences.k_medoids(items, 4, candidates=2).collect()
+    assert {r.sequence_no: r.medoid for r in got} == dict(enumerate(own))
+
+
 EDGES = "source long, target long"
 
 
